@@ -8,6 +8,9 @@ delays are planted.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ontime.plans import pipelines
+from ontime.schemas import FLIGHT_SCHEMA
+from ontime.sources.catalog import write_enriched
 from ontime.sources.files import read_gsod_lines, read_isd_lines
 from ontime.sources.shared import new_folder
 
@@ -102,16 +105,64 @@ from {lineitem} join {supplier} on l_suppkey = s_suppkey
 """
 
 
-# Text files written by this process: (application, test folder, view) -> path.
+# Station catalogue columns that the reader expects, from a row of fx_stations.
+FX_STATION_FILE = """
+select USAF, cast(length(ICAO) as varchar(9)) as WBAN, concat('station ', USAF) as StationN, Country,
+  case when Country = 'US' then 'NY' else null end as State, ICAO, cast(10.5 as double) as Latitude,
+  cast(-20.25 as double) as Longtitude, cast(3 as double) as Elevation, '19980101' as Begin,
+  '20071231' as End
+from {fx_stations}
+"""
+
+# A flight as a line of CSV: NULL as NA, some carriers quoted with a comma in
+# them, some rows with a value too few, a value too many, or text for a number.
+FX_FLIGHT_LINES = """
+select concat_ws(',', cast(Year as varchar(9)), cast(Month as varchar(9)), cast(DayOfMonth as varchar(9)),
+  cast(DayOfWeek as varchar(9)), cast(DepTime as varchar(9)), cast(CRSDepTime as varchar(9)),
+  coalesce(cast(ArrTime as varchar(9)), 'NA'), cast(CRSArrTime as varchar(9)),
+  case when DayOfWeek = 3 then concat('"', UniqueCarrier, ',x"') else UniqueCarrier end, FlightNum,
+  coalesce(TailNum, 'NA'), cast(ActualElaspedTime as varchar(9)), cast(CRSElapsedTime as varchar(9)),
+  cast(AirTime as varchar(9)), cast(ArrDelay as varchar(9)), cast(DepDelay as varchar(9)), Origin, Dest,
+  case when AirTime = 62 then 'far' else cast(Distance as varchar(9)) end, cast(TaxiIn as varchar(9)),
+  cast(TaxiOut as varchar(9)), cast(Cancelled as varchar(9)), coalesce(CancellationCode, 'NA'),
+  cast(Diverted as varchar(9)), coalesce(cast(CarrierDelay as varchar(9)), 'NA'),
+  coalesce(cast(WeatherDelay as varchar(9)), 'NA'), coalesce(cast(NASDelay as varchar(9)), 'NA'),
+  coalesce(cast(SecurityDelay as varchar(9)), 'NA'),
+  case when AirTime = 61 then null else coalesce(cast(LateAircraftDelay as varchar(9)), 'NA') end,
+  case when AirTime = 60 then 'more' else null end) as line
+from {fx_flights}
+"""
+
+# Scoring requests: two thirds name the weather as well.
+FX_REQUESTS = """
+select FlightNum, concat_ws(',', cast(Month as varchar(9)), cast(Day as varchar(9)),
+  cast(DayOfWeek as varchar(9)), cast(CRSDepHour as varchar(9)), UniqueCarrier, Origin, Dest,
+  case when CRSDepTime % 3 <> 0 then concat_ws(',', cast(MaxWindSpeed as varchar(9)),
+    cast(MinCeilingHeight as varchar(9)), cast(MinVisibility as varchar(9)), cast(MaxPressure as varchar(9)),
+    cast(cast(floor(MaxPrecipitation48) as int) as varchar(9)), MaxPresentWeatherCode) end) as request
+from {hourly}
+"""
+
+# Delayed flights with a made-up class, score and prediction of log10 minutes.
+FX_PREDICTIONS = """
+select FlightNum, case when WeatherDelay > 25 then 1 else 0 end as label,
+  cast(case when DepDelay > 15 then 1 else 0 end as double) as prediction,
+  cast((DepDelay + 3 * TaxiOut + 100) % 50 as double) / 50 as score,
+  WeatherDelay, cast(DepTime % 10 as double) / 5 as log_minutes
+from {hourly} where WeatherDelay > 0
+"""
+
+# What this process wrote: (application, test folder, name) -> path.
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 class Views:
     """The views over one folder of test tables.
 
-    Weather lines are written to text files once per session and read back, as
-    raw weather arrives: a parser then sees a text column, not the expression
-    that made it.
+    Weather lines, CSV files and enriched tables are written to the shared
+    folder once per session and read back, as raw files and saved tables are:
+    a parser then sees a text column, not the expression that made it, and a
+    report reads the saved table.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -124,11 +175,11 @@ class Views:
     def _view(self, sql: str, *tables: str) -> DataFrame:
         return self._spark.sql(sql, **{name: self.table(name) for name in tables})
 
-    def _text_files(self, name: str, lines: DataFrame) -> str:
+    def _once(self, name: str, write) -> str:
         key = (self._spark.sparkContext.applicationId, self._folder, name)
         if key not in _WRITTEN:
             path = new_folder(self._spark, name)
-            lines.write.text(path)
+            write(path)
             _WRITTEN[key] = path
         return _WRITTEN[key]
 
@@ -137,11 +188,53 @@ class Views:
 
     def isd_lines(self) -> DataFrame:
         lines = self._view(FX_ISD_LINES, "lineitem")
-        return read_isd_lines(self._spark, self._text_files("isd", lines))
+        return read_isd_lines(self._spark, self._once("isd", lines.write.text))
 
     def gsod_lines(self) -> DataFrame:
         lines = self._view(FX_GSOD_LINES, "lineitem")
-        return read_gsod_lines(self._spark, self._text_files("gsod", lines))
+        return read_gsod_lines(self._spark, self._once("gsod", lines.write.text))
 
     def flights(self) -> DataFrame:
         return self._view(FX_FLIGHTS, "lineitem", "supplier")
+
+    def station_file(self) -> str:
+        """Path of the station catalogue as CSV."""
+        rows = self._spark.sql(FX_STATION_FILE, fx_stations=self.stations())
+        return self._once("stations", lambda path: rows.write.csv(path, header=True))
+
+    def flight_file(self) -> str:
+        """Path of the flights as CSV, with unreadable rows."""
+        lines = self._spark.sql(FX_FLIGHT_LINES, fx_flights=self.flights())
+        header = ",".join(field.split()[0] for field in FLIGHT_SCHEMA.split(", "))
+        # One column under a name that is the header; the separator never occurs.
+        file = lines.withColumnRenamed("line", header)
+        return self._once(
+            "flights",
+            lambda path: file.write.csv(path, header=True, sep="\x01", quote="", escapeQuotes=False),
+        )
+
+    def hourly_flights(self) -> DataFrame:
+        """The hourly pipeline, from raw inputs."""
+        return pipelines.hourly_flights(self.stations(), self.isd_lines(), self.flights())
+
+    def daily_flights(self) -> DataFrame:
+        """The daily pipeline, from raw inputs."""
+        return pipelines.daily_flights(self.stations(), self.gsod_lines(), self.flights())
+
+    def hourly(self) -> DataFrame:
+        """The saved table of flights with hourly weather."""
+        return self._spark.read.parquet(
+            self._once("hourly", lambda path: write_enriched(self.hourly_flights(), path))
+        )
+
+    def daily(self) -> DataFrame:
+        """The saved table of flights with daily weather."""
+        return self._spark.read.parquet(
+            self._once("daily", lambda path: write_enriched(self.daily_flights(), path))
+        )
+
+    def requests(self) -> DataFrame:
+        return self._spark.sql(FX_REQUESTS, hourly=self.hourly())
+
+    def predictions(self) -> DataFrame:
+        return self._spark.sql(FX_PREDICTIONS, hourly=self.hourly())

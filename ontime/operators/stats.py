@@ -57,8 +57,8 @@ def value_counts(table: DataFrame, columns: list[str], by: list[str] | None = No
     )
 
 
-def _quartiles(value="value", n="n") -> Column:
-    return F.percentile(value, [0.25, 0.5, 0.75], n)
+def _quartiles() -> Column:
+    return F.percentile(F.col("value"), [0.25, 0.5, 0.75], F.col("n"))
 
 
 def describe(table: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -118,14 +118,8 @@ def describe_log10(table: DataFrame, column: str) -> DataFrame:
     )
 
 
-def box_stats(table: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Box-plot figures of each column for each class of ``by``.
-
-    Whiskers reach to the last values within 1.5 interquartile ranges of the
-    box; what lies beyond is counted as outliers.
-    """
-    counts = value_counts(table, columns, [by])
-    keys = [by, "measure"]
+def _boxes(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Box-plot figures per key from a table of values and their counts."""
     boxes = counts.groupBy(*keys).agg(F.sum("n").alias("count"), _quartiles().alias("q"))
     boxes = boxes.select(
         *keys,
@@ -149,6 +143,27 @@ def box_stats(table: DataFrame, by: str, columns: list[str]) -> DataFrame:
     )
 
 
+def box_stats(table: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Box-plot figures of each column for each class of ``by``.
+
+    Whiskers reach to the last values within 1.5 interquartile ranges of the
+    box; what lies beyond is counted as outliers.
+    """
+    return _boxes(value_counts(table, columns, [by]), [by, "measure"])
+
+
+def flag_box_stats(table: DataFrame, flags: list[str], column: str) -> DataFrame:
+    """Box-plot figures of one column, with and without each flag.
+
+    Values are counted per combination of flags first; only these counts are
+    repeated for each flag.
+    """
+    counts = value_counts(table, [column], flags)
+    long = counts.unpivot(["value", "n"], flags, "flag", "met")
+    merged = long.groupBy("flag", "met", "value").agg(F.sum("n").alias("n"))
+    return _boxes(merged, ["flag", "met"])
+
+
 def trend_lines(table: DataFrame, y: str, features: list[str]) -> DataFrame:
     """Least-squares line of ``y`` over each feature, all in one pass."""
     target = F.col(y).cast("double")

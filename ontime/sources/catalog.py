@@ -1,7 +1,7 @@
 """Catalog tables, saved models, the metric log and frames from values."""
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ontime import schemas
@@ -16,16 +16,24 @@ def ensure_database(spark: SparkSession, database: str, location: str | None = N
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
 
 
-def save_enriched(table: DataFrame, name: str, path: str | None = None) -> None:
-    """Replace a catalog table, partitioned by year and month.
+def _by_month(table: DataFrame) -> DataFrameWriter:
+    """Writer of the table by year and month.
 
     Rebalancing brings a month together, so that it is not scattered over one
     small file per task, and AQE splits a month that is large.
     """
-    writer = table.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    whole = table.hint("rebalance", *PARTITIONS)
+    return whole.write.mode("overwrite").partitionBy(*PARTITIONS)
+
+
+def save_enriched(table: DataFrame, name: str) -> None:
+    """Replace a catalog table, partitioned by year and month."""
+    _by_month(table).saveAsTable(name)
+
+
+def write_enriched(table: DataFrame, path: str) -> None:
+    """The same as parquet files, without a catalog entry."""
+    _by_month(table).parquet(path)
 
 
 def load_enriched(spark: SparkSession, name: str = schemas.HOURLY_TABLE) -> DataFrame:

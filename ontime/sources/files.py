@@ -40,8 +40,8 @@ def read_flights(
     cannot be read (and a column ``valid``), or fails the query.
 
     Spark's own DROPMALFORMED looks at the columns a query uses only, so a count
-    and a full read of the same file can disagree. Here the text of all columns
-    decides, whatever the query uses. ``quote`` replaces the usual double quote;
+    and a full read of the same file can disagree. Here whole rows are split, and
+    the text of all integer columns decides, whatever the query uses. ``quote`` replaces the usual double quote;
     an empty string turns quoting off.
     """
     fields = _flight_schema().fields
@@ -56,6 +56,7 @@ def read_flights(
         .option("nullValue", schemas.FLIGHT_NULL_TEXT)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("columnPruning", False)
     )
     if quote is not None:
         reader = reader.option("quote", quote)
@@ -65,9 +66,7 @@ def read_flights(
         F.col(n).isNull() | (F.col(n).rlike(_INT_TEXT) & to_int(F.col(n)).isNotNull())
         for n in numbers
     ]
-    # Naming every text column here makes each query parse whole rows.
-    named = F.coalesce(*[F.col(f.name) for f in fields if f.name not in numbers], F.lit(""))
-    valid = all_of([F.col(_CORRUPT).isNull(), named.isNotNull(), *readable])
+    valid = all_of([F.col(_CORRUPT).isNull(), *readable])
     typed = [
         (to_int(F.col(f.name)) if f.name in numbers else F.col(f.name)).alias(f.name)
         for f in fields
