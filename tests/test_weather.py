@@ -67,8 +67,6 @@ def test_present_weather_group(spark, group, code):
 
 
 def test_marker_in_first_place_is_no_weather_group(spark):
-    line = "AT1AU01FG" + isd_line()[9:]
-    line = line[:4] + "722950" + line[10:]
     row = weather.parse_isd(frame(spark, ["AT1A" + isd_line()[4:]])).first()
     assert row.PresentWeatherCode == "0"
 
