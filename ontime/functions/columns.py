@@ -20,19 +20,19 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(_BLANKS))
 
 
-def fixed(line: Column, start: int, length: int) -> Column:
+def fixed(line: str, start: int, length: int) -> Column:
     """The stripped text of a fixed-width field; ``start`` counts from 1."""
-    return strip(F.substring(line, start, length))
+    return strip(F.expr(f"substring({line}, {start}, {length})"))
 
 
-def fixed_int(line: Column, start: int, length: int) -> Column:
+def fixed_int(line: str, start: int, length: int) -> Column:
     """A fixed-width integer field, NULL when it is not a number."""
-    return to_int(F.substring(line, start, length))
+    return F.expr(f"try_cast(substring({line}, {start}, {length}) as int)")
 
 
-def fixed_double(line: Column, start: int, length: int) -> Column:
+def fixed_double(line: str, start: int, length: int) -> Column:
     """A fixed-width decimal field, NULL when it is not a number."""
-    return to_double(F.substring(line, start, length))
+    return F.expr(f"try_cast(substring({line}, {start}, {length}) as double)")
 
 
 def to_int(text: Column) -> Column:
@@ -152,3 +152,8 @@ def pct(part: Column, whole: Column) -> Column:
 
 def all_of(conditions) -> Column:
     return reduce(lambda left, right: left & right, conditions)
+
+
+def all_known(names: list[str]) -> Column:
+    """Whether none of the named columns is NULL."""
+    return F.expr(" and ".join(f"{name} is not null" for name in names))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ontime import schemas
 from ontime.functions.columns import (
-    all_of,
+    all_known,
     code_to_number,
     fixed,
     fixed_double,
@@ -20,16 +20,14 @@ from ontime.functions.columns import (
 LINE = "value"
 
 
-def _split_bad(parsed: DataFrame, valid: Column, on_bad: str) -> DataFrame:
+def _split_bad(fields: DataFrame, valid: Column, on_bad: str) -> DataFrame:
     if on_bad == "drop":
-        return parsed.where(valid)
+        return fields.where(valid)
     if on_bad == "keep":
-        return parsed.withColumn("valid", valid)
+        return fields.withColumn("valid", valid)
     if on_bad == "fail":
-        checked = F.when(valid, True).otherwise(
-            F.raise_error(F.concat(F.lit("unreadable weather line: "), F.col(LINE)))
-        )
-        return parsed.where(checked)
+        unreadable = F.raise_error(F.concat(F.lit("unreadable weather line: "), F.col(LINE)))
+        return fields.where(F.when(valid, True).otherwise(unreadable))
     raise ValueError(f"on_bad must be 'drop', 'keep' or 'fail', not {on_bad!r}")
 
 
@@ -61,13 +59,18 @@ def _present_weather() -> Column:
     )
 
 
+def _hourly_fields(lines: DataFrame) -> DataFrame:
+    """Lines with their fixed fields; what is not a number is NULL."""
+    fields = {
+        name: (fixed if name == "WBAN" else fixed_int)(LINE, *place)
+        for name, place in schemas.HOURLY_FIELDS.items()
+    }
+    return lines.select(LINE, *[column.alias(name) for name, column in fields.items()])
+
+
 def _hourly_valid() -> Column:
-    line = F.col(LINE)
-    numbers = [place for name, place in schemas.HOURLY_FIELDS.items() if name != "WBAN"]
-    return all_of(
-        [F.length(line) >= schemas.HOURLY_LINE_LENGTH]
-        + [fixed_int(line, *place).isNotNull() for place in numbers]
-    )
+    numbers = [name for name in schemas.HOURLY_FIELDS if name != "WBAN"]
+    return (F.length(LINE) >= schemas.HOURLY_LINE_LENGTH) & all_known(numbers)
 
 
 def parse_isd(lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False) -> DataFrame:
@@ -78,23 +81,18 @@ def parse_isd(lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False)
     reached. Readings without a WBAN are left out.
     """
     line = F.col(LINE)
-    fields = [
-        (fixed(line, *place) if name == "WBAN" else fixed_int(line, *place)).alias(name)
-        for name, place in schemas.HOURLY_FIELDS.items()
-    ]
     groups = {
         "precipitation_group": tail_after(line, schemas.PRECIPITATION_MARKER),
         "present_weather_group": tail_after(line, schemas.PRESENT_WEATHER_MARKER),
     }
     precipitation = precipitation48(F.col("PrecipitationHour"), F.col("Precipitation"), exact_rate)
-    wban = fixed(line, *schemas.HOURLY_FIELDS["WBAN"])
     return (
-        _split_bad(lines, _hourly_valid(), on_bad)
-        .where(wban != schemas.MISSING_WBAN)
+        _split_bad(_hourly_fields(lines), _hourly_valid(), on_bad)
+        .where(F.col("WBAN") != schemas.MISSING_WBAN)
         .withColumns(groups)
         .withColumns(_precipitation_group())
         .select(
-            *fields,
+            *schemas.HOURLY_FIELDS,
             "PrecipitationHour",
             "Precipitation",
             precipitation.alias("Precipitation48"),
@@ -104,24 +102,23 @@ def parse_isd(lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False)
     )
 
 
-def _daily_fields() -> dict[str, Column]:
-    line = F.col(LINE)
+def _daily_fields(lines: DataFrame) -> DataFrame:
+    """Lines with their fixed fields; what is not a number is NULL."""
     keys = {
-        name: fixed(line, *place) if name == "WBAN" else fixed_int(line, *place)
+        name: (fixed if name == "WBAN" else fixed_int)(LINE, *place)
         for name, place in schemas.DAILY_KEY_FIELDS.items()
     }
     measures = {
-        name: fixed_double(line, *place) for name, place in schemas.DAILY_MEASURE_FIELDS.items()
+        name: fixed_double(LINE, *place) for name, place in schemas.DAILY_MEASURE_FIELDS.items()
     }
-    flags = {name: fixed_int(line, *place) for name, place in schemas.DAILY_FLAG_FIELDS.items()}
-    return keys | measures | flags
+    flags = {name: fixed_int(LINE, *place) for name, place in schemas.DAILY_FLAG_FIELDS.items()}
+    fields = keys | measures | flags
+    return lines.select(LINE, *[column.alias(name) for name, column in fields.items()])
 
 
 def _daily_valid() -> Column:
-    numbers = [column for name, column in _daily_fields().items() if name != "WBAN"]
-    return all_of(
-        [F.length(LINE) >= schemas.DAILY_LINE_LENGTH] + [column.isNotNull() for column in numbers]
-    )
+    numbers = ["StationNumber", "Year", "Month", "Day", *schemas.DAILY_MEASURES, *schemas.DAILY_FLAGS]
+    return (F.length(LINE) >= schemas.DAILY_LINE_LENGTH) & all_known(numbers)
 
 
 def parse_gsod(lines: DataFrame, on_bad: str = "drop") -> DataFrame:
@@ -130,23 +127,19 @@ def parse_gsod(lines: DataFrame, on_bad: str = "drop") -> DataFrame:
     Bad lines are treated as in :func:`parse_isd`. Lines without a station
     number are left out.
     """
-    fields = _daily_fields()
-    kept = _split_bad(lines, _daily_valid(), on_bad)
-    extra = ["valid"] if on_bad == "keep" else []
-    station = fields["StationNumber"]
-    wanted = station != schemas.MISSING_STATION
-    wanted = wanted | station.isNull() if on_bad == "keep" else wanted
-    return kept.where(wanted).select(
-        *[column.alias(name) for name, column in fields.items()], *extra
-    )
+    known = F.coalesce("StationNumber", F.lit(0)) != schemas.MISSING_STATION
+    return _split_bad(_daily_fields(lines), _daily_valid(), on_bad).where(known).drop(LINE)
 
 
 def bad_rows(lines: DataFrame, kind: str = "hourly") -> DataFrame:
     """One row: how many lines there are and how many a parser would reject."""
-    valid = {"hourly": _hourly_valid, "daily": _daily_valid}[kind]()
-    return lines.agg(
-        F.count("*").alias("lines"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("bad")
-    )
+    if kind == "hourly":
+        fields, valid = _hourly_fields(lines), _hourly_valid()
+    elif kind == "daily":
+        fields, valid = _daily_fields(lines), _daily_valid()
+    else:
+        raise ValueError(f"kind must be 'hourly' or 'daily', not {kind!r}")
+    return fields.agg(F.count("*").alias("lines"), F.count_if(~valid).alias("bad"))
 
 
 def airports_from_stations(stations: DataFrame, country: str = "US") -> DataFrame:
@@ -199,26 +192,23 @@ def rollup_hourly(readings: DataFrame, by_wban: bool = True) -> DataFrame:
     instead of hash.
     """
     keys = [key for key in schemas.READING_KEYS if by_wban or key != "WBAN"]
-    value = F.col("value")
     statistics = []
     for number, name in enumerate(schemas.HOURLY_MEASURES):
-        mine = F.col("measure") == number
-        known = mine & (value != schemas.MISSING[name])
-        lowest = F.min(F.when(mine, value))
-        highest = F.coalesce(F.max(F.when(known, value)), lowest)
-        kind = readings.schema[name].dataType
+        missing, kind = schemas.MISSING[name], readings.schema[name].dataType.simpleString()
+        mine = f"filter (where measure = {number})"
+        known = f"filter (where measure = {number} and value <> {missing})"
         statistics += [
-            highest.cast(kind).alias(f"Max{name}"),
-            lowest.cast(kind).alias(f"Min{name}"),
-            F.count(F.when(mine, value)).alias(f"Distinct{name}"),
+            f"cast(coalesce(max(value) {known}, min(value) {mine}) as {kind}) as Max{name}",
+            f"cast(min(value) {mine} as {kind}) as Min{name}",
+            f"count(value) {mine} as Distinct{name}",
         ]
-    code = F.col("measure") == _CODE
+    code = F.expr(f"cast(max(value) filter (where measure = {_CODE}) as bigint)")
     return (
         _long_readings(readings, keys)
         .groupBy(*keys)
         .agg(
-            *statistics,
-            number_to_code(F.max(F.when(code, value)).cast("long")).alias("MaxPresentWeatherCode"),
-            F.sum(F.when(code, F.col("n"))).alias("NumOfRec"),
+            *[F.expr(statistic) for statistic in statistics],
+            number_to_code(code).alias("MaxPresentWeatherCode"),
+            F.expr(f"sum(n) filter (where measure = {_CODE}) as NumOfRec"),
         )
     )

@@ -86,6 +86,6 @@ def test_scalar_functions(spark):
         fn.pct(F.lit(1), F.lit(8)).alias("pct"), fn.pct(F.lit(1), F.lit(0)).alias("none"),
         fn.flag(F.lit(False)).alias("no"), fn.flag(F.lit(False), else_null=True).alias("null"),
         fn.measure_if(F.lit(True), F.lit(7)).alias("seven"), fn.tail_after(F.lit("xAA1 b AA1"), "AA1").alias("tail"),
-        fn.tail_after(F.lit("x"), "AA1").alias("absent"), fn.fixed(F.lit("ab\tcd "), 3, 4).alias("fixed"),
+        fn.tail_after(F.lit("x"), "AA1").alias("absent"), fn.fixed(r"'ab\tcd '", 3, 4).alias("fixed"),
     ).first()
     assert tuple(row) == ("SFO", 123, None, 1.5, 0, None, 100.0, 13.0, None, 0, None, 7, "b AA1", None, "cd")
