@@ -27,7 +27,7 @@ from ontime.operators import (
     stats,
     weather,
 )
-from ontime.plans import pipelines
+from ontime.plans import pipelines, training
 from ontime.sources import catalog, files, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -700,14 +700,16 @@ def two_stage_combine(v):
   round(sqrt(avg(pow(WeatherDelay - pow(10, log_minutes), 2))), 6) as rmse_minutes from fx_predictions""")
 def prediction_metrics(v):
     made = v.predictions().withColumn("log", fn.log10_minutes(F.col("WeatherDelay")))
-    figures = [
-        evaluate.accuracy(made),
-        evaluate.rmse(made, "log", "log_minutes"),
-        evaluate.rmse_minutes(made, prediction="log_minutes"),
-    ]
-    names = [name for figure in figures for name in figure.columns]
-    row = [value for figure in figures for value in figure.first()]
-    return rounded(v._spark.createDataFrame([row], [f"{name}" for name in names]))
+    hit = evaluate.hit_rate(F.col("label"), F.col("prediction"))
+    minutes = fn.minutes_from_log10(F.col("log_minutes"))
+    return rounded(
+        made.agg(
+            hit.alias("accuracy"),
+            (1 - hit).alias("test_error"),
+            evaluate.root_mean_square(F.col("log"), F.col("log_minutes")).alias("rmse"),
+            evaluate.root_mean_square(F.col("WeatherDelay"), minutes).alias("rmse_minutes"),
+        )
+    )
 
 
 _AUROC = """
@@ -728,107 +730,74 @@ def prediction_auroc(v):
 # --- models (no SQL equivalent) ---------------------------------------------
 
 
-def _training(examples: DataFrame, seed: int = 10) -> list[DataFrame]:
-    """Training and test rows, written first: training reads them repeatedly."""
-    return sampling.split(shared.materialize(examples, "examples"), [0.7, 0.3], seed)
-
-
 def _figures(v, rows) -> DataFrame:
     flat = [(model, name, float(value)) for model, values in rows for name, value in values.items()]
     return v._spark.createDataFrame(flat, "model string, metric string, value double")
 
 
-def _domain(v):
-    return features.fit_domain_index(v.hourly(), features.categories(True))
+def _delay_parts(v) -> training.Parts:
+    """All flights of both classes, none left out."""
+    return training.delay_parts(v.hourly(), on_time_share=1.0)
 
 
-def _flight_domain(v):
-    return features.fit_domain_index(v.hourly(), features.categories(False))
+def _with_and_without_weather(v, kind):
+    parts = _delay_parts(v)
+    runs = (("flight only", False), ("with weather", True))
+    return _figures(
+        v, [(name, training.train_delay(parts, kind, weather).metrics) for name, weather in runs]
+    )
 
 
 @query()
 def delay_forest_auc(v):
-    training, test = _training(features.delay_examples(v.hourly()))
-    rows = []
-    for name, with_weather, domain in (
-        ("flight only", False, _flight_domain(v)),
-        ("with weather", True, _domain(v)),
-    ):
-        made = models.fit_delay_forest(training, with_weather, domain).transform(test)
-        raw, hard = evaluate.auroc(made, bins=1000), evaluate.auroc(made, "prediction")
-        rows.append((name, {"auroc": raw, "auroc_hard_label": hard}))
-    return _figures(v, rows)
+    return _with_and_without_weather(v, "forest")
 
 
 @query()
 def delay_logistic_auc(v):
-    training, test = _training(features.delay_examples(v.hourly()))
-    rows = []
-    for name, with_weather, domain in (
-        ("flight only", False, _flight_domain(v)),
-        ("with weather", True, _domain(v)),
-    ):
-        model = models.fit_delay_logistic(training, with_weather, domain)
-        auroc = evaluate.auroc(model.transform(test), bins=1000)
-        rows.append((name, {"auroc": auroc, "training_auroc": evaluate.training_auroc(model)}))
-    return _figures(v, rows)
+    return _with_and_without_weather(v, "logistic")
 
 
 @query()
 def logistic_roc_curve(v):
-    training, _ = _training(features.delay_examples(v.hourly()))
-    return evaluate.roc_curve(models.fit_delay_logistic(training, True, _domain(v)))
+    return evaluate.roc_curve(training.train_delay(_delay_parts(v), "logistic").model)
 
 
 @query()
 def logistic_grid_search(v):
-    training, test = _training(features.delay_examples(v.hourly()))
-    best, validated = models.cross_validate(training, True, _domain(v))
-    tried = [
-        ({p.name: value for p, value in params.items()}, metric)
-        for params, metric in zip(validated.getEstimatorParamMaps(), validated.avgMetrics)
-    ]
-    rows = [(f"reg={p['regParam']} net={p['elasticNetParam']}", {"cv_auroc": m}) for p, m in tried]
-    rows.append(("best", {"auroc": evaluate.auroc(best.transform(test), bins=1000)}))
-    return _figures(v, rows)
+    return _figures(v, [("grid", training.train_delay(_delay_parts(v), "grid").metrics)])
 
 
 @query()
 def bucket_forest_accuracy(v):
-    examples = features.bucket_examples(v.hourly())
-    labels = features.fit_label_index(examples, "delayCat")
-    training, test = _training(examples)
-    rows = []
-    for name, with_weather, domain, trees in (
-        ("flight only", False, _flight_domain(v), 10),
-        ("with weather", True, _domain(v), 10),
-        ("with weather, 5 trees", True, _domain(v), 5),
-    ):
-        model = models.fit_bucket_forest(training, with_weather, domain, num_trees=trees, labels=labels)
-        made = evaluate.accuracy(model.transform(test), "delayCat", "predictedLabel").first()
-        rows.append((name, made.asDict()))
-    return _figures(v, rows)
-
-
-def _minutes_figures(model, test):
-    made = model.transform(test)
-    log = evaluate.rmse(made, "LogWeatherDelay").first().rmse
-    return {"rmse_log10": log, "rmse_minutes": evaluate.rmse_minutes(made).first().rmse_minutes}
+    parts = training.bucket_parts(v.hourly())
+    runs = (("flight only", False, 10), ("with weather", True, 10), ("with weather, 5 trees", True, 5))
+    return _figures(
+        v, [(name, training.train_buckets(parts, weather, trees).metrics) for name, weather, trees in runs]
+    )
+
+
+@query()
+def bucket_experiment_log(v):
+    spark, database = v._spark, "ontime_metrics"
+    catalog.ensure_database(spark, database, shared.new_folder(spark, database))
+    log = f"{database}.runs_{uuid.uuid4().hex[:8]}"
+    for trees, depth in ((5, 5), (10, 10)):
+        path = shared.new_folder(spark, "model")
+        training.bucket_experiment(spark, v.hourly(), log, f"{trees} trees", trees, depth, path)
+    return spark.table(log).select("run", "params", "metric", "value")
 
 
 @query()
 def minutes_linear_fit(v):
-    training, test = _training(features.minutes_examples(v.hourly()))
-    model = models.fit_minutes_linear(training, _domain(v))
-    figures = _minutes_figures(model, test) | evaluate.training_fit(model)
-    return _figures(v, [("linear", figures)])
+    parts = training.minutes_parts(v.hourly())
+    return _figures(v, [("linear", training.train_minutes(parts, "linear").metrics)])
 
 
 @query()
 def minutes_forest_fit(v):
-    training, test = _training(features.minutes_examples(v.hourly()))
-    model = models.fit_minutes_forest(training, _domain(v))
-    return _figures(v, [("forest", _minutes_figures(model, test))])
+    parts = training.minutes_parts(v.hourly())
+    return _figures(v, [("forest", training.train_minutes(parts, "forest").metrics)])
 
 
 @query()
@@ -843,28 +812,12 @@ def delay_cluster_minutes(v):
 
 @query()
 def two_stage_scores(v):
-    classifier = models.fit_delay_logistic(
-        shared.materialize(features.delay_examples(v.hourly()), "examples"), True, _domain(v)
-    )
-    regressor = models.fit_minutes_forest(
-        shared.materialize(features.minutes_examples(v.hourly()), "examples"), _domain(v)
-    )
+    classifier = training.train_delay(_delay_parts(v), "logistic").model
+    regressor = training.train_minutes(training.minutes_parts(v.hourly()), "forest").model
     loaded = []
-    for name, model in (("classifier", classifier), ("regressor", regressor)):
-        path = shared.new_folder(v._spark, name)
+    for model in (classifier, regressor):
+        path = shared.new_folder(v._spark, "model")
         catalog.save_model(model, path)
         loaded.append(catalog.load_model(path))
     requests = score.fill_missing_weather(score.parse_requests(v.requests()))
     return score.score(requests, *loaded).select("FlightNum", "request", "predicted_delay", "result")
-
-
-@query()
-def metric_log(v):
-    spark, database = v._spark, "ontime_metrics"
-    catalog.ensure_database(spark, database, shared.new_folder(spark, database))
-    table = f"{database}.runs_{uuid.uuid4().hex[:8]}"
-    made = v.predictions()
-    for score_name in ("score", "prediction"):
-        metrics = {"auroc": evaluate.auroc(made, score_name)}
-        catalog.log_metrics(spark, table, f"by {score_name}", {"column": score_name}, metrics)
-    return spark.table(table).select("run", "params", "metric", F.round("value", 6).alias("value"))

@@ -2,10 +2,10 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontime.functions.columns import minutes_from_log10
+from ontime.functions.columns import log10_minutes, minutes_from_log10
 
 
 def auroc(
@@ -23,21 +23,27 @@ def auroc(
     ).evaluate(predictions)
 
 
+def hit_rate(label: Column, prediction: Column) -> Column:
+    """Share of correct predictions, as an aggregate."""
+    return F.avg(F.when(label == prediction, 1.0).otherwise(0.0))
+
+
+def root_mean_square(actual: Column, predicted: Column) -> Column:
+    """Root mean square error, as an aggregate."""
+    return F.sqrt(F.avg(F.pow(actual - predicted, F.lit(2.0))))
+
+
 def accuracy(
     predictions: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
     """One row: share of correct predictions, and the test error."""
-    hit = F.avg(F.when(F.col(label) == F.col(prediction), 1.0).otherwise(0.0))
+    hit = hit_rate(F.col(label), F.col(prediction))
     return predictions.agg(hit.alias("accuracy"), (1 - hit).alias("test_error"))
 
 
-def _rmse(actual, predicted):
-    return F.sqrt(F.avg(F.pow(actual - predicted, F.lit(2.0))))
-
-
 def rmse(predictions: DataFrame, actual: str, prediction: str = "prediction") -> DataFrame:
     """One row: root mean square error."""
-    return predictions.agg(_rmse(F.col(actual), F.col(prediction)).alias("rmse"))
+    return predictions.agg(root_mean_square(F.col(actual), F.col(prediction)).alias("rmse"))
 
 
 def rmse_minutes(
@@ -45,7 +51,18 @@ def rmse_minutes(
 ) -> DataFrame:
     """One row: root mean square error in minutes of a prediction of log10."""
     minutes = minutes_from_log10(F.col(prediction))
-    return predictions.agg(_rmse(F.col(actual), minutes).alias("rmse_minutes"))
+    return predictions.agg(root_mean_square(F.col(actual), minutes).alias("rmse_minutes"))
+
+
+def minutes_errors(
+    predictions: DataFrame, actual: str = "WeatherDelay", prediction: str = "prediction"
+) -> DataFrame:
+    """One row: error of log10 minutes against log10, and in minutes."""
+    minutes, guess = F.col(actual), F.col(prediction)
+    return predictions.agg(
+        root_mean_square(log10_minutes(minutes), guess).alias("rmse_log10"),
+        root_mean_square(minutes, minutes_from_log10(guess)).alias("rmse_minutes"),
+    )
 
 
 def training_fit(model: PipelineModel) -> dict[str, float]:

@@ -3,8 +3,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ontime.operators import evaluate, features, models, sampling, score
+from ontime.plans import training
 from ontime.sources import catalog, shared
 
+
 @pytest.fixture(scope="module")
 def flights(spark):
     """Flights whose weather delay follows the wind and the weather code."""
@@ -180,6 +182,32 @@ def test_two_stage_scores(spark, tmp_path, flights, domain, parts):
     assert {r.request: r.result for r in again.collect()} == {r.request: r.result for r in rows.values()}
 
 
+def test_training_runs(spark, tmp_path, flights):
+    parts = training.delay_parts(flights, on_time_share=0.5)
+    late = flights.where("WeatherDelay > 0").count()
+    rows = parts.training.unionByName(parts.test)
+    assert rows.where("label = 1").count() == late and rows.where("label = 0").count() < (6000 - late) * 0.6
+    informed = training.train_delay(parts, "forest").metrics
+    assert informed["auroc"] > training.train_delay(parts, "forest", with_weather=False).metrics["auroc"]
+    assert set(training.train_delay(parts, "logistic").metrics) == {"auroc", "auroc_hard_label", "training_auroc"}
+    minutes = training.minutes_parts(flights)
+    assert training.train_minutes(minutes, "linear").metrics["training_r2"] > 0.5
+    assert set(training.train_minutes(minutes, "forest").metrics) == {"rmse_log10", "rmse_minutes"}
+    for call in (lambda: training.train_delay(parts, "x"), lambda: training.train_minutes(minutes, "x")):
+        with pytest.raises(ValueError):
+            call()
+    catalog.ensure_database(spark, "ontime_experiment")
+    try:
+        trained = training.bucket_experiment(spark, flights, "ontime_experiment.runs", "first", 5, 6, str(tmp_path / "m"))
+        assert trained.metrics["accuracy"] > 0.5
+        logged = {r.metric: r.value for r in spark.table("ontime_experiment.runs").collect()}
+        assert logged == trained.metrics
+        again = catalog.load_model(str(tmp_path / "m")).transform(features.bucket_examples(flights))
+        assert again.where("predictedLabel is null").count() == 0
+    finally:
+        catalog.drop_outputs(spark, "ontime_experiment", ["runs"], with_database=True)
+
+
 def test_auroc_of_ties(spark):
     table = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "label int, score double")
     assert evaluate.auroc(table, "score") == pytest.approx(0.625)
