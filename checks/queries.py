@@ -585,6 +585,22 @@ def random_sample_by_class(v):
     return sampling.stack(*rows)
 
 
+@query("select Year, count(*) as rows, cast(sum(TaxiOut) as bigint) as taxi from hourly group by Year")
+def split_parts_together(v):
+    """The parts of a random split make up the table."""
+    whole = sampling.stack(*sampling.split(v.hourly(), [0.8, 0.2], seed=10))
+    return whole.groupBy("Year").agg(F.count("*").alias("rows"), F.sum("TaxiOut").alias("taxi"))
+
+
+@query("""select count(*) as flights, cast(sum(MaxPressure) as bigint) as pressure from hourly
+where WeatherDelay > 0""")
+def balance_keeps_delayed(v):
+    """A random balance keeps every delayed flight."""
+    drawn = sampling.balance(features.delay_examples(v.hourly()), "label", {1: 1.0, 0: 0.02}, seed=7)
+    late = drawn.where(F.col("label") == 1)
+    return late.agg(F.count("*").alias("flights"), F.sum("MaxPressure").alias("pressure"))
+
+
 # --- features ---------------------------------------------------------------
 
 _INDEX = """
@@ -821,3 +837,17 @@ def two_stage_scores(v):
         loaded.append(catalog.load_model(path))
     requests = score.fill_missing_weather(score.parse_requests(v.requests()))
     return score.score(requests, *loaded).select("FlightNum", "request", "predicted_delay", "result")
+
+
+@query("select 'by ' || score as run, score as column, 'auroc' as metric, auroc as value from ("
+       + _AUROC.format(score="score") + " union all " + _AUROC.format(score="prediction") + ")")
+def metric_log(v):
+    spark, database = v._spark, "ontime_metrics"
+    catalog.ensure_database(spark, database, shared.new_folder(spark, database))
+    table = f"{database}.runs_{uuid.uuid4().hex[:8]}"
+    made = v.predictions()
+    for score_name in ("score", "prediction"):
+        metrics = {"auroc": evaluate.auroc(made, score_name)}
+        catalog.log_metrics(spark, table, f"by {score_name}", {"column": score_name}, metrics)
+    logged = spark.table(table)
+    return rounded(logged.select("run", F.col("params")["column"].alias("column"), "metric", "value"))
