@@ -6,7 +6,7 @@ follows the domain of a measure, not the number of rows: every measure comes
 from a text field of at most six digits.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions.columns import log10_minutes, minutes_from_log10
@@ -183,9 +183,23 @@ def trend_lines(table: DataFrame, y: str, features: list[str]) -> DataFrame:
 
 
 def pair_points(table: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:
-    """Points for a scatter plot; with a limit, the first ones in order."""
+    """Points for a scatter plot; with a limit, the first ones in order.
+
+    Equal points are counted before the order is taken, so that few rows meet in
+    the task that takes it, and are repeated afterwards up to the limit.
+    """
     points = table.select(x, y)
-    return points if limit is None else points.orderBy(x, y).limit(limit)
+    if limit is None:
+        return points
+    counted = points.groupBy(x, y).agg(F.count("*").alias("n")).orderBy(x, y).limit(limit)
+    earlier = Window.orderBy(x, y).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(limit) - F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    return (
+        counted.select(x, y, F.least("n", room).alias("n"))
+        .where(F.col("n") > 0)
+        .select(x, y, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+        .drop("copy")
+    )
 
 
 def pair_corr(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

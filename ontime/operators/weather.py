@@ -187,9 +187,10 @@ def rollup_hourly(readings: DataFrame, by_wban: bool = True) -> DataFrame:
 
     The first grouping leaves one row per different value. It is hashed on the
     value too, so a station-hour with very many readings is spread over all
-    tasks, and every statistic follows from it, distinct counts included.
-    Weather codes travel as numbers: text in an aggregate would make Spark sort
-    instead of hash.
+    tasks, and every statistic follows from it, distinct counts included. What
+    is left of a station-hour is bounded by the width of the fields, and comes
+    together as narrow rows rather than as wide partial results. Weather codes
+    travel as numbers: text in an aggregate would make Spark sort, not hash.
     """
     keys = [key for key in schemas.READING_KEYS if by_wban or key != "WBAN"]
     statistics = []
@@ -205,6 +206,7 @@ def rollup_hourly(readings: DataFrame, by_wban: bool = True) -> DataFrame:
     code = F.expr(f"cast(max(value) filter (where measure = {_CODE}) as bigint)")
     return (
         _long_readings(readings, keys)
+        .repartition(*keys)
         .groupBy(*keys)
         .agg(
             *[F.expr(statistic) for statistic in statistics],

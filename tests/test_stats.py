@@ -100,12 +100,13 @@ def test_trend_lines_equal_numpy(numbers):
     assert corr.corr == pytest.approx(known.x.corr(known.y)) and corr.n == len(known)
 
 
-def test_pair_points(numbers):
+@pytest.mark.parametrize("limit", [1, 10, 700, 5000])
+def test_pair_points(numbers, limit):
     table, data = numbers
-    points = stats.pair_points(table.where("x is not null"), "x", "y", 10).collect()
-    want = data.dropna().sort_values(["x", "y"]).head(10)
-    assert [tuple(r) for r in points] == list(zip(want.x, want.y))
-    assert stats.pair_points(table, "x", "y").count() == 3000
+    points = stats.pair_points(table.where("x is not null"), "x", "late", limit).collect()
+    want = data.dropna().sort_values(["x", "late"]).head(limit)
+    assert sorted(tuple(r) for r in points) == list(zip(want.x, want.late))
+    assert stats.pair_points(table, "x", "late").count() == 3000
 
 
 def test_values_are_counted_before_quantiles(numbers):
