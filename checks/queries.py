@@ -61,7 +61,7 @@ def rounded(table: DataFrame, digits: int = 6) -> DataFrame:
 @query("select try_cast(USAF as integer) as USAF, try_cast(WBAN as integer) as WBAN, StationN, Country, State, "
        "ICAO, Latitude, Longtitude, Elevation, Begin, \"End\" from fx_station_file")
 def station_csv_scan(v):
-    return files.read_stations(v._spark, v.station_file())
+    return files.read_stations(v.spark, v.station_file())
 
 
 @query("select cast(length(value) as integer) as length, count(*) as lines from fx_isd_lines group by 1")
@@ -83,18 +83,18 @@ from fx_flights where AirTime not in (60, 61, 62)
 
 @query(_FILE_FLIGHTS)
 def flight_csv_scan(v):
-    return files.read_flights(v._spark, v.flight_file())
+    return files.read_flights(v.spark, v.flight_file())
 
 
 @query("select AirTime not in (60, 61, 62) as valid, count(*) as rows from fx_flights group by 1")
 def flight_csv_validity(v):
-    rows = files.read_flights(v._spark, v.flight_file(), on_bad="keep")
+    rows = files.read_flights(v.spark, v.flight_file(), on_bad="keep")
     return rows.groupBy("valid").agg(F.count("*").alias("rows"))
 
 
 @query(f"select count(*) as rows from ({_FILE_FLIGHTS})")
 def flight_csv_count(v):
-    return reports.row_count(files.read_flights(v._spark, v.flight_file()))
+    return reports.row_count(files.read_flights(v.spark, v.flight_file()))
 
 
 # --- parsing ----------------------------------------------------------------
@@ -190,7 +190,7 @@ def departure_hours(v):
 
 @query("select Year, Month, count(*) as rows from hourly group by Year, Month")
 def enriched_table_round_trip(v):
-    spark, database = v._spark, "ontime_check"
+    spark, database = v.spark, "ontime_check"
     name = f"{database}.{schemas.HOURLY_TABLE}_{uuid.uuid4().hex[:8]}"
     catalog.ensure_database(spark, database, shared.new_folder(spark, database))
     catalog.save_enriched(v.hourly_flights(), name)
@@ -200,7 +200,7 @@ def enriched_table_round_trip(v):
 @query("select count(*) as flights, cast(sum(WeatherDelay) as bigint) as minutes from hourly where WeatherDelay > 0")
 def temp_view_report(v):
     v.hourly().createOrReplaceTempView("ontime_flights")
-    return v._spark.sql(
+    return v.spark.sql(
         "select count(*) as flights, sum(WeatherDelay) as minutes from ontime_flights where WeatherDelay > 0"
     )
 
@@ -740,7 +740,7 @@ group by p, n
 def prediction_auroc(v):
     made = v.predictions()
     rows = [(name, evaluate.auroc(made, name)) for name in ("score", "prediction")]
-    return rounded(v._spark.createDataFrame(rows, "score string, auroc double"))
+    return rounded(v.spark.createDataFrame(rows, "score string, auroc double"))
 
 
 # --- models (no SQL equivalent) ---------------------------------------------
@@ -748,7 +748,7 @@ def prediction_auroc(v):
 
 def _figures(v, rows) -> DataFrame:
     flat = [(model, name, float(value)) for model, values in rows for name, value in values.items()]
-    return v._spark.createDataFrame(flat, "model string, metric string, value double")
+    return v.spark.createDataFrame(flat, "model string, metric string, value double")
 
 
 def _delay_parts(v) -> training.Parts:
@@ -795,7 +795,7 @@ def bucket_forest_accuracy(v):
 
 @query()
 def bucket_experiment_log(v):
-    spark, database = v._spark, "ontime_metrics"
+    spark, database = v.spark, "ontime_metrics"
     catalog.ensure_database(spark, database, shared.new_folder(spark, database))
     log = f"{database}.runs_{uuid.uuid4().hex[:8]}"
     for trees, depth in ((5, 5), (10, 10)):
@@ -823,7 +823,7 @@ def delay_elbow(v):
 
 @query()
 def delay_cluster_minutes(v):
-    return models.cluster_minutes(models.fit_delay_clusters(v.hourly(), 4), v._spark)
+    return models.cluster_minutes(models.fit_delay_clusters(v.hourly(), 4), v.spark)
 
 
 @query()
@@ -832,7 +832,7 @@ def two_stage_scores(v):
     regressor = training.train_minutes(training.minutes_parts(v.hourly()), "forest").model
     loaded = []
     for model in (classifier, regressor):
-        path = shared.new_folder(v._spark, "model")
+        path = shared.new_folder(v.spark, "model")
         catalog.save_model(model, path)
         loaded.append(catalog.load_model(path))
     requests = score.fill_missing_weather(score.parse_requests(v.requests()))
@@ -842,7 +842,7 @@ def two_stage_scores(v):
 @query("select 'by ' || score as run, score as column, 'auroc' as metric, auroc as value from ("
        + _AUROC.format(score="score") + " union all " + _AUROC.format(score="prediction") + ")")
 def metric_log(v):
-    spark, database = v._spark, "ontime_metrics"
+    spark, database = v.spark, "ontime_metrics"
     catalog.ensure_database(spark, database, shared.new_folder(spark, database))
     table = f"{database}.runs_{uuid.uuid4().hex[:8]}"
     made = v.predictions()

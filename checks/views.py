@@ -166,19 +166,19 @@ class Views:
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
+        self.spark = spark
         self._folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def _view(self, sql: str, *tables: str) -> DataFrame:
-        return self._spark.sql(sql, **{name: self.table(name) for name in tables})
+        return self.spark.sql(sql, **{name: self.table(name) for name in tables})
 
     def _once(self, name: str, write) -> str:
-        key = (self._spark.sparkContext.applicationId, self._folder, name)
+        key = (self.spark.sparkContext.applicationId, self._folder, name)
         if key not in _WRITTEN:
-            path = new_folder(self._spark, name)
+            path = new_folder(self.spark, name)
             write(path)
             _WRITTEN[key] = path
         return _WRITTEN[key]
@@ -188,23 +188,23 @@ class Views:
 
     def isd_lines(self) -> DataFrame:
         lines = self._view(FX_ISD_LINES, "lineitem")
-        return read_isd_lines(self._spark, self._once("isd", lines.write.text))
+        return read_isd_lines(self.spark, self._once("isd", lines.write.text))
 
     def gsod_lines(self) -> DataFrame:
         lines = self._view(FX_GSOD_LINES, "lineitem")
-        return read_gsod_lines(self._spark, self._once("gsod", lines.write.text))
+        return read_gsod_lines(self.spark, self._once("gsod", lines.write.text))
 
     def flights(self) -> DataFrame:
         return self._view(FX_FLIGHTS, "lineitem", "supplier")
 
     def station_file(self) -> str:
         """Path of the station catalogue as CSV."""
-        rows = self._spark.sql(FX_STATION_FILE, fx_stations=self.stations())
+        rows = self.spark.sql(FX_STATION_FILE, fx_stations=self.stations())
         return self._once("stations", lambda path: rows.write.csv(path, header=True))
 
     def flight_file(self) -> str:
         """Path of the flights as CSV, with unreadable rows."""
-        lines = self._spark.sql(FX_FLIGHT_LINES, fx_flights=self.flights())
+        lines = self.spark.sql(FX_FLIGHT_LINES, fx_flights=self.flights())
         header = ",".join(field.split()[0] for field in FLIGHT_SCHEMA.split(", "))
         # One column under a name that is the header; the separator never occurs.
         file = lines.withColumnRenamed("line", header)
@@ -223,18 +223,18 @@ class Views:
 
     def hourly(self) -> DataFrame:
         """The saved table of flights with hourly weather."""
-        return self._spark.read.parquet(
+        return self.spark.read.parquet(
             self._once("hourly", lambda path: write_enriched(self.hourly_flights(), path))
         )
 
     def daily(self) -> DataFrame:
         """The saved table of flights with daily weather."""
-        return self._spark.read.parquet(
+        return self.spark.read.parquet(
             self._once("daily", lambda path: write_enriched(self.daily_flights(), path))
         )
 
     def requests(self) -> DataFrame:
-        return self._spark.sql(FX_REQUESTS, hourly=self.hourly())
+        return self.spark.sql(FX_REQUESTS, hourly=self.hourly())
 
     def predictions(self) -> DataFrame:
-        return self._spark.sql(FX_PREDICTIONS, hourly=self.hourly())
+        return self.spark.sql(FX_PREDICTIONS, hourly=self.hourly())
