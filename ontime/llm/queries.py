@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import bpe, exact, language, licences, packing, quality_model, quality_rules, secrets, simhash
+from ontime.llm import bpe, exact, language, licences, line_dedup, packing, quality_model, quality_rules, secrets, simhash
 from ontime.llm.common import documents, labels
 
 #: Vocabulary file of the tokenizer that the queries use.
@@ -46,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": _with_labels(quality_rules.op6_quality_rules),
     "op7_secret_scan": _on_documents(secrets.op7_secret_scan),
     "op8_exact_dedup": _on_documents(exact.op8_exact_dedup),
+    "op9_fuzzy_line_dedup": _on_documents(line_dedup.op9_fuzzy_line_dedup),
     "op10_licence_scan": _on_documents(licences.op10_licence_scan),
 }
 
