@@ -16,7 +16,7 @@ import json
 import mmap
 import os
 import re
-import shutil
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +32,7 @@ from ontime.sources.shared import new_folder
 
 LEXICON_WORDS = 100_000  #: at most so many words in the automaton
 BLOCK_CHARS = 1_000_000  #: characters that a task splits at once
-CACHE_WORDS = 400_000  #: words that a worker remembers; then it starts anew
+CACHE_WORDS = 300_000  #: words that a worker remembers, twice
 COUNTER_WORDS = 300_000  #: words that a counting task holds before it hands them on
 
 _ANY = regex.compile(
@@ -49,6 +49,10 @@ _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 _SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
+_EMPTY: dict[int, int] = {}
+_NONE = 1 << 60  # the rank of a pair that doesn't merge
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins for bytes in byte-level vocabularies."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,22 +74,30 @@ class Merges:
         self.bytes_of = {i: bytes(stand_in[c] for c in word) for word, i in ids.items()}
         self.bytes_of |= {i: content.encode() for content, i in self.specials.items()}
         self.id_of_byte = [ids[c] for c, _ in sorted(stand_in.items(), key=lambda x: x[1])]
-        self.ranks = {(ids[a] << 32) | ids[b]: (r, ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]  # by rank
+        self.ranks = [_EMPTY] * (max(ids.values()) + 1)  # by left id: rank by right id
+        for rank, (a, b) in enumerate(pairs):
+            if self.ranks[ids[a]] is _EMPTY:
+                self.ranks[ids[a]] = {}
+            self.ranks[ids[a]][ids[b]] = rank
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: the lowest rank first, and of equal ones the leftmost."""
         ids, ranks = [self.id_of_byte[b] for b in word], self.ranks
         if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = ranks.get((ids[i] << 32) | ids[i + 1])
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+        found = [ranks[a].get(b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]  # of each pair
+        while found:
+            best = min(found)
+            if best == _NONE:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = found.index(best)
+            ids[i] = new = self.made[best]
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = ranks[ids[i - 1]].get(new, _NONE)
+            if i < len(found):
+                found[i] = ranks[new].get(ids[i + 1], _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -95,17 +107,17 @@ class Merges:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < len(ids) and (found := self.ranks.get((ids[i] << 32) | ids[j])):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if j < len(ids) and (rank := self.ranks[ids[i]].get(ids[j], _NONE)) != _NONE:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
 
         for i in range(len(ids) - 1):
             offer(i)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= len(ids) or ids[j] != right:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = self.made[rank], -1, after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
             if before[i] >= 0:
@@ -203,7 +215,7 @@ class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers, and back."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None = None):
-        self.merges, self.lexicon, self.known = merges, lexicon, {}
+        self.merges, self.lexicon, self.known, self.before = merges, lexicon, {}, {}
         self.ids_of_special = {x.encode(): np.array([i], "<u4").tobytes() for x, i in merges.specials.items()}
         self.special = re.compile("|".join(map(re.escape, merges.specials)) or r"(?!)")
 
@@ -226,14 +238,21 @@ class Encoder:
                 at = found.end()
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of the words that aren't known yet."""
-        new = [(w, w.encode()) for w in words if w not in self.known]
+        """Remember the ids of the words; when too many are remembered, those not seen since the last time go."""
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = [(w, w.encode()) for w in words]
-        ranks = self.lexicon.rank([b for _, b in new]) if self.lexicon else np.full(len(new), -1)
-        for (word, raw), rank in zip(new, ranks.tolist(), strict=True):
-            self.known[word] = self.lexicon.ids_of(rank) if rank >= 0 else np.array(self.merges.merge(raw), "<u4").tobytes()
+            self.before, self.known, new = self.known, {}, words
+        fresh = []
+        for word in new:
+            if ids := self.before.get(word):
+                self.known[word] = ids
+            else:
+                fresh.append(word)
+        raw = [w.encode() for w in fresh]
+        ranks = self.lexicon.rank(raw).tolist() if self.lexicon else [-1] * len(raw)
+        merge = self.merges.merge
+        for word, each, rank in zip(fresh, raw, ranks, strict=True):
+            self.known[word] = self.lexicon.ids_of(rank) if rank >= 0 else array("I", merge(each)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -243,7 +262,7 @@ class Encoder:
                 made.append(b"".join(self._encode_part(*part) for part in self.parts(texts[block.start])))
                 continue
             split = [[([part], True) if special else (self.split(part), False) for part, special in self.parts(t)] for t in texts[block]]
-            self.learn({w for parts in split for words, special in parts if not special for w in words})
+            self.learn(set().union(*(words for parts in split for words, special in parts if not special)))
             for parts in split:
                 made.append(b"".join(self.ids_of_special[words[0].encode()] if special else b"".join(map(self.known.__getitem__, words)) for words, special in parts))
         return made
