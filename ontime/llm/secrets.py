@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and character Markov models of random strings.
 
 Two models of character pairs are trained, one on the values that the base patterns
-find (random strings), one on words of letters (ordinary identifiers), both from a
-sample of the documents. A long token outside of the base spans whose log-likelihood
+find (random strings), one on words of letters, dashes and underscores (ordinary
+identifiers), both from a sample of the documents. A long token outside of the base spans whose log-likelihood
 ratio favours the random model is a secret too. All of it is column expressions.
 
 Positions are code points. Null and empty texts have no spans. Repeated rows are
@@ -24,10 +24,10 @@ KINDS = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "
 TOKEN = "[A-Za-z0-9+/_=-]"
 CANDIDATE = f"(?<!{TOKEN}){TOKEN}{{20,}}+"
 IDENTIFIER = f"(?<!{TOKEN})[A-Za-z_-]{{6,}}+(?!{TOKEN})"
-LEAST_RATIO = 10.0  #: natural logarithm
-LEAST_PER_PAIR = 0.35  #: of the ratio, so that length alone doesn't decide
+LEAST_RATIO = 8.0  #: natural logarithm
+LEAST_PER_PAIR = 0.3  #: of the ratio, so that length alone doesn't decide
 SAMPLE = 20_000  #: about so many documents are learned from
-PRIOR = 0.5  #: added to each pair's count
+PRIOR = 5.0  #: characters that the smoothing adds after each
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start: int, kind: int, stop: int, value: string>>"
@@ -77,14 +77,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     counts = counts.groupBy("random", "a", "b").agg(F.sum("count").alias("n")).collect()
 
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-."]
-    table = {kind: [[PRIOR] * 128 for _ in range(128)] for kind in (0, 1)}
-    for r in counts:
-        table[r.random][r.a][r.b] += r.n
-    ratio = [0.0] * (128 * 128)
-    for a in alphabet:
-        sums = [sum(table[kind][a][b] for b in alphabet) for kind in (0, 1)]
-        for b in alphabet:
-            ratio[128 * a + b] = round(math.log(table[1][a][b] / sums[1]) - math.log(table[0][a][b] / sums[0]), 6)
+    n = {(r.random, r.a, r.b): r.n for r in counts}
+
+    def model(kind: int) -> dict[tuple[int, int], float]:
+        """The chance of each second character, drawn towards its chance after any."""
+        ends = {b: sum(n.get((kind, a, b), 0) for a in alphabet) for b in alphabet}
+        usual = {b: (ends[b] + 1) / (sum(ends.values()) + len(alphabet)) for b in alphabet}
+        made = {}
+        for a in alphabet:
+            total = sum(n.get((kind, a, b), 0) for b in alphabet) + PRIOR
+            made |= {(a, b): (n.get((kind, a, b), 0) + PRIOR * usual[b]) / total for b in alphabet}
+        return made
+
+    random_model, plain_model, ratio = model(1), model(0), [0.0] * (128 * 128)
+    for (a, b), chance in random_model.items():
+        ratio[128 * a + b] = round(math.log(chance / plain_model[a, b]), 6)
     return ratio
 
 
