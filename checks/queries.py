@@ -362,6 +362,18 @@ def _describe_sql(table, columns):
     return " union all ".join(parts)
 
 
+@query(_describe_sql("(select cast(1000000000 as double) + DepDelay as shifted from hourly where DepDelay is not null)", ["shifted"]))
+def shifted_describe(v):
+    shifted = v.hourly().select((F.lit(1e9) + F.col("DepDelay")).alias("shifted"))
+    return rounded(stats.describe(shifted, ["shifted"]))
+
+
+@query("select Month, count(*) as rows from hourly where Month in (12, 1, 2) group by 1")
+def meteorological_winter(v):
+    winter = reports.season(v.hourly(), "winter", [12, 1, 2])
+    return winter.groupBy("Month").agg(F.count("*").alias("rows"))
+
+
 @query(_describe_sql("(select coalesce(DepDelay, 0) as depDelay, coalesce(WeatherDelay, 0) as weatherDelay "
                      "from hourly where WeatherDelay > 0)", ["weatherDelay", "depDelay"]))
 def delay_describe(v):
@@ -474,16 +486,11 @@ def daily_trend_lines(v):
 
 def _hazard_delays(v):
     """Delays counted where it snowed, and where it only rained."""
-    only_rain = fn.all_of(
-        [F.col("OriginRain") == 1]
-        + [F.col("Origin" + other) == 0 for other in ("Fog", "Snow", "Hail", "Thunder")]
-    )
-    delay = F.col("WeatherDelay")
     return v.daily().select(
         "OriginSnowDepth",
         "OriginPrecipitation",
-        fn.measure_if(F.col("OriginSnow") == 1, delay).alias("snowDelay"),
-        fn.measure_if(only_rain, delay).alias("rainDelay"),
+        reports.hazard_delay("Snow", only=False).alias("snowDelay"),
+        reports.hazard_delay("Rain").alias("rainDelay"),
     )
 
 
@@ -494,6 +501,13 @@ def snow_delay_points(v):
     return stats.pair_points(snowed, "OriginSnowDepth", "snowDelay", 100_000)
 
 
+@query("""select OriginSnowDepth, WeatherDelay as snowDelay from daily where OriginSnow = 1 and WeatherDelay > 0
+order by 1, 2 limit 50""")
+def snow_delay_first_points(v):
+    snowed = _hazard_delays(v).where(F.col("snowDelay") > 0)
+    return stats.pair_points(snowed, "OriginSnowDepth", "snowDelay", 50)
+
+
 @query("""select OriginPrecipitation, WeatherDelay as rainDelay from daily where OriginRain = 1 and OriginFog = 0
 and OriginSnow = 0 and OriginHail = 0 and OriginThunder = 0 and WeatherDelay > 0""")
 def rain_delay_points(v):
@@ -716,16 +730,13 @@ def two_stage_combine(v):
   round(sqrt(avg(pow(WeatherDelay - pow(10, log_minutes), 2))), 6) as rmse_minutes from fx_predictions""")
 def prediction_metrics(v):
     made = v.predictions().withColumn("log", fn.log10_minutes(F.col("WeatherDelay")))
-    hit = evaluate.hit_rate(F.col("label"), F.col("prediction"))
-    minutes = fn.minutes_from_log10(F.col("log_minutes"))
-    return rounded(
-        made.agg(
-            hit.alias("accuracy"),
-            (1 - hit).alias("test_error"),
-            evaluate.root_mean_square(F.col("log"), F.col("log_minutes")).alias("rmse"),
-            evaluate.root_mean_square(F.col("WeatherDelay"), minutes).alias("rmse_minutes"),
-        )
-    )
+    figures = [
+        evaluate.accuracy(made),
+        evaluate.rmse(made, "log", "log_minutes"),
+        evaluate.rmse_minutes(made, "WeatherDelay", "log_minutes"),
+    ]
+    rows = [figure.withColumn("row", F.lit(1)) for figure in figures]
+    return rounded(rows[0].join(rows[1], "row").join(rows[2], "row").drop("row"))
 
 
 _AUROC = """
@@ -743,6 +754,14 @@ def prediction_auroc(v):
     return rounded(v.spark.createDataFrame(rows, "score string, auroc double"))
 
 
+@query("""select score as threshold, round(sum(n) over down / sum(n) over (), 6) as "FPR", round(sum(p) over down / sum(p) over (), 6) as "TPR"
+from (select cast(score as double) as score, count(*) filter (where label = 1) as p, count(*) filter (where label <> 1) as n
+  from fx_predictions group by 1) window down as (order by score desc)""")
+def prediction_roc_curve(v):
+    made = evaluate.roc_points(v.predictions(), "score")
+    return made.withColumns({name: F.round(name, 6) for name in ("FPR", "TPR")})
+
+
 # --- models (no SQL equivalent) ---------------------------------------------
 
 

@@ -113,14 +113,11 @@ def max_valid(measure: Column, missing) -> Column:
 
 
 def code_to_number(code: Column) -> Column:
-    """A code of up to four ASCII characters as a number of the same order."""
+    """A code of up to four ASCII characters as a number of the same order; NULL for any other."""
     number = F.lit(0).cast("long")
     for place in range(1, 5):
         number = number * 256 + F.ascii(F.substring(code, place, 1))
-    fits = (F.octet_length(code) <= 4) & (F.octet_length(code) == F.length(code))
-    return F.when(code.isNull() | fits, number).otherwise(
-        F.raise_error(F.concat(F.lit("not a four-character code: "), code))
-    )
+    return F.when(code.rlike(r"^[\x01-\x7F]{0,4}$"), number)
 
 
 def number_to_code(number: Column) -> Column:

@@ -2,24 +2,22 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions.columns import log10_minutes, minutes_from_log10
+from ontime.sources.shared import materialize
 
 
-def auroc(
-    predictions: DataFrame, score: str = "rawPrediction", label: str = "label", bins: int = 0
-) -> float:
+def auroc(predictions: DataFrame, score: str = "rawPrediction", label: str = "label") -> float:
     """Area under the ROC curve of a score column.
 
     The raw score ranks flights finely. With ``score="prediction"`` only the
     predicted class counts, which gives another, coarser figure: name the score
-    when comparing models. Every distinct score is a threshold, unless ``bins``
-    asks for a coarser curve.
+    when comparing models. Every distinct score is a threshold.
     """
     return BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol=label, numBins=bins
+        rawPredictionCol=score, labelCol=label, numBins=0
     ).evaluate(predictions)
 
 
@@ -77,5 +75,36 @@ def training_auroc(model: PipelineModel) -> float:
 
 
 def roc_curve(model: PipelineModel) -> DataFrame:
-    """Training ROC curve of a logistic regression: columns FPR and TPR."""
+    """Training ROC curve of a logistic regression: columns FPR and TPR.
+
+    Spark thins this curve to about a thousand points; :func:`roc_points` is exact.
+    """
     return model.stages[-1].summary.roc
+
+
+def roc_points(predictions: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """Exact ROC curve: threshold, FPR and TPR of every distinct score.
+
+    Scores are counted, dealt by range and numbered within each range; the counts
+    of the higher ranges, one row each, are added. No task sees all scores.
+    """
+    good, bad = F.col(label) == 1, F.col(label) != 1
+    counts = predictions.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+        F.count_if(good).alias("p"), F.count_if(bad).alias("n")
+    )
+    ranged = counts.repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "scores")
+    parts = ranged.groupBy("part").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    higher = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    before = parts.select(
+        "part",
+        *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_before") for c in "pn"],
+        *[F.sum(c).over(whole).alias(f"{c}_all") for c in "pn"],
+    )
+    down = Window.partitionBy("part").orderBy(F.desc("threshold"))
+    return ranged.join(before, "part").select(
+        "threshold",
+        F.try_divide(F.col("n_before") + F.sum("n").over(down), F.col("n_all")).alias("FPR"),
+        F.try_divide(F.col("p_before") + F.sum("p").over(down), F.col("p_all")).alias("TPR"),
+    )

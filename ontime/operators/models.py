@@ -167,7 +167,7 @@ def cross_validate(
     validated = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid or logistic_grid(estimator),
-        evaluator=BinaryClassificationEvaluator(),
+        evaluator=BinaryClassificationEvaluator(numBins=0),
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,

@@ -1,10 +1,10 @@
 """Filters and grouped reports over the enriched flight tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime import schemas
-from ontime.functions.columns import all_of, delay_bucket, flag, pct
+from ontime.functions.columns import all_of, delay_bucket, flag, measure_if, pct
 
 # The measures a condition report looks at, and their missing codes.
 CONDITION_MEASURES = {
@@ -39,17 +39,26 @@ def valid_weather(flights: DataFrame, bounds: dict[str, int] | None = None) -> D
     return flights.where(all_of([F.col(name) < top for name, top in bounds.items()]))
 
 
-def season(flights: DataFrame, name: str) -> DataFrame:
-    """Flights of the season's months; prunes partitions of a saved table."""
-    return flights.where(F.col("Month").isin(*schemas.SEASON_MONTHS[name]))
+def season(flights: DataFrame, name: str, months: list[int] | None = None) -> DataFrame:
+    """Flights of the season's months, or of the caller's; prunes partitions of a saved table."""
+    return flights.where(F.col("Month").isin(*(months or schemas.SEASON_MONTHS[name])))
+
+
+def only_hazard(hazard: str, role: str = "Origin") -> Column:
+    """Whether the hazard was the only one reported."""
+    others = [h for h in ("Fog", "Rain", "Snow", "Hail", "Thunder") if h != hazard]
+    return all_of([F.col(role + hazard) == 1] + [F.col(role + other) == 0 for other in others])
 
 
 def hazard_only(flights: DataFrame, hazard: str, role: str = "Origin") -> DataFrame:
     """Flights for which the hazard was the only one reported."""
-    others = [h for h in ("Fog", "Rain", "Snow", "Hail", "Thunder") if h != hazard]
-    return flights.where(
-        all_of([F.col(role + hazard) == 1] + [F.col(role + other) == 0 for other in others])
-    )
+    return flights.where(only_hazard(hazard, role))
+
+
+def hazard_delay(hazard: str, role: str = "Origin", only: bool = True, delay: str = "WeatherDelay") -> Column:
+    """The delay of flights that met the hazard, or with ``only`` no other one; 0 for the rest."""
+    met = only_hazard(hazard, role) if only else F.col(role + hazard) == 1
+    return measure_if(met, F.col(delay))
 
 
 def row_count(table: DataFrame) -> DataFrame:

@@ -47,14 +47,16 @@ def density(table: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return counted.withColumn("density", F.try_divide(F.col("frequency"), area))
 
 
+def _long(table: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """One row per known value: measure, value."""
+    measures = table.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    return measures.unpivot(by, columns, "measure", "value").where(F.col("value").isNotNull())
+
+
 def value_counts(table: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """How often each value of each column occurs: measure, value, n."""
     by = by or []
-    measures = table.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = measures.unpivot(by, columns, "measure", "value")
-    return long.where(F.col("value").isNotNull()).groupBy(*by, "measure", "value").agg(
-        F.count("*").alias("n")
-    )
+    return _long(table, columns, by).groupBy(*by, "measure", "value").agg(F.count("*").alias("n"))
 
 
 def _quartiles() -> Column:
@@ -64,23 +66,25 @@ def _quartiles() -> Column:
 def describe(table: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation, extremes and quartiles of each column."""
     by = by or []
-    n, value = F.col("n"), F.col("value")
-    sums = value_counts(table, columns, by).groupBy(*by, "measure").agg(
-        F.sum(n).alias("count"),
-        F.sum(value * n).alias("total"),
-        F.sum(value * value * n).alias("squares"),
+    value = F.col("value")
+    long = _long(table, columns, by)
+    moments = long.groupBy(*by, "measure").agg(
+        F.count(value).alias("count"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        _quartiles().alias("q"),
     )
-    count, mean = F.col("count"), F.col("total") / F.col("count")
-    spread = F.greatest(F.col("squares") - mean * F.col("total"), F.lit(0.0))
-    return sums.select(
+    counts = value_counts(table, columns, by).groupBy(*by, "measure").agg(_quartiles().alias("q"))
+    keys = [*by, "measure"]
+    quartiles = counts.select("q", *[F.col(key).alias(f"of_{key}") for key in keys])
+    same = [F.col(key).eqNullSafe(F.col(f"of_{key}")) for key in keys]
+    return moments.join(quartiles, same).select(
         *by,
         "measure",
         "count",
-        mean.alias("mean"),
-        F.sqrt(F.try_divide(spread, count - 1)).alias("std"),
+        "mean",
+        "std",
         "min",
         F.col("q")[0].alias("q25"),
         F.col("q")[1].alias("q50"),

@@ -52,7 +52,7 @@ def _present_weather() -> Column:
 
     A line cannot start with this group: a marker in first place is not one.
     """
-    group = F.col("present_weather_group")
+    group = tail_after(F.col(LINE), schemas.PRESENT_WEATHER_MARKER)
     has_code = (F.instr(LINE, schemas.PRESENT_WEATHER_MARKER) > 1) & (F.length(group) >= 4)
     return F.when(has_code, F.rtrim(F.substring(group, 5, 4))).otherwise(
         schemas.NO_PRESENT_WEATHER
@@ -70,21 +70,19 @@ def _hourly_fields(lines: DataFrame) -> DataFrame:
 
 def _hourly_valid() -> Column:
     numbers = [name for name in schemas.HOURLY_FIELDS if name != "WBAN"]
-    return (F.length(LINE) >= schemas.HOURLY_LINE_LENGTH) & all_known(numbers)
+    plain_code = _present_weather().rlike(r"^[\x01-\x7F]*$")
+    return (F.length(LINE) >= schemas.HOURLY_LINE_LENGTH) & all_known(numbers) & plain_code
 
 
 def parse_isd(lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False) -> DataFrame:
     """Hourly readings from fixed-width lines (column ``value``).
 
-    A line that is too short or holds text in a numeric field is bad: it is
-    dropped, marked in a column ``valid``, or fails the query when it is
+    A line that is too short, holds text in a numeric field or has a weather code
+    with other than ASCII characters is bad: it is dropped, marked in a column ``valid``, or fails the query when it is
     reached. Readings without a WBAN are left out.
     """
     line = F.col(LINE)
-    groups = {
-        "precipitation_group": tail_after(line, schemas.PRECIPITATION_MARKER),
-        "present_weather_group": tail_after(line, schemas.PRESENT_WEATHER_MARKER),
-    }
+    groups = {"precipitation_group": tail_after(line, schemas.PRECIPITATION_MARKER)}
     precipitation = precipitation48(F.col("PrecipitationHour"), F.col("Precipitation"), exact_rate)
     return (
         _split_bad(_hourly_fields(lines), _hourly_valid(), on_bad)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -211,3 +212,14 @@ def test_training_runs(spark, tmp_path, flights):
 def test_auroc_of_ties(spark):
     table = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "label int, score double")
     assert evaluate.auroc(table, "score") == pytest.approx(0.625)
+
+
+def test_roc_points_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(s), int(y)) for s, y in zip(rng.integers(0, 40, 500) / 40, rng.integers(0, 2, 500))]
+    got = evaluate.roc_points(spark.createDataFrame(rows, "score double, label int"), "score").collect()
+    p, n = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    assert len(got) == len({s for s, _ in rows})
+    for r in got:
+        above = [y for s, y in rows if s >= r.threshold]
+        assert r.TPR == pytest.approx(sum(above) / p) and r.FPR == pytest.approx((len(above) - sum(above)) / n)

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from checks.compare import difference, duck
+from checks.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -24,11 +25,11 @@ def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_duckdb(spark, con, name):
     assert difference(spark, con, FOLDER, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert __spark_entry__.queries()[name](spark, FOLDER).count() > 0

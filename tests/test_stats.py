@@ -113,3 +113,11 @@ def test_values_are_counted_before_quantiles(numbers):
     plan = plan_of(stats.box_stats(numbers[0], "late", ["x", "y"])).split("== Initial Plan ==")[-1]
     first = [line for line in reversed(plan.splitlines()) if "Exchange hashpartitioning" in line][0]
     assert "value#" in first and "measure#" in first
+
+
+@pytest.mark.parametrize("values", [[1e9, 1e9 + 1, 1e9 + 2] * 100, [0.1] * 50, [7.0]])
+def test_standard_deviation_of_large_values(spark, values):
+    got = stats.describe(spark.createDataFrame([(x,) for x in values], "x double"), ["x"]).first()
+    want = spark.createDataFrame([(x,) for x in values], "x double").agg(F.stddev_samp("x")).first()[0]
+    assert (got.std is None) == (want is None)
+    assert want is None or got.std == pytest.approx(np.std(values, ddof=1), abs=1e-8)

@@ -192,12 +192,21 @@ def test_code_numbers_keep_order(spark):
     assert all(row.code == row.back for row in rows)
     known = [row for row in rows if row.code is not None]
     assert sorted(known, key=lambda r: r.n) == sorted(known, key=lambda r: r.code)
-    for wrong in ("FGRA1", "é"):
-        with pytest.raises(Exception, match="four-character"):
-            spark.createDataFrame([(wrong,)], "code string").select(fn.code_to_number(F.col("code"))).collect()
+    wrong = spark.createDataFrame([("FGRA1",), ("é",), ("A\0BC",)], "code string")
+    assert all(r.n is None for r in wrong.select(fn.code_to_number(F.col("code")).alias("n")).collect())
 
 
 def test_max_valid(spark):
     table = spark.createDataFrame([(1, 9999), (1, 5), (2, 9999), (3, None)], "k int, x int")
     got = table.groupBy("k").agg(fn.max_valid(F.col("x"), 9999).alias("m"))
     assert {r.k: r.m for r in got.collect()} == {1: 5, 2: 9999, 3: None}
+
+
+@pytest.mark.parametrize("code", ["é  ", "A\0BC"])
+def test_odd_code_is_a_bad_line_and_stops_nothing(spark, code):
+    lines = frame(spark, [isd_line(extra="AT1AU01" + code + "1"), isd_line(extra="AT1AU01RA  1")])
+    assert weather.bad_rows(lines).first().asDict() == {"lines": 2, "bad": 1}
+    rolled = weather.rollup_hourly(weather.parse_isd(lines)).collect()
+    assert [r.MaxPresentWeatherCode for r in rolled] == ["RA"]
+    kept = weather.parse_isd(lines, on_bad="keep")
+    assert sorted(r.valid for r in kept.collect()) == [False, True]
