@@ -110,15 +110,24 @@ def fit(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, marks: DataFrame, may_learn: Column) -> Model:
-    """The model of all rows of ``docs`` that ``may_learn`` allows and ``marks`` (doc_id, quality) labels."""
+    """The model of all rows of ``docs`` that ``may_learn`` allows and ``marks`` (doc_id, quality) labels.
+
+    Statistics are made before the join, so that no text is shuffled.
+    """
     size = len(STATISTICS) + 1
     good = marks.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumnRenamed("doc_id", "marked")
-    rows = docs.filter(may_learn).select("doc_id", body().alias("text")).join(good, F.col("doc_id") == F.col("marked")).select("quality", "text")
+
+    @F.pandas_udf("array<double>")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(statistics(texts.tolist())))
+
+    learnable = docs.filter(may_learn & F.col("doc_id").isNotNull()).select("doc_id", made(body()).alias("x"))
+    rows = learnable.join(good, F.col("doc_id") == F.col("marked")).select("quality", "x")
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, size, size))
         for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), statistics(batch["text"].tolist())])
+            x = np.column_stack([np.ones(len(batch)), np.array(batch["x"].tolist()).reshape(len(batch), size - 1)])
             for label in (0, 1):
                 own = x[batch["quality"].to_numpy() == label]
                 total[label] += own.T @ own
