@@ -94,14 +94,14 @@ def _log_delay_weights(flights: DataFrame) -> DataFrame:
     """log10 of the delay (0 where there is none) with its number of flights.
 
     Clustering weighted values equals clustering every flight, and there are
-    only as many values as different minutes. Sorting them makes the initial
-    draw repeatable.
+    only as many values as different minutes. Dealing them by range and sorting
+    them makes the initial draw repeatable.
     """
     values = flights.groupBy(or_zero(log10_minutes(F.col("WeatherDelay"))).alias("log")).agg(
         F.count("*").cast("double").alias("flights")
     )
     points = VectorAssembler(inputCols=["log"], outputCol="features").transform(values)
-    return points.repartition(1).sortWithinPartitions("log")
+    return points.repartitionByRange("log").sortWithinPartitions("log")
 
 
 def fit_delay_clusters(
