@@ -6,13 +6,17 @@ link; of each component of linked lines, the occurrence in the smallest doc_id (
 the first line) stays, all others go from their documents.
 
 * Signatures are minima of XOR-ed shingle hashes, combined before the shuffle; equal
-  lines are one row from there on. Bands of two minima find 99 % of the pairs at
-  the threshold and more above it.
-* In a bucket each line is compared with the bucket's smallest. Only lines that
+  lines are one row from there on. Eight bands of three minima find 99.7 % of the pairs
+  at the threshold and more above it, and few others.
+* A bucket's smallest and largest line come out of one aggregate; only buckets with more
+  lines are read again. Each line is compared with the bucket's smallest. Only lines that
   aren't similar to it are compared with all others of the bucket, in pairs that
   leave the join only if they are similar. So a bucket of near copies costs as many
   comparisons as lines, and nothing that a bucket links is lost.
 * Components follow by distributed union-find.
+* Before texts or lines are shuffled to few keys, a bitmap of the keys sends most others
+  away. It has ``PAGES`` pages at most however large the data, and lets through more than
+  it must where it fills up; the joins behind it decide.
 
 Lines are told apart by 128 bits of hash. Lines without a word always stay, as does a
 null text; null doc_ids sort last. Rows that repeat in doc_id and text are one
@@ -28,8 +32,9 @@ from ontime.sources.shared import materialize
 
 WIDTH = 8  #: characters of a shingle
 SIMILAR = 0.8
-HASHES, BAND = 10, 2  #: minima, and minima of a band
+HASHES, BAND = 24, 3  #: minima, and minima of a band
 SHINGLE = rf"(?<!\S)(?=(\S[^\n]{{0,{WIDTH - 1}}}))"
+PAGES, PAGE = 4096, 32_768  #: pages of a bitmap, and bits of a page (fixed by Spark)
 
 _ID = ["id1", "id2"]
 
@@ -41,25 +46,52 @@ def _lines(docs: DataFrame) -> DataFrame:
     return worded.withColumns({"id1": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
+def _slot(key: Column) -> tuple[Column, Column]:
+    """Page and bit of a key."""
+    slot = F.pmod(key, F.lit(PAGES * PAGE))
+    return F.shiftright(slot, 15).cast("int"), slot.bitwiseAND(PAGE - 1)
+
+
+def _marked(table: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose ``key`` may be among ``keys`` (one long column), or with "left_anti" surely isn't.
+
+    The broadcast bitmap has 16 MB at most.
+    """
+    page, bit = _slot(F.col(keys.columns[0]))
+    pages = keys.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    page, bit = _slot(table[key])
+    byte = F.conv(F.hex(F.substring(pages["bits"], F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
+    return table.join(F.broadcast(pages), (page == pages["page"]) & is_set, how)
+
+
 def _shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _set(line: Column) -> Column:
+    """The line's different shingles, hashed."""
+    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id1, id2, m0, ..): the minima of each different line."""
-    hashed = lines.select(*_ID, F.explode(_shingles(F.col("line"))).alias("s")).select(*_ID, F.xxhash64("s").alias("h"))
-    salts = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(HASHES)]
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c - (1 << 64) if c >= 1 << 63 else c))).alias(f"m{k}") for k, c in enumerate(salts)]
+    """(id1, id2, m0, ..): the minima of each different line, 32 bits each."""
+    hashed = lines.select(*_ID, F.explode(_shingles(F.col("line"))).alias("s")).select(*_ID, F.hash("s").alias("h"))
+    salts = [(0x9E3779B9 * (k + 1)) % (1 << 32) for k in range(HASHES)]
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c - (1 << 32) if c >= 1 << 31 else c))).alias(f"m{k}") for k, c in enumerate(salts)]
     return hashed.groupBy(*_ID).agg(*minima)
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """(bucket, id, first): lines of buckets with two or more, and the smallest of each bucket."""
-    bands = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{k + j}") for j in range(BAND))) for k in range(0, HASHES, BAND)))
-    name = F.concat(F.hex("id1"), F.lit("-"), F.hex("id2"))
-    rows = signed.select(name.alias("id"), F.explode(bands).alias("bucket"))
-    firsts = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.count("id").alias("n")).filter("n > 1")
-    return rows.join(firsts.select("bucket", "first"), "bucket").select("bucket", "id", "first")
+    """(bucket, id, first): lines of buckets with two or more but the smallest, and the smallest of each bucket, by id1."""
+    bands = [F.xxhash64(F.lit(k), *(F.col(f"m{k + j}") for j in range(BAND))).alias(f"b{k}") for k in range(0, HASHES, BAND)]
+    kept = materialize(signed.select("id1", *bands), "bands")
+    rows = kept.select(F.col("id1").alias("id"), F.explode(F.array(*kept.columns[1:])).alias("bucket"))
+    ends = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("n"))
+    ends = materialize(ends.filter("first <> last"), "ends")
+    more = ends.filter("n > 2").select("bucket", "first")
+    inner = _marked(rows, "bucket", more.select("bucket")).join(more, "bucket").filter("id <> first")
+    return ends.filter("n = 2").select("bucket", F.col("last").alias("id"), "first").unionByName(inner.select("bucket", "id", "first"))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -68,47 +100,53 @@ def _similar(a: Column, b: Column) -> Column:
     return both >= SIMILAR * (F.size(a) + F.size(b) - both)
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified links. ``sets`` has (id, shingles) of all members."""
-    first = sets.select(F.col("id").alias("first"), F.col("shingles").alias("of_first"))
-    pairs = members.filter("id <> first").select("id", "first").distinct()
-    judged = materialize(pairs.join(sets, "id").join(first, "first").select("id", "first", _similar(F.col("shingles"), F.col("of_first")).alias("near")), "judged")
-    apart = members.join(judged.filter(~F.col("near")).select("id", "first"), ["id", "first"]).select("bucket", F.col("id").alias("a")).distinct()
-    apart = apart.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    every = members.filter("id <> first").select("bucket", F.col("id").alias("b"))
-    others = every.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    met = apart.join(others, (apart["bucket"] == others["bucket"]) & (F.col("a") != F.col("b")) & _similar(F.col("of_a"), F.col("of_b")))
-    return judged.filter("near").select(F.col("id").alias("a"), F.col("first").alias("b")).union(met.select("a", "b"))
+def links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): verified links of lines, as (id1, id2). ``texts`` has (id1, id2, line) of all members and firsts."""
+    line = F.struct(*_ID)
+    of_id = texts.select(F.col("id1").alias("id"), line.alias("a"), F.col("line").alias("of_a"))
+    of_first = texts.select(F.col("id1").alias("first"), line.alias("b"), F.col("line").alias("of_b"))
+    pairs = members.select("id", "first").distinct().join(of_id, "id").join(of_first, "first")
+    judged = materialize(pairs.select("id", "first", "a", "b", _similar(_set(F.col("of_a")), _set(F.col("of_b"))).alias("near")), "judged")
+    far = judged.filter(~F.col("near")).select("id", "first").distinct()
+    apart = members.join(far, ["id", "first"]).select("bucket", "id").distinct().join(of_id, "id")
+    apart = apart.select("bucket", "a", _set(F.col("of_a")).alias("set_a"))
+    others = members.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("first")).distinct()
+    others = others.join(of_first, "first").select("bucket", "b", _set(F.col("of_b")).alias("set_b"))
+    met = apart.join(others, (apart["bucket"] == others["bucket"]) & (F.col("a") != F.col("b")) & _similar(F.col("set_a"), F.col("set_b")))
+    return judged.filter("near").select("a", "b").union(met.select("a", "b"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go."""
     lines = _lines(docs)
     members = materialize(candidates(signatures(lines)), "buckets")
-    wanted = members.select("id").distinct()
-    named = lines.withColumn("id", F.concat(F.hex("id1"), F.lit("-"), F.hex("id2")))
-    texts = named.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
-    sets = materialize(texts.select("id", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles")), "shingles")
-    rooted = components(links(members, sets))
+    wanted = members.select("id").union(members.select("first"))
+    texts = _marked(lines, "id1", wanted).groupBy(*_ID).agg(F.first("line").alias("line"))
+    rooted = components(links(members, materialize(texts, "texts")))
 
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "line_no")
-    found = named.select("id", place.alias("place")).join(rooted, F.col("id") == F.col("node"), "left")
-    found = materialize(found.select("place", F.coalesce("root", "id").alias("root")), "lines")
-    stays = found.groupBy("root").agg(F.min("place").alias("stays"), F.count("place").alias("n")).filter("n > 1")
-    gone = found.join(stays, "root").filter(F.col("place") != F.col("stays"))
-    return gone.select("place.doc_id", "place.text_key", "place.line_no")
+    rooted = rooted.select(F.col("node.id1").alias("id1"), F.col("node.id2").alias("id2"), "root")
+    found = lines.select(*_ID, "doc_id", "text_key", "line_no").join(rooted, _ID, "left")
+    root = [F.coalesce(F.col(f"root.{x}"), F.col(x)).alias(f"r{x[2]}") for x in _ID]
+    found = materialize(found.select(*root, "doc_id", "text_key", "line_no"), "lines")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "line_no")
+    stays = materialize(found.groupBy("r1", "r2").agg(F.min(place).alias("stays"), F.count("*").alias("n")).filter("n > 1"), "stays")
+    gone = _marked(found, "r1", stays.select("r1")).join(stays, ["r1", "r2"]).filter(place != F.col("stays"))
+    return gone.select("doc_id", "text_key", "line_no")
 
 
 def drop_similar_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) of each document, without the lines that go."""
     gone = dropped_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "gone")
-    held = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (text_key() == F.col("key")), "left")
+    gone = materialize(gone.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "gone"), "gone")
+    keyed = docs.select("doc_id", "text", text_key().alias("own_key"))
+    hit = _marked(keyed, "own_key", gone.select("key"))
+    hit = hit.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own_key") == F.col("key")), "left").select("doc_id", "text", "gone")
+    miss = _marked(keyed, "own_key", gone.select("key"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
     lines = F.split("text", "\n")
     rest = F.filter(lines, lambda line, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     sizes = [F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)).cast("long") for x in (lines, F.col("gone"))]
-    return held.select("doc_id", text.alias("text"), sizes[0].alias("n_lines"), sizes[1].alias("n_dropped"))
+    return hit.union(miss).select("doc_id", text.alias("text"), sizes[0].alias("n_lines"), sizes[1].alias("n_dropped"))
 
 
 def op9_fuzzy_line_dedup(docs: DataFrame) -> DataFrame:

@@ -126,10 +126,20 @@ def test_line_dedup(spark):
 
 def test_line_links_beyond_the_first_of_a_bucket(spark):
     """Lines that only link to each other, in a bucket whose first they don't resemble."""
-    sets = spark.createDataFrame([("a", [1, 2, 3, 4, 5]), ("b", list(range(10, 20))), ("c", list(range(10, 21))), ("d", [1, 2, 3, 4, 5, 6])], "id string, shingles array<long>")
-    members = spark.createDataFrame([(1, x, "a") for x in "abcd"], "bucket long, id string, first string")
-    got = {tuple(sorted((r.a, r.b))) for r in line_dedup.links(members, sets).collect()}
-    assert got == {("a", "d"), ("b", "c")}
+    words = [f"{c}{c}{k} padding" for c in "ab" for k in range(10)]
+    texts = [(1, 1, " ".join(words[:10])), (2, 1, " ".join(words[10:])), (3, 1, " ".join([*words[10:], "more"])), (4, 1, " ".join([*words[:10], "more"]))]
+    members = spark.createDataFrame([(1, x, 1) for x in (2, 3, 4)], "bucket long, id long, first long")
+    got = line_dedup.links(members, spark.createDataFrame(texts, "id1 long, id2 long, line string")).collect()
+    assert {tuple(sorted((r.a.id1, r.b.id1))) for r in got} == {(1, 4), (2, 3)}
+
+
+def test_bitmap(spark):
+    """A key that is there always passes; keys that share its bit do too, others don't."""
+    keys = spark.createDataFrame([(x,) for x in (0, 7, 8, 32_767, 32_768, -1, (1 << 27) + 5)], "k long")
+    table = spark.range(-3, 70_000).withColumnRenamed("id", "key")
+    expected = {0, 5, 7, 8, 32_767, 32_768, -1}
+    assert {r.key for r in line_dedup._marked(table, "key", keys).collect()} == expected
+    assert line_dedup._marked(table, "key", keys, "left_anti").count() == table.count() - len(expected)
 
 
 def test_quadratic_discriminant():
