@@ -28,6 +28,18 @@ def split(table: DataFrame, weights: list[float], seed: int) -> list[DataFrame]:
     return table.randomSplit(weights, seed)
 
 
+def draw_part(weights: list[float], seed: int) -> Column:
+    """A random part, from 0, in the given proportions. Once written, every read of a part gives the same rows."""
+    bounds = [sum(weights[:k]) / sum(weights) for k in range(1, len(weights))]
+    if not bounds:
+        return F.lit(0)
+
+    def passed(draw: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= draw))
+
+    return F.transform(F.array(F.rand(seed)), passed)[0]
+
+
 def balance(table: DataFrame, label: str, fractions: dict, seed: int) -> DataFrame:
     """Rows kept with a probability that depends on their label, in one scan."""
     return table.sampleBy(label, fractions, seed)

@@ -1,14 +1,16 @@
 """Training runs on an enriched table: examples, split, fit, evaluation.
 
-Examples are written to the shared folder before they are split. Training reads
-them many times, and neither the split nor a lost executor may change them.
+Examples are written to the shared folder with their part, drawn once, as partition
+column. Training reads a part many times, by partition filter alone, and neither a new
+draw nor a lost executor can change it.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ontime.operators import evaluate, features, models, sampling
 from ontime.sources import catalog, shared
@@ -36,15 +38,21 @@ class Parts:
     training: DataFrame
     test: DataFrame
     labels: StringIndexerModel | None = None
+    _fitted: dict[bool, StringIndexerModel] = field(default_factory=dict)
 
     def index(self, with_weather: bool) -> StringIndexerModel:
-        """Category index of the whole table."""
-        return features.fit_domain_index(self.flights, features.categories(with_weather))
+        """Category index of the whole table, fitted once for all training runs on these parts."""
+        if with_weather not in self._fitted:
+            self._fitted[with_weather] = features.fit_domain_index(self.flights, features.categories(with_weather))
+        return self._fitted[with_weather]
 
 
 def _parts(flights: DataFrame, examples: DataFrame, weights: list[float], seed: int) -> Parts:
-    written = shared.materialize(examples, "examples")
-    return Parts(flights, *sampling.split(written, weights, seed))
+    path = shared.new_folder(flights.sparkSession, "examples")
+    drawn = examples.withColumn("part", sampling.draw_part(weights, seed))
+    drawn.write.partitionBy("part").parquet(path)
+    written = flights.sparkSession.read.schema(drawn.schema).parquet(path)
+    return Parts(flights, *(written.where(F.col("part") == k).drop("part") for k in range(len(weights))))
 
 
 def delay_parts(flights: DataFrame, on_time_share: float = ON_TIME_SHARE, seed: int = 1) -> Parts:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ontime.operators import evaluate, features, models, sampling, score
 from ontime.plans import training
 from ontime.sources import catalog, shared
+from tests.conftest import plan_of
 
 
 @pytest.fixture(scope="module")
@@ -183,10 +184,18 @@ def test_two_stage_scores(spark, tmp_path, flights, domain, parts):
     assert {r.request: r.result for r in again.collect()} == {r.request: r.result for r in rows.values()}
 
 
+def test_draw_part(spark):
+    sizes = spark.range(40_000).groupBy(sampling.draw_part([1, 2, 1], 3).alias("part")).count().collect()
+    shares = {r.part: r["count"] / 40_000 for r in sizes}
+    assert shares == {0: pytest.approx(0.25, abs=0.02), 1: pytest.approx(0.5, abs=0.02), 2: pytest.approx(0.25, abs=0.02)}
+
+
 def test_training_runs(spark, tmp_path, flights):
     parts = training.delay_parts(flights, on_time_share=0.5)
     late = flights.where("WeatherDelay > 0").count()
     rows = parts.training.unionByName(parts.test)
+    assert "Sort" not in plan_of(parts.training) and "Sample" not in plan_of(parts.training)
+    assert parts.index(True) is parts.index(True)
     assert rows.where("label = 1").count() == late and rows.where("label = 0").count() < (6000 - late) * 0.6
     informed = training.train_delay(parts, "forest").metrics
     assert informed["auroc"] > training.train_delay(parts, "forest", with_weather=False).metrics["auroc"]
