@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's character shingles are the ``WIDTH`` characters from the start of each of
-its words. Lines whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more
+A line's character shingles are the ``WIDTH`` characters from each of its positions; a
+shorter line is a shingle itself. Lines whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more
 link; of each component of linked lines, the occurrence in the smallest doc_id (then
 the first line) stays, all others go from their documents.
 
@@ -33,7 +33,6 @@ from ontime.sources.shared import materialize
 WIDTH = 8  #: characters of a shingle
 SIMILAR = 0.8
 HASHES, BAND = 24, 3  #: minima, and minima of a band
-SHINGLE = rf"(?<!\S)(?=(\S[^\n]{{0,{WIDTH - 1}}}))"
 PAGES, PAGE = 4096, 32_768  #: pages of a bitmap, and bits of a page (fixed by Spark)
 
 _ID = ["id1", "id2"]
@@ -65,18 +64,32 @@ def _marked(table: DataFrame, key: str, keys: DataFrame, how: str = "left_semi")
     return table.join(F.broadcast(pages), (page == pages["page"]) & is_set, how)
 
 
-def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+def _wide(line: Column) -> Column:
+    """The line with four bytes a character, so that a shingle is found without counting from the start."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(wide: Column) -> Column:
+    """Where shingles start, in characters."""
+    return F.sequence(F.lit(0), F.greatest(F.octet_length(wide) / 4 - WIDTH, F.lit(0)).cast("int"))
+
+
+def _shingle(wide: Column, start: Column) -> Column:
+    """The shingle there, hashed."""
+    return F.xxhash64(F.substring(wide, start * 4 + 1, F.lit(4 * WIDTH)))
 
 
 def _set(line: Column) -> Column:
-    """The line's different shingles, hashed."""
-    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+    """The line's different shingles, hashed. The array of one makes the wide line once, not for each shingle."""
+    sets = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(_starts(wide), lambda i: _shingle(wide, i))))
+    return F.get(sets, F.lit(0))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(id1, id2, m0, ..): the minima of each different line, 32 bits each."""
-    hashed = lines.select(*_ID, F.explode(_shingles(F.col("line"))).alias("s")).select(*_ID, F.hash("s").alias("h"))
+    wide = lines.select(*_ID, _wide(F.col("line")).alias("wide"))
+    placed = wide.select(*_ID, "wide", F.explode(_starts(F.col("wide"))).alias("start"))
+    hashed = placed.select(*_ID, F.hash(_shingle(F.col("wide"), F.col("start"))).alias("h"))
     salts = [(0x9E3779B9 * (k + 1)) % (1 << 32) for k in range(HASHES)]
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c - (1 << 32) if c >= 1 << 31 else c))).alias(f"m{k}") for k, c in enumerate(salts)]
     return hashed.groupBy(*_ID).agg(*minima)

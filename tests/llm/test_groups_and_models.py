@@ -124,6 +124,33 @@ def test_line_dedup(spark):
     assert texts[50] is None and texts[52] == " \n\t" and texts[53] == "" and texts[0] == rows[0][1]
 
 
+def full_shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def alike(a, b):
+    a, b = full_shingles(a), full_shingles(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_line_shingles_start_everywhere(spark):
+    """Addresses, numbers, times and lines without spaces that begin alike are no copies; the first two rows' are."""
+    rng = random.Random(31)
+    same, kanji, emoji = "".join(rng.choices("abcdefghij", k=60)), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(40)), "".join(chr(0x1F600 + rng.randrange(70)) for _ in range(40))
+    rows = [(k, "\n".join(x + "!" * k for x in (same, kanji, emoji))) for k in range(2)]
+    rows += [(10 + k, "https://" + "".join(rng.choices("abcdefghijklmnop/", k=30))) for k in range(20)]
+    rows += [(40 + k, f"Order number 10000000{12 + 7 * k}") for k in range(12)] + [(60 + k, f"2024-01-{k + 10}T{k + 10}:{59 - k}:{k + 20}") for k in range(10)]
+    rows += [(80 + k, kanji[:8] + "".join(chr(0x3042 + rng.randrange(80)) for _ in range(30))) for k in range(10)] + [(95, "tiny"), (96, "tiny"), (97, "tint")]
+    lines = [(d, n, line) for d, text in rows for n, line in enumerate(text.split("\n"))]
+    different = {x[2] for x in lines}
+    label, seen, expected = roots(different, [p for p in itertools.combinations(different, 2) if alike(*p)]), set(), collections.Counter()
+    for d, _, line in lines:
+        expected[d] += label[line] in seen
+        seen.add(label[line])
+    assert expected[1] == 3 and expected[96] == 1 and expected.total() < 15
+    assert {r.doc_id: r.n_dropped for r in line_dedup.op9_fuzzy_line_dedup(frame(spark, rows)).collect()} == expected
+
+
 def test_line_links_beyond_the_first_of_a_bucket(spark):
     """Lines that only link to each other, in a bucket whose first they don't resemble."""
     words = [f"{c}{c}{k} padding" for c in "ab" for k in range(10)]
