@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and character Markov models of random strings.
 
 Two models of character pairs are trained, one on the values that the base patterns
-find (random strings), one on words of letters, dashes and underscores (ordinary
-identifiers), both from a sample of the documents. A long token outside of the base spans whose log-likelihood
+find (random strings), one on all other tokens (ordinary identifiers, numbers, dates,
+paths), both from a sample of the documents. A long token outside of the base spans whose log-likelihood
 ratio favours the random model is a secret too. All of it is column expressions.
 
 Positions are code points. Null and empty texts have no spans. Repeated rows are
@@ -11,6 +11,7 @@ scanned each. Without any sample the random model is uniform.
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 KINDS = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
 
 TOKEN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = f"(?<!{TOKEN}){TOKEN}{{20,}}+"
-IDENTIFIER = f"(?<!{TOKEN})[A-Za-z_-]{{6,}}+(?!{TOKEN})"
+LEAST_SIZE = 20  #: characters of a token that may be a secret
+CANDIDATE = f"(?<!{TOKEN}){TOKEN}{{{LEAST_SIZE},}}+"
+ORDINARY = f"{TOKEN}{{2,}}+"
 LEAST_RATIO = 8.0  #: natural logarithm
 LEAST_PER_PAIR = 0.3  #: of the ratio, so that length alone doesn't decide
 SAMPLE = 20_000  #: about so many documents are learned from
@@ -59,34 +61,71 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_spans(text, k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(KINDS)))
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` in place of the spans, which are in order."""
+
+    def step(made: Column, s: Column) -> Column:
+        fresh_span = s["start"] >= made["at"]
+        piece = F.concat(F.substring(text, made["at"] + 1, s["start"] - made["at"]), F.lit(mask))
+        return F.struct(
+            F.greatest(made["at"], s["stop"]).alias("at"),
+            F.when(fresh_span, F.concat(made["parts"], F.array(piece))).otherwise(made["parts"]).alias("parts"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    cut = F.aggregate(spans, zero, step)
+    return F.concat(F.array_join(cut["parts"], ""), F.substring(text, cut["at"] + 1, F.char_length(text)))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of each pair of ASCII characters, at 128 times the first plus the second.
 
-    Learned from about ``sample`` documents, chosen by a hash of doc_id. Only pair
-    counts reach the driver, 128 x 128 of each kind at most.
+    Learned from about ``sample`` documents, chosen by a hash of doc_id. Tokens outside of
+    the base spans count as ordinary, but long ones that are a secret by the ordinary
+    tokens of the other half of the documents, so that a secret doesn't vouch for itself.
+    Only pair counts reach the driver, 128 x 128 of each kind and half at most.
     """
     share = min(1.0, sample / max(docs.count(), 1))
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    text = body()
-    random = F.transform(base_spans(text), lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("word")))
-    plain = F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda w: F.struct(F.lit(0).alias("random"), w.alias("word")))
-    words = chosen.select(F.explode(F.concat(random, plain)).alias("w")).select("w.*").groupBy("random", "word").count()
-    pairs = words.select("random", "count", "word", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("word") - 1, F.lit(1)))).alias("i"))
-    first, second = F.ascii(F.substring("word", F.col("i"), F.lit(1))), F.ascii(F.substring("word", F.col("i") + 1, F.lit(1)))
-    counts = pairs.select("random", "count", first.alias("a"), second.alias("b")).filter("a < 128 and b between 1 and 127")
-    counts = counts.groupBy("random", "a", "b").agg(F.sum("count").alias("n")).collect()
-
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
+    found = chosen.select(half, body().alias("text"), F.array_sort(base_spans(body())).alias("base"))
+    random = F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("word")))
+    others = F.regexp_extract_all(_masked(F.col("text"), F.col("base"), " "), F.lit(ORDINARY), F.lit(0))
+    plain = F.transform(others, lambda w: F.struct(F.lit(0).alias("random"), w.alias("word")))
+    words = found.select("half", F.explode(F.concat(random, plain)).alias("w")).select("half", "w.*").groupBy("random", "half", "word").count()
+    words.persist()
+    n = _pair_counts(words)
+    judges = F.array(*(_literal(_log_ratios(Counter({x: m for x, m in n.items() if x[0] or x[1] != h}))) for h in (0, 1)))
+    long = (F.col("random") == 0) & (F.char_length("word") >= LEAST_SIZE)
+    n.subtract(_pair_counts(words.filter(long & _likely(F.col("word"), F.get(judges, F.col("half"))))))
+    words.unpersist()
+    return _log_ratios(n)
+
+
+def _pair_counts(words: DataFrame) -> Counter:
+    """How often each pair follows, by (random, half, first, second)."""
+    words = words.select("random", "half", "count", F.col("word").cast("binary").alias("word"))  # a place in it is found without counting
+    pairs = words.select("random", "half", "count", "word", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("word") - 1, F.lit(1)))).alias("i"))
+    first, second = (F.ascii(F.substring("word", F.col("i") + k, F.lit(1)).cast("string")) for k in (0, 1))
+    counts = pairs.select("random", "half", "count", first.alias("a"), second.alias("b")).filter("a < 128 and b between 1 and 127")
+    return Counter({(r.random, r.half, r.a, r.b): r.n for r in counts.groupBy("random", "half", "a", "b").agg(F.sum("count").alias("n")).collect()})
+
+
+def _log_ratios(counts: Counter) -> list[float]:
+    """The log-likelihood ratios of the smoothed models of both halves together."""
+    n: Counter = Counter()
+    for (random, _, a, b), times in counts.items():
+        n[random, a, b] += times
     alphabet = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-."]
-    n = {(r.random, r.a, r.b): r.n for r in counts}
 
     def model(kind: int) -> dict[tuple[int, int], float]:
         """The chance of each second character, drawn towards its chance after any."""
-        ends = {b: sum(n.get((kind, a, b), 0) for a in alphabet) for b in alphabet}
+        ends = {b: sum(n[kind, a, b] for a in alphabet) for b in alphabet}
         usual = {b: (ends[b] + 1) / (sum(ends.values()) + len(alphabet)) for b in alphabet}
         made = {}
         for a in alphabet:
-            total = sum(n.get((kind, a, b), 0) for b in alphabet) + PRIOR
-            made |= {(a, b): (n.get((kind, a, b), 0) + PRIOR * usual[b]) / total for b in alphabet}
+            total = sum(n[kind, a, b] for b in alphabet) + PRIOR
+            made |= {(a, b): (n[kind, a, b] + PRIOR * usual[b]) / total for b in alphabet}
         return made
 
     random_model, plain_model, ratio = model(1), model(0), [0.0] * (128 * 128)
@@ -102,6 +141,15 @@ def _ratio(word: Column, ratio: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda total, i: total + F.get(ratio, i))
 
 
+def _likely(word: Column, ratio: Column) -> Column:
+    score, pairs = _ratio(word, ratio), F.char_length(word) - 1
+    return (score >= LEAST_RATIO) & (score >= LEAST_PER_PAIR * pairs)
+
+
+def _literal(ratio: list[float]) -> Column:
+    return F.from_json(F.lit(json.dumps(ratio)), "array<double>")
+
+
 def find(docs: DataFrame, ratio: list[float], *keep: str) -> DataFrame:
     """The ``keep`` columns, and under fresh names ``base`` and ``spans``: base spans and all spans, both in order.
 
@@ -109,17 +157,13 @@ def find(docs: DataFrame, ratio: list[float], *keep: str) -> DataFrame:
     """
     base, spans, more = (fresh(docs, name) for name in ("base", "spans", "more"))
     text = body()
-    model = F.from_json(F.lit(json.dumps(ratio)), "array<double>")
-    held = docs.select(*keep, F.array_sort(base_spans(text)).alias(base), _spans(text, len(KINDS), CANDIDATE, 0, 20).alias(more))
-
-    def likely(s: Column) -> Column:
-        score, pairs = _ratio(s["value"], model), F.char_length(s["value"]) - 1
-        return (score >= LEAST_RATIO) & (score >= LEAST_PER_PAIR * pairs)
+    model = _literal(ratio)
+    held = docs.select(*keep, F.array_sort(base_spans(text)).alias(base), _spans(text, len(KINDS), CANDIDATE, 0, LEAST_SIZE).alias(more))
 
     def apart(s: Column) -> Column:
         return ~F.exists(F.col(base), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
 
-    added = F.filter(F.col(more), lambda s: apart(s) & likely(s))
+    added = F.filter(F.col(more), lambda s: apart(s) & _likely(s["value"], model))
     return held.withColumn(spans, F.array_sort(F.concat(base, added))).drop(more), base, spans
 
 
@@ -133,18 +177,7 @@ def redact(docs: DataFrame, ratio: list[float]) -> DataFrame:
     """The documents with ``MASK`` in place of each secret, and n_chars as it is then."""
     held, _, spans = find(docs, ratio, *docs.columns)
     text = F.col("text")
-
-    def step(made: Column, s: Column) -> Column:
-        fresh_span = s["start"] >= made["at"]
-        piece = F.concat(F.substring(text, made["at"] + 1, s["start"] - made["at"]), F.lit(MASK))
-        return F.struct(
-            F.greatest(made["at"], s["stop"]).alias("at"),
-            F.when(fresh_span, F.concat(made["parts"], F.array(piece))).otherwise(made["parts"]).alias("parts"),
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    cut = F.aggregate(F.col(spans), zero, step)
-    clean = F.concat(F.array_join(cut["parts"], ""), F.substring(text, cut["at"] + 1, F.char_length(text)))
+    clean = _masked(text, F.col(spans), MASK)
     hit = F.size(spans) > 0
     made = held.withColumn("text", F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:

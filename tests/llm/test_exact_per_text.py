@@ -227,6 +227,36 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert all(x.startswith("assign") and "random" not in x for i, x in got.items() if i < 100)
 
 
+def random_keys(seed, n, size):
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(letters, size)) for _ in range(n)]
+
+
+def learned_rows():
+    """Texts with ordinary tokens of all kinds and base values, 60 of each."""
+    rng, words = np.random.default_rng(17), ["weekly", "market", "report", "history", "germany", "station", "wiki", "org", "com", "index"]
+    rows = []
+    for k, key in enumerate(random_keys(18, 60, 30)):
+        some, n = rng.choice(words, 12), rng.integers(0, 10, 60).astype(str)
+        date, path = f"20{n[0]}{n[1]}/0{n[2]}/1{n[3]}", "/".join(some[:3])
+        numbers = "".join(n[4:16]) + " " + "-".join("".join(n[i : i + 4]) for i in (16, 20, 24, 28))
+        rows.append((k, f"{' '.join(some)} {path}/{date}/{'-'.join(some[3:6])} {'_'.join(some[6:8])} {numbers} {'=' * 12} {'/' * 9} {'-' * 15} token={key}"))
+    return rows
+
+
+def test_ordinary_tokens_with_digits_and_signs_are_no_secrets(spark):
+    from tests.llm.conftest import frame
+
+    clean = ["=" * 30, "/" * 30, "-" * 40, "31415926535897932384", "1234-5678-9012-3456-7890", "com/2024/03/15/weekly-market-report", "org/wiki/History_of_Germany", "market_report/index=2024-03-15"]
+    keys = random_keys(19, 20, 30)
+    rows = learned_rows() + [(100 + k, f"see {x} there") for k, x in enumerate(clean)] + [(200 + k, f"see {x} there") for k, x in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.op7_secret_scan(frame(spark, rows)).collect()}
+    assert {x: got[100 + k] for k, x in enumerate(clean)} == dict.fromkeys(clean, "")
+    assert all("random" not in got[k] for k in range(60))
+    assert {got[200 + k] for k in range(20)} == {"random:4:34"}
+
+
 def test_redaction(spark):
     from tests.llm.conftest import frame
 
