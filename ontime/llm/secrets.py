@@ -2,8 +2,9 @@
 
 Two models of character pairs are trained, one on the values that the base patterns
 find (random strings), one on all other tokens (ordinary identifiers, numbers, dates,
-paths), both from a sample of the documents. A long token outside of the base spans whose log-likelihood
-ratio favours the random model is a secret too. All of it is column expressions.
+paths), both from a sample of the documents. What the base spans leave of a long token
+is a secret too if its log-likelihood ratio favours the random model; if not, each of its
+long parts between slashes and equals signs that does. All of it is column expressions.
 
 Positions are code points. Null and empty texts have no spans. Repeated rows are
 scanned each. Without any sample the random model is uniform.
@@ -25,6 +26,7 @@ KINDS = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "
 TOKEN = "[A-Za-z0-9+/_=-]"
 LEAST_SIZE = 20  #: characters of a token that may be a secret
 CANDIDATE = f"(?<!{TOKEN}){TOKEN}{{{LEAST_SIZE},}}+"
+PART = f"(?<![^/=])[^/=]{{{LEAST_SIZE},}}+"  #: of a candidate, between slashes and equals signs
 ORDINARY = f"{TOKEN}{{2,}}+"
 LEAST_RATIO = 8.0  #: natural logarithm
 LEAST_PER_PAIR = 0.3  #: of the ratio, so that length alone doesn't decide
@@ -97,7 +99,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     n = _pair_counts(words)
     judges = F.array(*(_literal(_log_ratios(Counter({x: m for x, m in n.items() if x[0] or x[1] != h}))) for h in (0, 1)))
     long = (F.col("random") == 0) & (F.char_length("word") >= LEAST_SIZE)
-    n.subtract(_pair_counts(words.filter(long & _likely(F.col("word"), F.get(judges, F.col("half"))))))
+    token = _span(F.lit(0), F.char_length("word"), F.col("word"))
+    taken = words.filter(long).select("random", "half", "count", F.explode(_secrets(token, F.get(judges, F.col("half")))["value"]).alias("word"))
+    n.subtract(_pair_counts(taken))
     words.unpersist()
     return _log_ratios(n)
 
@@ -150,6 +154,32 @@ def _literal(ratio: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(ratio)), "array<double>")
 
 
+def _span(start: Column, stop: Column, value: Column) -> Column:
+    """A span of a random string."""
+    return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), stop.alias("stop"), value.alias("value"))
+
+
+def _secrets(s: Column, ratio: Column) -> Column:
+    """The span if it is a secret; if not, those of its long parts that are."""
+    parts = F.transform(_spans(s["value"], len(KINDS), PART, 0, LEAST_SIZE), lambda p: _span(s["start"] + p["start"], s["start"] + p["stop"], p["value"]))
+    return F.when(_likely(s["value"], ratio), F.array(s)).otherwise(F.filter(parts, lambda p: _likely(p["value"], ratio)))
+
+
+def _outside(s: Column, base: Column) -> Column:
+    """What the base spans, which are in order, leave of a span."""
+
+    def piece(start: Column, stop: Column) -> Column:
+        return F.array(_span(start, stop, F.substring(s["value"], start - s["start"] + 1, stop - start)))
+
+    def step(made: Column, b: Column) -> Column:
+        left = F.when(b["start"] > made["at"], F.concat(made["spans"], piece(made["at"], b["start"]))).otherwise(made["spans"])
+        return F.struct(F.greatest(made["at"], b["stop"]).alias("at"), left.alias("spans"))
+
+    meeting = F.filter(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    cut = F.aggregate(meeting, F.struct(s["start"].alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans")), step)
+    return F.when(cut["at"] < s["stop"], F.concat(cut["spans"], piece(cut["at"], s["stop"]))).otherwise(cut["spans"])
+
+
 def find(docs: DataFrame, ratio: list[float], *keep: str) -> DataFrame:
     """The ``keep`` columns, and under fresh names ``base`` and ``spans``: base spans and all spans, both in order.
 
@@ -160,10 +190,8 @@ def find(docs: DataFrame, ratio: list[float], *keep: str) -> DataFrame:
     model = _literal(ratio)
     held = docs.select(*keep, F.array_sort(base_spans(text)).alias(base), _spans(text, len(KINDS), CANDIDATE, 0, LEAST_SIZE).alias(more))
 
-    def apart(s: Column) -> Column:
-        return ~F.exists(F.col(base), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-
-    added = F.filter(F.col(more), lambda s: apart(s) & _likely(s["value"], model))
+    pieces = F.flatten(F.transform(F.col(more), lambda s: _outside(s, F.col(base))))
+    added = F.flatten(F.transform(F.filter(pieces, lambda s: F.char_length(s["value"]) >= LEAST_SIZE), lambda s: _secrets(s, model)))
     return held.withColumn(spans, F.array_sort(F.concat(base, added))).drop(more), base, spans
 
 
