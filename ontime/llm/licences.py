@@ -73,6 +73,7 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[dict[int, int]] = [{}]  # sequence -> end of the first occurrence
+        self.places: list[dict[int, list[int]]] = [{}]  # sequence -> ends of all occurrences
         for sequence in sequences:
             last = 0
             for word in sequence:
@@ -82,8 +83,9 @@ class SuffixAutomaton:
             for end, word in enumerate(sequence, 1):
                 state = self.next[state][word]
                 up = state
-                while up > 0 and number not in self.ends[up]:
-                    self.ends[up][number] = end
+                while up > 0:
+                    self.ends[up].setdefault(number, end)
+                    self.places[up].setdefault(number, []).append(end)
                     up = self.link[up]
 
     def _state(self, length: int, moves: dict[int, int], link: int) -> int:
@@ -91,6 +93,7 @@ class SuffixAutomaton:
         self.length.append(length)
         self.link.append(link)
         self.ends.append({})
+        self.places.append({})
         return len(self.next) - 1
 
     def _split(self, at: int, word: int, old: int) -> int:
@@ -173,16 +176,18 @@ class Scanner:
             if stop - start >= LEAST_MATCH:
                 for end, length, state in automaton.matches(ids[start:stop].tolist()):
                     if length >= LEAST_MATCH:
-                        for template, at in automaton.ends[state].items():
-                            found.setdefault(template, []).append((start + end, at, length))
+                        for template, places in automaton.places[state].items():
+                            found.setdefault(template, []).extend((start + end, at, length) for at in places)
         score, spans = 0.0, []
         for template, matches in sorted(found.items()):
             chains: list[list[int]] = []  # text start, text end, template end, words covered
             for end, at, length in sorted(matches):
                 best = None
-                for chain in reversed(chains[-16:]):
+                for chain in reversed(chains):
+                    if end - length - chain[1] > MOST_GAP:  # chains are in the order of their ends
+                        break
                     overlap = max(0, chain[1] - (end - length), chain[2] - (at - length))
-                    if overlap < length and end - length - chain[1] <= MOST_GAP and 0 <= at - length + overlap - chain[2] <= MOST_GAP:
+                    if overlap < length and 0 <= at - length + overlap - chain[2] <= MOST_GAP:
                         grown = [chain[0], end, at, chain[3] + length - overlap]
                         best = grown if best is None or grown[3] > best[3] else best
                 chains.append(best or [end - length, end, at, length])

@@ -379,3 +379,14 @@ def test_collapse_in_parts_is_the_same(monkeypatch, odd):
     whole = {tuple(x.values()) for b in exact._merge(iter(partly)) for x in b.to_pylist()}
     assert whole == {tuple(x.values()) for b in exact._merge(iter(batches)) for x in b.to_pylist()}
     assert sum(x[4] for x in whole) == 200
+
+
+def test_licence_chains_through_a_repeated_passage():
+    """A passage that the template holds twice continues a chain at its second place too; edits stand on both sides of it."""
+    words = [f"w{k}x" for k in range(40)]
+    passage = ["one", "two", "three", "four", "five"]
+    template = [*words[:10], *passage, *words[10:30], *passage, *words[30:]]
+    scanner = licences.Scanner([("X", " ".join(template))], {})
+    text = [*words[:10], *passage, *words[10:28], "edit", *passage, "edit", *words[32:]]
+    *_, score, spans = scanner.scan(" ".join(text))
+    assert score == pytest.approx((len(template) - 4) / len(template)) and spans[-1][2] == len(text)
