@@ -57,6 +57,12 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def bounded(drawn: DataFrame, group: str, most: int) -> DataFrame:
+    """No more than ``most`` rows of each group, the smallest by ``draw``."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("draw"))
+    return drawn.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
 def text_key() -> Column:
     """Tells apart rows that share a doc_id."""
     return F.xxhash64("text")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontime.llm.common import body, code_points
+from ontime.llm.common import body, bounded, code_points
 from ontime.llm.quality_model import held_out
 
 #: Families of closely related languages.
@@ -124,19 +124,23 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
 
 
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
-    """The model of about ``sample`` documents of each language in ``lang``, of those that ``may_learn`` allows."""
+    """The model of about ``sample`` documents of each language in ``lang``, 2 * sample at most, of those that ``may_learn`` allows.
+
+    They are drawn by a hash of doc_id and text.
+    """
     known = docs.filter(may_learn & F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], {}, {})
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    draw = F.xxhash64("doc_id", "text")
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / n) * (1 << 30)))))
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series([vector(t) for t in texts])
 
-    rows = known.filter(part < share[F.col("lang")]).select("lang", vectors(body()).alias("x"))
+    drawn = known.filter(F.pmod(draw, F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text", draw.alias("draw"))
+    rows = bounded(drawn, "lang", 2 * sample).select("lang", vectors(body()).alias("x"))
     chosen = sorted((r for r in rows.filter("x is not null").collect()), key=lambda r: (r.lang, r.x))
     if not chosen:
         return Model([], {}, {})

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontime.llm.common import blocks, body, code_points
+from ontime.llm.common import blocks, body, bounded, code_points
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50  #: per cent of the words
@@ -243,8 +243,9 @@ def _gradient(w: np.ndarray, columns: np.ndarray, alive: np.ndarray, truth: np.n
 
 
 def train(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Model:
-    """Weights from about ``sample`` labelled documents of each kind, chosen by a hash of doc_id, and 4 * sample at most.
+    """Weights from about ``sample`` labelled documents of each kind, chosen by a hash of doc_id, and 2 * sample at most.
 
+    Where doc_ids repeat, the smallest rows by a hash of doc_id and text count.
     ``marks`` has doc_id and quality; where a document has several, the smallest counts.
     """
     good = marks.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -260,7 +261,9 @@ def train(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Model:
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([c.bits[c.words > 0] for c in count(texts.tolist())])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("marked")).select("quality", features(body()).alias("bits"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("marked"))
+    drawn = joined.select("quality", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    rows = bounded(drawn, "quality", 2 * sample).select("quality", features(body()).alias("bits"))
     found = sorted(((list(r.bits), r.quality == 0) for r in rows.collect() if r.bits), key=repr)
     return learn([(np.array(b, np.int64), bad) for b, bad in found])
 

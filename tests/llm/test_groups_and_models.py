@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import duck
-from ontime.llm import exact, language, line_dedup, quality_model, queries, simhash
+from ontime.llm import exact, language, line_dedup, quality_model, quality_rules, queries, simhash
 from ontime.llm.graph import components
 from tests.llm.conftest import frame, odd_texts, prose
 
@@ -219,6 +220,19 @@ def test_language_machines():
     assert single.predict(language.vector("hello")) == ("xx", 1.0)
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """Null and repeated doc_ids bring no more rows to the driver than the bound."""
+    seen = []
+    rows = [(k % 2 or None, prose(k, 20)) for k in range(300)] + [(2, prose(1000, 20))] * 100 + [(3, prose(2000 + k, 20)) for k in range(100)]
+    monkeypatch.setattr(language, "fit", lambda x, of: seen.append(len(of)))
+    language.train(frame(spark, rows), F.lit(True), 10)
+    assert 1 <= seen[-1] <= 20
+    monkeypatch.setattr(quality_rules, "learn", lambda lines: seen.append(collections.Counter(bad for _, bad in lines)))
+    marks = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    quality_rules.train(frame(spark, rows), marks, 10)
+    assert set(seen[-1]) == {True, False} and max(seen[-1].values()) <= 20
+
+
 def with_labels(operator):
     return operator in ("op4_quality_classifier", "op6_quality_rules")
 
