@@ -31,6 +31,7 @@ from ontime.llm.common import blocks, body
 from ontime.sources.shared import new_folder
 
 LEXICON_WORDS = 100_000  #: at most so many words in the automaton
+WORD_BYTES = 64  #: of a word in the automaton at most
 BLOCK_CHARS = 1_000_000  #: characters that a task splits at once
 CACHE_WORDS = 300_000  #: words that a worker remembers, twice
 COUNTER_WORDS = 300_000  #: words that a counting task holds before it hands them on
@@ -326,9 +327,10 @@ def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
     """Words by count, no more than ``most``: those above the smallest count that leaves so few.
 
     The number of words of each count is summed first, so that no more than
-    ``most`` words ever reach the driver.
+    ``most`` words ever reach the driver. Words of more than ``WORD_BYTES`` are left
+    to the exact merge, so their bytes are bounded too.
     """
-    counts = counts.persist()
+    counts = counts.filter(F.octet_length("word") <= WORD_BYTES).persist()
     least, kept = None, 0
     ladder = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()
     for row in ladder:

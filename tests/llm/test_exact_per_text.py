@@ -179,6 +179,11 @@ def test_crf_learns_lines():
     assert quality_rules.learn([x for x in made if not x[1]]) is quality_rules.NO_MODEL
 
 
+def test_long_words_stay_out_of_the_lexicon(spark):
+    words = [("short", 5), ("é" * 32, 3), ("é" * 33, 9), ("=" * 100_000, 7)]
+    assert set(bpe.frequent_words(spark.createDataFrame(words, "word string, n long"))) == {"short", "é" * 32}
+
+
 def base_secrets(text):
     kinds = [
         ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
