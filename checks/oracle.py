@@ -137,6 +137,25 @@ select * from hourly where MaxWindSpeed < 9999 and MinCeilingHeight < 99999 and
 }
 
 
+# The hourly chain once more, over the planted lines and flights.
+_CHAIN = ["fx_isd_lines", "isd_split", "isd_checked", "isd", "hourly_rollup", "hourly_airport", "fx_flights", "hourly"]
+_SOURCES = {"fx_isd_lines": views.FX_PLANTED_LINES, "fx_flights": views.FX_PLANTED_FLIGHTS}
+for _name in _CHAIN:
+    _text = _SOURCES[_name].format(**_NAMES) if _name in _SOURCES else _BLOCKS[_name]
+    _BLOCKS[f"planted_{_name}"] = re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"planted_\1", _text)
+# The joined tables without the flights that the file reader rejects.
+_BLOCKS["file_flights"] = "select * from fx_flights where AirTime not in (60, 61, 62)"
+for _name in ("hourly", "daily"):
+    _BLOCKS[f"file_{_name}"] = re.sub(r"\bfx_flights\b", "file_flights", _BLOCKS[_name])
+_HOLES = ", ".join(
+    f"case when cast(FlightNum as bigint) % {n} <> 0 then {name} end as {name}" for name, n in views.PLANTED_HOLES
+)
+_BLOCKS["planted"] = f"select * replace ({_HOLES}) from planted_hourly"
+_BLOCKS["planted_requests"] = views.FX_PLANTED_REQUESTS.format(planted="planted")
+#: The kind of weather of each flight with a known delay, which the wind tells by its gaps.
+_BLOCKS["planted_kinds"] = "select *, MaxWindSpeed // 100 as kind from planted where WeatherDelay >= 0"
+
+
 def with_blocks(sql: str) -> str:
     """The statement behind the building blocks that it needs."""
 

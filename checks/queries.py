@@ -5,15 +5,16 @@ Reports read the saved enriched tables; the enrichment queries and the flagship
 run the pipelines from raw lines.
 """
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracle import with_blocks
-from checks.views import Views
+from checks.views import PLANTED_MINUTES, Views
 from ontime import schemas
 from ontime.functions import columns as fn
 from ontime.operators import (
@@ -21,6 +22,7 @@ from ontime.operators import (
     evaluate,
     features,
     models,
+    rejects,
     reports,
     sampling,
     score,
@@ -33,6 +35,9 @@ from ontime.sources import catalog, files, shared
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: How far k-means may stay above the least cost, as a factor.
+ELBOW_MARGIN = 1.5
+
 
 def query(sql: str | None = None):
     """Register a function of the views under its name, with its SQL."""
@@ -197,6 +202,27 @@ def enriched_table_round_trip(v):
     return reports.coverage(catalog.load_enriched(spark, name), "Year", "Month")
 
 
+def _saved_weather(v, weather):
+    """The weather as a bucketed table, for as long as the session's folder is there."""
+    spark, database = v.spark, "ontime_weather"
+    catalog.ensure_database(spark, database, shared.new_folder(spark, database))
+    name = f"{database}.weather_{uuid.uuid4().hex[:8]}"
+    catalog.save_weather(weather, name)
+    return spark.table(name)
+
+
+@query(f"select {_ROUND_ROLLUP} from hourly")
+def enriched_from_saved_hourly_weather(v):
+    weather_table = _saved_weather(v, pipelines.hourly_weather(v.stations(), v.isd_lines()))
+    return rounded(enrich.enrich_hourly(v.flights(), weather_table), 3)
+
+
+@query("select * from daily")
+def enriched_from_saved_daily_weather(v):
+    weather_table = _saved_weather(v, pipelines.daily_weather(v.stations(), v.gsod_lines()))
+    return enrich.enrich_daily(v.flights(), weather_table)
+
+
 @query("select count(*) as flights, cast(sum(WeatherDelay) as bigint) as minutes from hourly where WeatherDelay > 0")
 def temp_view_report(v):
     v.hourly().createOrReplaceTempView("ontime_flights")
@@ -205,6 +231,37 @@ def temp_view_report(v):
     )
 
 
+def _table_from_files(v, kind: str, weather_path: str):
+    """Row counts of the saved table by month and what its ingest read and rejected; the tables are dropped afterwards."""
+    spark, database = v.spark, f"ontime_files_{uuid.uuid4().hex[:8]}"
+    catalog.ensure_database(spark, database, shared.new_folder(spark, database))
+    try:
+        coverage = pipelines.build_table(spark, database, v.station_file(), weather_path, v.flight_file(), kind)
+        months = [("rows", r.Year, r.Month, r.rows) for r in coverage.collect()]
+        logged = [(r.metric, None, None, int(r.value)) for r in spark.table(f"{database}.{pipelines.INGEST_LOG}").collect()]
+    finally:
+        catalog.drop_outputs(spark, database, [r.tableName for r in spark.sql(f"show tables in {database}").collect()], True)
+    return spark.createDataFrame(months + logged, "measure string, Year int, Month int, n bigint")
+
+
+def _table_from_files_sql(table: str, lines: str, rejected: str) -> str:
+    flights = "select count(*) as n, count(*) filter (where AirTime in (60, 61, 62)) as bad from fx_flights"
+    return f"""with f as ({flights}), w as (select count(*) as n, count(*) filter (where {rejected}) as bad from {lines})
+select 'rows' as measure, Year, Month, count(*) as n from {table} group by Year, Month
+union all select 'flights_read', null, null, n from f union all select 'flights_rejected', null, null, bad from f
+union all select 'weather_read', null, null, n from w union all select 'weather_rejected', null, null, bad from w"""
+
+
+@query(_table_from_files_sql("file_hourly", "isd_checked", "not good"))
+def hourly_table_from_files(v):
+    return _table_from_files(v, "hourly", v.isd_file())
+
+
+@query(_table_from_files_sql("file_daily", "gsod_checked", "not good"))
+def daily_table_from_files(v):
+    return _table_from_files(v, "daily", v.gsod_file())
+
+
 # --- reports ----------------------------------------------------------------
 
 _BY_YEAR = """
@@ -577,26 +634,46 @@ def stacked_classes(v):
     return sampling.stack(late, prompt).groupBy("label").agg(F.count("*").alias("flights"))
 
 
-@query()
+def _near_share(rows: Column, whole: Column, share: Column) -> Column:
+    """Whether a random draw of a share has a likely size: six standard deviations."""
+    return F.abs(rows - share * whole) <= 6 * F.sqrt(whole * share * (1 - share)) + 1
+
+
+@query("""select part, count(*) as flights, true as likely from hourly cross join (values ('training'), ('test')) p(part)
+group by part""")
 def random_split_sizes(v):
+    """Sizes of random parts, next to the number of flights that they make up."""
     parts = sampling.split(v.hourly(), [0.7, 0.3], seed=10)
+    whole = reports.row_count(v.hourly()).select(F.col("rows").alias("flights"))
     sizes = [
-        sampling.with_label(reports.row_count(part), name, "part")
-        for part, name in zip(parts, ("training", "test"))
+        sampling.with_label(reports.row_count(part).crossJoin(whole), name, "part").select(
+            "part", "flights", _near_share(F.col("rows"), F.col("flights"), F.lit(share)).alias("likely")
+        )
+        for part, name, share in zip(parts, ("training", "test"), (0.7, 0.3))
     ]
     return sampling.stack(*sizes)
 
 
-@query()
+@query("""select sample, label, count(*) as flights, true as likely from (
+  select case when WeatherDelay > 0 then 1 else 0 end as label from hourly where WeatherDelay >= 0)
+cross join (values ('by class'), ('one in ten')) s(sample) group by sample, label""")
 def random_sample_by_class(v):
+    """Sizes of random samples by class, next to those of the classes."""
     labelled = features.delay_examples(v.hourly())
     drawn = sampling.balance(labelled, "label", {1: 1.0, 0: 0.02}, seed=7)
     thin = sampling.sample_rows(labelled, 0.1, seed=7)
-    rows = [
-        sampling.with_label(part.groupBy("label").agg(F.count("*").alias("flights")), name, "sample")
-        for part, name in ((drawn, "by class"), (thin, "one in ten"))
-    ]
-    return sampling.stack(*rows)
+    whole = labelled.groupBy("label").agg(F.count("*").alias("flights"))
+    late = F.col("label") == 1
+    kept = []
+    for name, part, share in (
+        ("by class", drawn, F.when(late, 1.0).otherwise(0.02)),
+        ("one in ten", thin, F.lit(0.1)),
+    ):
+        sizes = part.groupBy("label").agg(F.count("*").alias("rows"))
+        near = _near_share(F.col("rows"), F.col("flights"), share)
+        sized = whole.join(sizes, "label", "left").select("label", "flights", F.coalesce(near, F.lit(False)).alias("likely"))
+        kept.append(sampling.with_label(sized, name, "sample"))
+    return sampling.stack(*kept)
 
 
 @query("select Year, count(*) as rows, cast(sum(TaxiOut) as bigint) as taxi from hourly group by Year")
@@ -717,6 +794,19 @@ def request_parse_fill(v):
     return score.fill_missing_weather(score.parse_requests(v.requests())).drop("request")
 
 
+@query("""select 'requests_read' as metric, cast(count(*) as double) as value from hourly union all
+select 'requests_rejected', cast(count(*) filter (where CRSDepTime % 3 <> 0 and CRSDepTime % 5 = 0) as double) from hourly union all
+select 'scored', cast(count(*) filter (where CRSDepTime % 3 = 0 or CRSDepTime % 5 <> 0) as double) from hourly""")
+def request_rejects(v):
+    """Requests read and rejected, counted while they are parsed; some lack their last value."""
+    short = F.when(F.col("request").rlike("^([^,]*,){12}") & (F.col("CRSDepTime") % 5 == 0), F.substring_index("request", ",", 12))
+    broken = v.counting().timed_requests().select(F.coalesce(short, F.col("request")).alias("request"))
+    seen = rejects.Counted("requests")
+    scored = score.parse_requests(broken, counted=seen).count()
+    metrics = seen.metrics() | {"scored": scored}
+    return v.spark.createDataFrame([(name, float(value)) for name, value in metrics.items()], "metric string, value double")
+
+
 @query("""select FlightNum, prediction, log_minutes,
   round(case when prediction = 1 then pow(10, log_minutes) else 0 end, 6) as result from fx_predictions""")
 def two_stage_combine(v):
@@ -762,100 +852,250 @@ def prediction_roc_curve(v):
     return made.withColumns({name: F.round(name, 6) for name in ("FPR", "TPR")})
 
 
-# --- models (no SQL equivalent) ---------------------------------------------
+# --- models, on flights whose delay follows a planted rule --------------------
+#
+# The rule separates kinds of weather by a gap, so a model that learns it gives exactly what
+# SQL states; a model that doesn't see the weather can't.
 
 
 def _figures(v, rows) -> DataFrame:
     flat = [(model, name, float(value)) for model, values in rows for name, value in values.items()]
-    return v.spark.createDataFrame(flat, "model string, metric string, value double")
+    return rounded(v.spark.createDataFrame(flat, "model string, metric string, value double"), 3)
 
 
 def _delay_parts(v) -> training.Parts:
     """All flights of both classes, none left out."""
-    return training.delay_parts(v.hourly(), on_time_share=1.0)
+    return training.delay_parts(v.planted(), on_time_share=1.0)
+
 
+_LATE = "select case when WeatherDelay > 0 then 1 else 0 end as label, kind from planted_kinds where MaxPresentWeatherCode is not null and MinVisibility is not null"
+# The area under ROC of the rule as a score.
+_RULE_AUROC = f"""rule as (select round((sum(case when label = 1 then r end) - p * (p + 1) / 2) / (p * (n - p)), 3) as auroc
+  from (select label, rank() over (order by kind) + (count(*) over (partition by kind) - 1) / 2.0 as r,
+    sum(label) over () as p, count(*) over () as n from ({_LATE})) group by p, n)"""
 
-def _with_and_without_weather(v, kind):
+
+def _rule_figures(*metrics: str) -> str:
+    names = ", ".join(f"('{name}')" for name in metrics)
+    return f"with {_RULE_AUROC} select 'with weather' as model, metric, auroc as value from rule cross join (values {names}) m(metric)"
+
+
+def _without_weather(v, parts, kind, informed):
+    """How much better a model ranks with weather, at most 0.2: what flights alone tell has no SQL."""
+    alone = training.train_delay(parts, kind, False).metrics["auroc"]
+    return ("with weather", {"ahead of flight only": min(informed["auroc"] - alone, 0.2)})
+
+
+def _delay_figures(v, kind):
     parts = _delay_parts(v)
-    runs = (("flight only", False), ("with weather", True))
-    return _figures(
-        v, [(name, training.train_delay(parts, kind, weather).metrics) for name, weather in runs]
-    )
+    informed = training.train_delay(parts, kind, True).metrics
+    return _figures(v, [("with weather", informed), _without_weather(v, parts, kind, informed)])
 
 
-@query()
+_AHEAD = " union all select 'with weather', 'ahead of flight only', 0.2"
+
+
+@query(_rule_figures("auroc", "auroc_hard_label") + _AHEAD)
 def delay_forest_auc(v):
-    return _with_and_without_weather(v, "forest")
+    return _delay_figures(v, "forest")
 
 
-@query()
+@query(_rule_figures("auroc", "auroc_hard_label", "training_auroc") + _AHEAD)
 def delay_logistic_auc(v):
-    return _with_and_without_weather(v, "logistic")
+    return _delay_figures(v, "logistic")
+
+
+@query("""select Year, Month, Day, Origin, Dest, UniqueCarrier, CRSDepHour, cast(case when kind > 0 then 1 else 0 end as double) as forest,
+  cast(case when kind > 0 then 1 else 0 end as double) as logistic
+from planted_kinds where MaxPresentWeatherCode is not null and MinVisibility is not null""")
+def delay_predictions(v):
+    """What both classifiers say of every flight, with delays of the parts that they were not fitted on included."""
+    parts = _delay_parts(v)
+    made = features.delay_examples(v.planted())
+    for kind in ("forest", "logistic"):
+        kept = [c for c in made.columns]
+        made = training.train_delay(parts, kind).model.transform(made).withColumnRenamed("prediction", kind).select(*kept, kind)
+    return made.select("Year", "Month", "Day", "Origin", "Dest", "UniqueCarrier", "CRSDepHour", "forest", "logistic")
 
 
-@query()
+@query(f"""with {_RULE_AUROC} select cast(case when auroc = 1 then 0 end as double) as fpr_at_all_delays,
+  cast(case when auroc = 1 then 1 end as double) as tpr_at_no_alarm, cast(0 as double) as first_fpr, cast(1 as double) as last_tpr from rule""")
 def logistic_roc_curve(v):
-    return evaluate.roc_curve(training.train_delay(_delay_parts(v), "logistic").model)
+    """The corners of the training curve: the false alarms that all delays cost, and the delays found without any."""
+    curve = evaluate.roc_curve(training.train_delay(_delay_parts(v), "logistic").model)
+    corners = curve.agg(
+        F.min(F.when(F.col("TPR") == 1, F.col("FPR"))).alias("fpr_at_all_delays"),
+        F.max(F.when(F.col("FPR") == 0, F.col("TPR"))).alias("tpr_at_no_alarm"),
+        F.min("FPR").alias("first_fpr"),
+        F.max("TPR").alias("last_tpr"),
+    )
+    return rounded(corners, 2)
 
 
-@query()
+@query(_rule_figures("auroc", "auroc_hard_label", "training_auroc", *(
+    f"cv_auroc reg={reg} net={net}" for reg in models.GRID_REG_PARAM for net in models.GRID_ELASTIC_NET)))
 def logistic_grid_search(v):
-    return _figures(v, [("grid", training.train_delay(_delay_parts(v), "grid").metrics)])
+    return _figures(v, [("with weather", training.train_delay(_delay_parts(v), "grid").metrics)])
 
 
-@query()
+_BUCKETS = """case when WeatherDelay <= 12 then '1.Less than 12 Minutes' when WeatherDelay <= 25 then '2.Between 12 Minutes and 25 Minutes'
+  when WeatherDelay <= 55 then '3.Between 25 Minutes and 55 Minutes' else '5.Beyond 55 minutes' end"""
+# How often the kind of weather tells the bucket.
+_BUCKET_HITS = f"""hits as (select avg(case when bucket = expected then 1.0 else 0.0 end) as accuracy from (
+  select {_BUCKETS} as bucket, mode({_BUCKETS}) over (partition by kind) as expected from planted_kinds where WeatherDelay > 0))"""
+
+
+def _bucket_figures_sql(column: str, *names: str) -> str:
+    runs = ", ".join(f"('{name}')" for name in names)
+    return f"""with {_BUCKET_HITS} select {column}, metric, case when metric = 'accuracy' then accuracy else 1 - accuracy end as value
+from hits cross join (values {runs}) r({column}) cross join (values ('accuracy'), ('test_error')) m(metric)"""
+
+
+@query(_bucket_figures_sql("model", "with weather", "with weather, 5 trees"))
 def bucket_forest_accuracy(v):
-    parts = training.bucket_parts(v.hourly())
-    runs = (("flight only", False, 10), ("with weather", True, 10), ("with weather, 5 trees", True, 5))
+    parts = training.bucket_parts(v.planted())
+    runs = (("with weather", True, 10), ("with weather, 5 trees", True, 5))
     return _figures(
         v, [(name, training.train_buckets(parts, weather, trees).metrics) for name, weather, trees in runs]
     )
 
 
-@query()
+@query(f"""select Year, Month, Day, Origin, Dest, {_BUCKETS} as "delayCat",
+  mode({_BUCKETS}) over (partition by kind) as "predictedLabel" from planted_kinds where WeatherDelay > 0""")
+def bucket_predictions(v):
+    """The predicted label of every delayed flight."""
+    model = training.train_buckets(training.bucket_parts(v.planted())).model
+    made = model.transform(features.bucket_examples(v.planted()))
+    return made.select("Year", "Month", "Day", "Origin", "Dest", "delayCat", "predictedLabel")
+
+
+@query(_bucket_figures_sql("run", "10 trees", "20 trees"))
 def bucket_experiment_log(v):
+    """Two experiments, whose models are saved and whose figures are read from the log table."""
     spark, database = v.spark, "ontime_metrics"
     catalog.ensure_database(spark, database, shared.new_folder(spark, database))
     log = f"{database}.runs_{uuid.uuid4().hex[:8]}"
-    for trees, depth in ((5, 5), (10, 10)):
+    for trees, depth in ((10, 8), (20, 10)):
         path = shared.new_folder(spark, "model")
-        training.bucket_experiment(spark, v.hourly(), log, f"{trees} trees", trees, depth, path)
-    return spark.table(log).select("run", "params", "metric", "value")
+        training.bucket_experiment(spark, v.planted(), log, f"{trees} trees", trees, depth, path)
+    return rounded(spark.table(log).select("run", "metric", "value"), 3)
 
 
-@query()
+@query("""with lines as (select log10(WeatherDelay) as y, avg(log10(WeatherDelay)) over (partition by MaxPresentWeatherCode) as guess,
+  WeatherDelay as m from planted_kinds where WeatherDelay > 0 and MaxPresentWeatherCode is not null),
+figures as (select sqrt(avg(pow(y - guess, 2))) as log_error, sqrt(avg(pow(m - pow(10, guess), 2))) as minute_error,
+  1 - sum(pow(y - guess, 2)) / (var_pop(y) * count(*)) as r2 from lines)
+select 'linear' as model, unnest(['rmse_log10', 'rmse_minutes', 'training_rmse', 'training_r2']) as metric,
+  unnest([round(log_error, 1), round(minute_error, 0), round(log_error, 1), round(r2, 1)]) as value from figures""")
 def minutes_linear_fit(v):
-    parts = training.minutes_parts(v.hourly())
-    return _figures(v, [("linear", training.train_minutes(parts, "linear").metrics)])
+    """One code for each kind of weather, so the line through the codes' means fits. It is found by iteration: few digits are stated."""
+    parts = training.minutes_parts(v.planted())
+    made = _figures(v, [("linear", training.train_minutes(parts, "linear").metrics)])
+    digits = F.when(F.col("metric") == "rmse_minutes", F.round("value", 0)).otherwise(F.round("value", 1))
+    return made.withColumn("value", digits)
+
+
+@query("""with lines as (select log10(WeatherDelay) as y, avg(log10(WeatherDelay)) over (partition by kind) as guess,
+  WeatherDelay as m from planted_kinds where WeatherDelay > 0 and MaxPresentWeatherCode is not null),
+figures as (select sqrt(avg(pow(y - guess, 2))) as log_error, sqrt(avg(pow(m - pow(10, guess), 2))) as minute_error from lines)
+select 'forest' as model, unnest(['rmse_log10', 'rmse_minutes']) as metric,
+  unnest([round(log_error, 1), round(minute_error, 0)]) as value from figures""")
+def minutes_forest_fit(v):
+    parts = training.minutes_parts(v.planted())
+    made = _figures(v, [("forest", training.train_minutes(parts, "forest").metrics)])
+    digits = F.when(F.col("metric") == "rmse_minutes", F.round("value", 0)).otherwise(F.round("value", 1))
+    return made.withColumn("value", digits)
+
+
+def _nearest_minutes(minutes: Column) -> Column:
+    """The minutes of the planted rule that a prediction comes closest to, by ratio."""
+    apart = [F.struct(F.abs(fn.log10_minutes(minutes) - math.log10(m)), F.lit(float(m))) for m in PLANTED_MINUTES if m]
+    return F.when(minutes > 0, F.array_min(F.array(*apart))["col2"]).otherwise(0.0)
+
+
+@query("""select Year, Month, Day, Origin, Dest, cast(round(pow(10, avg(log10(WeatherDelay)) over (partition by kind)), 0) as double) as linear,
+  cast(round(pow(10, avg(log10(WeatherDelay)) over (partition by kind)), 0) as double) as forest
+from planted_kinds where WeatherDelay > 0 and MaxPresentWeatherCode is not null""")
+def minutes_predictions(v):
+    """The predicted length of every delayed flight, as the planted length that it comes closest to."""
+    parts = training.minutes_parts(v.planted())
+    made = features.minutes_examples(v.planted())
+    for kind in ("linear", "forest"):
+        kept = [c for c in made.columns]
+        made = training.train_minutes(parts, kind).model.transform(made)
+        made = made.select(*kept, _nearest_minutes(fn.minutes_from_log10(F.col("prediction"))).alias(kind))
+    return made.select("Year", "Month", "Day", "Origin", "Dest", "linear", "forest")
+
+
+@query("""select kind, count(*) as flights, cast(sum(coalesce(MaxPrecipitation48, 9999)) filter (where MaxPrecipitation48 is null) as double) as filled_rain,
+  cast(sum(coalesce(MinVisibility, 999999)) as bigint) as sight, cast(max(coalesce(MinVisibility, 999999)) as integer) as most_sight
+from planted_kinds where WeatherDelay > 0 and MaxPresentWeatherCode is not null group by kind""")
+def examples_with_unknown_weather(v):
+    """Examples of delays with missing codes for unknown weather; an unknown code leaves a flight out."""
+    made = features.minutes_examples(v.planted())
+    kind = F.floor(F.col("MaxWindSpeed") / 100).cast("int").alias("kind")
+    filled = F.col("MaxPrecipitation48") == schemas.MISSING["Precipitation48"]
+    return made.groupBy(kind).agg(
+        F.count("*").alias("flights"),
+        F.sum(F.when(filled, F.col("MaxPrecipitation48"))).alias("filled_rain"),
+        F.sum("MinVisibility").alias("sight"),
+        F.max("MinVisibility").alias("most_sight"),
+    )
 
 
-@query()
-def minutes_forest_fit(v):
-    parts = training.minutes_parts(v.hourly())
-    return _figures(v, [("forest", training.train_minutes(parts, "forest").metrics)])
+# The least costs of k clusters on a line, by the same recursion in SQL: one step for each k.
+_DELAY_COUNTS = """points as (select log, sum(n) as n, row_number() over (order by log) as i from (
+  select coalesce(log10(case when WeatherDelay > 0 then WeatherDelay end), 0) as log, count(*) as n from hourly group by 1) group by log),
+middle as (select sum(n * log) / sum(n) as m from points),
+sums as (select i, sum(n) over (order by i) as w, sum(n * (log - m)) over (order by i) as x, sum(n * (log - m) * (log - m)) over (order by i) as xx
+  from points, middle union all select 0, 0, 0, 0),
+spans as (select a.i as first, b.i as last, greatest(b.xx - a.xx - (b.x - a.x) * (b.x - a.x) / (b.w - a.w), 0) as cost,
+  m + (b.x - a.x) / (b.w - a.w) as centre from sums a join sums b on a.i < b.i, middle),
+k1 as (select last, cost, [centre] as centres from spans where first = 0)"""
+_STEPS = ", ".join(
+    f"""k{k} as (select s.last, min(p.cost + s.cost) as cost, arg_min(list_append(p.centres, s.centre), p.cost + s.cost) as centres
+  from spans s join k{k - 1} p on p.last = s.first group by s.last)"""
+    for k in range(2, 10)
+)
+_LEAST = " union all ".join(f"select {k} as k, cost, centres from k{k} where last = (select max(i) from points)" for k in range(1, 10))
+_CLUSTERS = f"with {_DELAY_COUNTS}, {_STEPS}, least as ({_LEAST})"
 
 
-@query()
+@query(f"{_CLUSTERS} select cast(k as integer) as k, round(cost, 4) as least_cost, true as close from least where k > 1")
 def delay_elbow(v):
-    return models.elbow(v.hourly())
+    """The least cost for each number of clusters, and whether k-means comes close to it and never below."""
+    found = models.elbow(v.hourly()).join(models.exact_elbow(v.hourly()).withColumnRenamed("cost", "least_cost"), "k")
+    ratio = F.col("cost") / F.col("least_cost")
+    return rounded(found.select("k", "least_cost", ratio.between(1 - 1e-9, ELBOW_MARGIN).alias("close")), 4)
 
 
-@query()
+@query(f"""{_CLUSTERS} select cast(k as integer) as k, cast(unnest(generate_series(1, k)) as integer) as cluster,
+  round(pow(10, unnest(centres)), 3) as minutes, true as close from least where k in (4, 5)""")
 def delay_cluster_minutes(v):
-    return models.cluster_minutes(models.fit_delay_clusters(v.hourly(), 4), v.spark)
-
-
-@query()
+    """The best centres of four and five clusters in minutes, and whether the centres of k-means cost about as little."""
+    exact = models.exact_elbow(v.hourly()).where(F.col("k").isin(4, 5))
+    costs = []
+    for k in (4, 5):
+        centres = models.cluster_minutes(models.fit_delay_clusters(v.hourly(), k), v.spark)
+        costs.append(models.centre_cost(v.hourly(), centres.select("log10_value")).select(F.lit(k).alias("k"), F.col("cost").alias("found")))
+    ratio = F.col("found") / F.col("cost")
+    judged = exact.join(sampling.stack(*costs), "k").withColumn("close", ratio.between(1 - 1e-9, ELBOW_MARGIN))
+    placed = judged.select("k", "close", F.posexplode("centres").alias("place", "log"))
+    return rounded(placed.select("k", (F.col("place") + 1).alias("cluster"), fn.minutes_from_log10(F.col("log")).alias("minutes"), "close"), 3)
+
+
+@query("""select r.FlightNum, r.request, cast(case when kind > 0 then 1 else 0 end as double) as predicted_delay,
+  cast([0, 8, 20, 40, 100][kind + 1] as double) as minutes
+from (select FlightNum, request, cast(split_part(request, ',', 8) as integer) // 100 as kind from planted_requests) r""")
 def two_stage_scores(v):
+    """Expected minutes of requests that name the weather, by a saved and loaded model of both stages."""
     classifier = training.train_delay(_delay_parts(v), "logistic").model
-    regressor = training.train_minutes(training.minutes_parts(v.hourly()), "forest").model
-    loaded = []
-    for model in (classifier, regressor):
-        path = shared.new_folder(v.spark, "model")
-        catalog.save_model(model, path)
-        loaded.append(catalog.load_model(path))
-    requests = score.fill_missing_weather(score.parse_requests(v.requests()))
-    return score.score(requests, *loaded).select("FlightNum", "request", "predicted_delay", "result")
+    regressor = training.train_minutes(training.minutes_parts(v.planted()), "forest").model
+    path = shared.new_folder(v.spark, "model")
+    catalog.save_model(score.two_stage(classifier, regressor), path)
+    requests = score.fill_missing_weather(score.parse_requests(v.planted_requests()))
+    scored = score.score_two_stage(requests, catalog.load_model(path))
+    return scored.select("FlightNum", "request", "predicted_delay", _nearest_minutes(F.col("result")).alias("minutes"))
 
 
 @query("select 'by ' || score as run, score as column, 'auroc' as metric, auroc as value from ("

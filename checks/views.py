@@ -7,7 +7,9 @@ delays are planted.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ontime.operators.rejects import counting_session
 from ontime.plans import pipelines
 from ontime.schemas import FLIGHT_SCHEMA
 from ontime.sources.catalog import write_enriched
@@ -75,7 +77,7 @@ from (select l_partkey, concat(cast(case when l_partkey % 23 = 0 then 999999 els
 from {lineitem}) as lines
 """
 
-FX_FLIGHTS = """
+_FLIGHTS = """
 select cast(year(l_shipdate) as int) as Year, cast(month(l_shipdate) as int) as Month,
   cast(1 + day(l_shipdate) % 7 as int) as DayOfMonth, cast(1 + l_partkey % 7 as int) as DayOfWeek,
   cast((l_partkey % 4) * 100 + (l_orderkey + l_partkey) % 60 as int) as DepTime,
@@ -96,14 +98,44 @@ select cast(year(l_shipdate) as int) as Year, cast(month(l_shipdate) as int) as
   case when l_orderkey % 50 = 0 then 'B' else null end as CancellationCode,
   cast(case when l_orderkey % 70 = 0 then 1 else 0 end as int) as Diverted,
   cast(case when l_orderkey % 9 = 0 then null else l_partkey % 15 end as int) as CarrierDelay,
-  cast(case when l_orderkey % 9 = 0 then null when l_orderkey % 3 = 0 then l_partkey % 90 else 0 end as int)
-    as WeatherDelay,
+  cast(case when l_orderkey % 9 = 0 then null else {weather_delay} end as int) as WeatherDelay,
   cast(case when l_orderkey % 9 = 0 then null else l_orderkey % 25 end as int) as NASDelay,
   cast(case when l_orderkey % 9 = 0 then null else 0 end as int) as SecurityDelay,
   cast(case when l_orderkey % 9 = 0 then null else l_partkey % 35 end as int) as LateAircraftDelay
 from {lineitem} join {supplier} on l_suppkey = s_suppkey
 """
 
+FX_FLIGHTS = _FLIGHTS.replace("{weather_delay}", "case when l_orderkey % 3 = 0 then l_partkey % 90 else 0 end")
+
+# The planted rule: an airport-hour has one of five kinds of weather, a flight the delay of its kind. Kinds differ
+# by a gap in each measure, and no value of a flight alone tells the kind.
+_KIND = "greatest(0, (s_nationkey * 3 + month(l_shipdate) * 5 + (1 + day(l_shipdate) % 7) * 2 + l_partkey % 4) % 8 - 3)"
+PLANTED_CODES = ["0", "FG", "RA", "SN", "TS"]
+PLANTED_MINUTES = [0, 8, 20, 40, 100]
+
+
+def _by_kind(kind: str, values: list) -> str:
+    return f"case {kind} " + " ".join(f"when {k} then {value!r}" for k, value in enumerate(values)) + " end"
+
+
+FX_PLANTED_FLIGHTS = _FLIGHTS.replace("{weather_delay}", _by_kind(_KIND, PLANTED_MINUTES))
+
+FX_PLANTED_LINES = f"""
+select concat('0000', cast(700000 + l_suppkey as varchar(40)), lpad(cast(l_linenumber % 2 as varchar(40)), 5, '0'),
+  cast(year(l_shipdate) as varchar(40)), lpad(cast(month(l_shipdate) as varchar(40)), 2, '0'),
+  lpad(cast(1 + day(l_shipdate) % 7 as varchar(40)), 2, '0'), lpad(cast(l_partkey % 4 as varchar(40)), 2, '0'),
+  lpad('', 40, 'x'), lpad(cast(100 * kind + 10 + l_orderkey % 20 as varchar(40)), 4, '0'), '1',
+  lpad(cast(20000 - 3000 * kind - l_orderkey % 100 as varchar(40)), 5, '0'), 'xxx',
+  lpad(cast(150000 - 20000 * kind - l_orderkey % 500 as varchar(40)), 6, '0'), 'xxx', '+0100', 'xxxxxxx',
+  cast(10300 - 60 * kind - l_orderkey % 20 as varchar(40)), '1ADD',
+  'AA101', lpad(cast(10 * kind + l_orderkey % 4 as varchar(40)), 4, '0'), '31',
+  case when kind = 0 then '' else concat('AT1AU01', {_by_kind("kind", PLANTED_CODES)}, '  1') end) as value
+from (select *, {_KIND} as kind from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey) as readings
+"""
+
+# Weather that isn't known, as (column, which flights).
+PLANTED_HOLES = [("MaxPrecipitation48", 11), ("MinVisibility", 13), ("MaxPresentWeatherCode", 17)]
+
 
 # Station catalogue columns that the reader expects, from a row of fx_stations.
 FX_STATION_FILE = """
@@ -143,6 +175,16 @@ select FlightNum, concat_ws(',', cast(Month as varchar(9)), cast(Day as varchar(
 from {hourly}
 """
 
+# The same of planted flights, whose weather requests name; the delay model has seen no flight of unknown visibility or code.
+FX_PLANTED_REQUESTS = """
+select FlightNum, concat_ws(',', cast(Month as varchar(9)), cast(Day as varchar(9)),
+  cast(DayOfWeek as varchar(9)), cast(CRSDepHour as varchar(9)), UniqueCarrier, Origin, Dest,
+  cast(MaxWindSpeed as varchar(9)), cast(MinCeilingHeight as varchar(9)), cast(MinVisibility as varchar(9)),
+  cast(MaxPressure as varchar(9)), cast(cast(floor(coalesce(MaxPrecipitation48, 9999)) as int) as varchar(9)),
+  MaxPresentWeatherCode) as request
+from {planted} where MinVisibility is not null and MaxPresentWeatherCode is not null
+"""
+
 # Delayed flights with a made-up class, score and prediction of log10 minutes.
 FX_PREDICTIONS = """
 select FlightNum, case when WeatherDelay > 25 then 1 else 0 end as label,
@@ -169,6 +211,10 @@ class Views:
         self.spark = spark
         self._folder = folder.rstrip("/")
 
+    def counting(self) -> "Views":
+        """The same views in a session that may count rows."""
+        return Views(counting_session(self.spark), self._folder)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
@@ -186,13 +232,19 @@ class Views:
     def stations(self) -> DataFrame:
         return self._view(FX_STATIONS, "supplier", "nation")
 
+    def isd_file(self) -> str:
+        """Path of the hourly weather lines."""
+        return self._once("isd", self._view(FX_ISD_LINES, "lineitem").write.text)
+
     def isd_lines(self) -> DataFrame:
-        lines = self._view(FX_ISD_LINES, "lineitem")
-        return read_isd_lines(self.spark, self._once("isd", lines.write.text))
+        return read_isd_lines(self.spark, self.isd_file())
+
+    def gsod_file(self) -> str:
+        """Path of the daily weather lines."""
+        return self._once("gsod", self._view(FX_GSOD_LINES, "lineitem").write.text)
 
     def gsod_lines(self) -> DataFrame:
-        lines = self._view(FX_GSOD_LINES, "lineitem")
-        return read_gsod_lines(self.spark, self._once("gsod", lines.write.text))
+        return read_gsod_lines(self.spark, self.gsod_file())
 
     def flights(self) -> DataFrame:
         return self._view(FX_FLIGHTS, "lineitem", "supplier")
@@ -233,8 +285,32 @@ class Views:
             self._once("daily", lambda path: write_enriched(self.daily_flights(), path))
         )
 
+    def planted_lines(self) -> DataFrame:
+        lines = self._view(FX_PLANTED_LINES, "lineitem", "supplier")
+        return read_isd_lines(self.spark, self._once("planted-isd", lines.write.text))
+
+    def _planted(self) -> DataFrame:
+        flights = self._view(FX_PLANTED_FLIGHTS, "lineitem", "supplier")
+        joined = pipelines.hourly_flights(self.stations(), self.planted_lines(), flights)
+        unknown = {name: F.when(F.col("FlightNum").cast("bigint") % n != 0, F.col(name)) for name, n in PLANTED_HOLES}
+        return joined.withColumns(unknown)
+
+    def planted(self) -> DataFrame:
+        """The saved table of flights whose delay follows the weather, with unknown weather."""
+        return self.spark.read.parquet(
+            self._once("planted", lambda path: write_enriched(self._planted(), path))
+        )
+
+    def planted_requests(self) -> DataFrame:
+        return self.spark.sql(FX_PLANTED_REQUESTS, planted=self.planted())
+
     def requests(self) -> DataFrame:
         return self.spark.sql(FX_REQUESTS, hourly=self.hourly())
 
+    def timed_requests(self) -> DataFrame:
+        """Requests next to the departure time of their flight."""
+        timed = FX_REQUESTS.replace("select FlightNum", "select FlightNum, CRSDepTime", 1)
+        return self.spark.sql(timed, hourly=self.hourly())
+
     def predictions(self) -> DataFrame:
         return self.spark.sql(FX_PREDICTIONS, hourly=self.hourly())

@@ -129,6 +129,31 @@ def number_to_code(number: Column) -> Column:
     return F.when(number.isNotNull(), F.concat(*characters))
 
 
+# Bits of a packed hour: nine each for month, day and hour, the year above them. Zero stands for NULL.
+_PART_BITS, _PART_OFFSET, _NO_YEAR = 9, 256, -(2**31)
+
+
+def pack_hour(year: str, month: str, day: str, hour: str) -> Column:
+    """Four integer columns as one of 59 bits, NULL included; a part of more than two digits and a sign fails the query."""
+    packed = F.coalesce(F.col(year), F.lit(_NO_YEAR)).cast("long")
+    for name in (month, day, hour):
+        small = F.abs(F.col(name)) < _PART_OFFSET
+        part = F.when(F.col(name).isNull(), 0).when(small, F.col(name) + _PART_OFFSET)
+        part = part.otherwise(F.raise_error(F.lit(f"{name} has too many digits")).cast("int"))
+        packed = packed * (1 << _PART_BITS) + part
+    return packed
+
+
+def unpack_hour(packed: Column) -> list[Column]:
+    """The columns that :func:`pack_hour` made one of: year, month, day, hour."""
+    year = F.nullif(F.shiftright(packed, 3 * _PART_BITS).cast("int"), F.lit(_NO_YEAR))
+    parts = [
+        F.nullif(F.shiftright(packed, k * _PART_BITS).bitwiseAND((1 << _PART_BITS) - 1).cast("int") - _PART_OFFSET, F.lit(-_PART_OFFSET))
+        for k in (2, 1, 0)
+    ]
+    return [year, *parts]
+
+
 def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 

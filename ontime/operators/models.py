@@ -1,5 +1,6 @@
 """Delay models: yes or no, bucket, minutes, clusters, and their tuning."""
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -7,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime.functions.columns import log10_minutes, minutes_from_log10, or_zero
@@ -19,6 +20,7 @@ from ontime.operators.features import (
     fit_label_index,
     label_decoder,
 )
+from ontime.sources.shared import materialize
 
 # Settings of the models.
 LOGISTIC_ITERATIONS = 10
@@ -90,6 +92,13 @@ def fit_minutes_forest(
     return _fit(forest, examples, True, domain)
 
 
+def _minute_counts(flights: DataFrame) -> DataFrame:
+    """(log, flights): log10 of each different delay, 0 where there is none, with its number of flights."""
+    return flights.groupBy(or_zero(log10_minutes(F.col("WeatherDelay"))).alias("log")).agg(
+        F.count("*").cast("double").alias("flights")
+    )
+
+
 def _log_delay_weights(flights: DataFrame) -> DataFrame:
     """log10 of the delay (0 where there is none) with its number of flights.
 
@@ -97,10 +106,7 @@ def _log_delay_weights(flights: DataFrame) -> DataFrame:
     only as many values as different minutes. Dealing them by range and sorting
     them makes the initial draw repeatable.
     """
-    values = flights.groupBy(or_zero(log10_minutes(F.col("WeatherDelay"))).alias("log")).agg(
-        F.count("*").cast("double").alias("flights")
-    )
-    points = VectorAssembler(inputCols=["log"], outputCol="features").transform(values)
+    points = VectorAssembler(inputCols=["log"], outputCol="features").transform(_minute_counts(flights))
     return points.repartitionByRange("log").sortWithinPartitions("log")
 
 
@@ -125,6 +131,58 @@ def elbow(flights: DataFrame, ks=range(2, 10), seed: int = CLUSTER_SEED) -> Data
     return flights.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
+#: Different minutes that exact clustering takes. They are whole and fit a field of four digits.
+EXACT_MINUTES = 20_000
+
+
+def exact_elbow(flights: DataFrame, most: int = 9) -> DataFrame:
+    """The least possible sum of squared distances for 1 to ``most`` clusters, and the centres: k, cost, centres.
+
+    Clusters on a line are intervals, so dynamic programming over the sorted minutes is exact: the
+    best k clusters of the first values are the best k - 1 of fewer and one more interval, whose cost follows from
+    running sums. The table of different minutes with their flights, which is all that it needs, must
+    have no more than ``EXACT_MINUTES`` rows. Use it to judge what k-means arrives at.
+    """
+    counts = _minute_counts(flights).limit(EXACT_MINUTES + 1).toPandas().sort_values("log")
+    if len(counts) > EXACT_MINUTES:
+        raise ValueError(f"more than {EXACT_MINUTES} different delays")
+    found = interval_clusters(counts["log"].to_numpy(), counts["flights"].to_numpy(), most)
+    return flights.sparkSession.createDataFrame(found, "k int, cost double, centres array<double>")
+
+
+def interval_clusters(values: np.ndarray, weights: np.ndarray, most: int) -> list[tuple[int, float, list[float]]]:
+    """(k, cost, centres) of the best intervals of sorted values, for each k up to the number of values."""
+    n = len(values)
+    # Distances are from the mean, so that the differences of sums below keep their digits.
+    middle = np.average(values, weights=weights) if n else 0.0
+    moments = np.stack([weights, weights * (values - middle), weights * (values - middle) ** 2])
+    sums = np.concatenate([np.zeros((3, 1)), np.cumsum(moments, 1)], 1)
+
+    def costs(first: np.ndarray, end: int) -> np.ndarray:
+        """Squared distances to the mean from each first place up to the end."""
+        w, x, xx = sums[:, end, None] - sums[:, first]
+        return np.maximum(xx - x * x / w, 0.0)
+
+    best = np.array([0.0] + [costs(np.array([0]), end)[0] for end in range(1, n + 1)])
+    cuts, found = [np.zeros(n + 1, int)], []
+    for k in range(1, min(most, n) + 1):
+        if k > 1:
+            longer, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+            for end in range(k, n + 1):
+                first = np.arange(k - 1, end)
+                total = best[first] + costs(first, end)
+                longer[end], cut[end] = total.min(), first[total.argmin()]
+            best = longer
+            cuts.append(cut)
+        centres, end = [], n
+        for cut in reversed(cuts):
+            w, x, _ = sums[:, end] - sums[:, cut[end]]
+            centres.append(float(middle + x / w))
+            end = cut[end]
+        found.append((k, float(best[n]), centres[::-1]))
+    return found
+
+
 def cluster_minutes(model: KMeansModel, spark) -> DataFrame:
     """Cluster centres back in minutes, smallest first."""
     centres = [(float(centre[0]),) for centre in model.clusterCenters()]
@@ -135,6 +193,13 @@ def cluster_minutes(model: KMeansModel, spark) -> DataFrame:
     )
 
 
+def centre_cost(flights: DataFrame, centres: DataFrame) -> DataFrame:
+    """One row: sum of squared distances of log10 of the delays to the nearest of the centres (``log10_value``), of which there are few."""
+    near = _minute_counts(flights).crossJoin(F.broadcast(centres)).groupBy("log", "flights")
+    least = near.agg(F.min(F.pow(F.col("log") - F.col("log10_value"), F.lit(2.0))).alias("square"))
+    return least.agg(F.sum(F.col("flights") * F.col("square")).alias("cost"))
+
+
 def logistic_grid(logistic: LogisticRegression) -> list:
     """The nine combinations of regularisation to try."""
     return (
@@ -145,6 +210,11 @@ def logistic_grid(logistic: LogisticRegression) -> list:
     )
 
 
+def fold_of_row(folds: int, columns: list[str]) -> Column:
+    """A fold, from 0, by a hash of the row, so that rows keep their fold on any layout; equal rows stay together."""
+    return F.pmod(F.xxhash64(F.lit("fold"), *columns), F.lit(folds)).cast("int")
+
+
 def cross_validate(
     examples: DataFrame,
     with_weather: bool = True,
@@ -152,24 +222,26 @@ def cross_validate(
     estimator: LogisticRegression | None = None,
     grid: list | None = None,
     folds: int = 3,
-    seed: int = 1,
     parallelism: int = 3,
 ) -> tuple[PipelineModel, CrossValidatorModel]:
     """Best logistic regression of a grid by area under ROC.
 
-    Feature stages learn nothing from a fold, so they run once and only the
-    estimator is validated. Gives the whole pipeline with the best model, and
+    Feature stages learn nothing from a fold, so they run once: vectors are written with their fold, and every
+    fit and evaluation reads those. Gives the whole pipeline with the best model, and
     the validation itself with its metrics.
     """
     domain = domain or fit_domain_index(examples, categories(with_weather))
     estimator = estimator or LogisticRegression(maxIter=LOGISTIC_ITERATIONS)
     features = Pipeline(stages=feature_stages(domain, with_weather)).fit(examples)
+    vectors = features.transform(examples).select(
+        "features", "label", fold_of_row(folds, examples.columns).alias("fold")
+    )
     validated = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid or logistic_grid(estimator),
         evaluator=BinaryClassificationEvaluator(numBins=0),
         numFolds=folds,
-        seed=seed,
+        foldCol="fold",
         parallelism=parallelism,
-    ).fit(features.transform(examples).select("features", "label"))
+    ).fit(materialize(vectors, "vectors"))
     return PipelineModel(stages=[*features.stages, validated.bestModel]), validated

@@ -1,13 +1,16 @@
 """Batch scoring of flight requests."""
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoderModel, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime import schemas
-from ontime.functions.columns import minutes_from_log10, strip
+from ontime.functions.columns import minutes_from_log10, strip, to_double
+from ontime.operators.rejects import Counted, watched
 
 REQUEST = "request"
+RESULT = "result"
 
 _TEXT_INPUTS = {"UniqueCarrier", "Origin", "Dest", "MaxPresentWeatherCode"}
 
@@ -16,12 +19,12 @@ def _parts() -> Column:
     return F.split(F.col(REQUEST), ",")
 
 
-def parse_requests(requests: DataFrame, on_bad: str = "drop") -> DataFrame:
+def parse_requests(requests: DataFrame, on_bad: str = "drop", counted: Counted | None = None) -> DataFrame:
     """Inputs from comma-separated requests of 7 or 13 values.
 
     Seven values name the flight only: the weather is then NULL. A request of
     another length or with text in a numeric place is bad: it is dropped, or
-    marked in a column ``valid`` when ``on_bad`` is "keep".
+    marked in a column ``valid`` when ``on_bad`` is "keep". ``counted`` gets the number of requests and of bad ones.
     """
     short, full = len(schemas.FLIGHT_INPUTS), len(schemas.FLIGHT_INPUTS + schemas.WEATHER_INPUTS)
     size = F.size(_parts())
@@ -29,11 +32,12 @@ def parse_requests(requests: DataFrame, on_bad: str = "drop") -> DataFrame:
     inputs = {}
     for place, name in enumerate(schemas.FLIGHT_INPUTS + schemas.WEATHER_INPUTS):
         text = strip(F.get(_parts(), F.lit(place)))
-        inputs[name] = text if name in _TEXT_INPUTS else text.try_cast("double")
+        inputs[name] = text if name in _TEXT_INPUTS else to_double(text)
         if name not in _TEXT_INPUTS:
             given = inputs[name].isNotNull()
             valid = valid & (given if place < short else given | (size == short))
     parsed = requests.withColumns(inputs).withColumn("valid", valid)
+    parsed = watched(parsed, F.col("valid"), counted)
     if on_bad == "keep":
         return parsed
     if on_bad == "drop":
@@ -56,12 +60,67 @@ def combine_stages(delayed: Column, log_minutes: Column) -> Column:
     return F.when(delayed == 1, minutes_from_log10(log_minutes)).otherwise(0.0)
 
 
+def _feature_pass(model: PipelineModel) -> list:
+    """The stages that make ``features``, up to the assembler."""
+    last = max(i for i, stage in enumerate(model.stages) if isinstance(stage, VectorAssembler))
+    return model.stages[: last + 1]
+
+
+def _settings(stage) -> dict:
+    """What a feature stage does: the parameters that were set, and what an index or an encoder has learned."""
+    settings = {param.name: stage.getOrDefault(param) for param in stage.params if stage.isSet(param)}
+    if isinstance(stage, StringIndexerModel):
+        settings["labels"] = [list(labels) for labels in stage.labelsArray]
+    if isinstance(stage, OneHotEncoderModel):
+        settings["sizes"] = list(stage.categorySizes)
+    return settings
+
+
+def same_features(one: PipelineModel, other: PipelineModel) -> bool:
+    """Whether two models see a request as the same vector."""
+    first, second = _feature_pass(one), _feature_pass(other)
+    return [type(x) for x in first] == [type(x) for x in second] and all(
+        _settings(x) == _settings(y) for x, y in zip(first, second)
+    )
+
+
+def _predictor(model: PipelineModel, **names: str):
+    """The fitted predictor of a pipeline, a copy that writes to columns of its own."""
+    predictor = model.stages[-1].copy()
+    for param, name in names.items():
+        predictor._set(**{param: name})
+    return predictor
+
+
+def two_stage(classifier: PipelineModel, regressor: PipelineModel) -> PipelineModel:
+    """Both models as one, which indexes, encodes and assembles a request once.
+
+    It adds ``predicted_delay`` and ``result`` and is saved and loaded like any model. The two must see a request as
+    the same vector: fit them on parts of one table, with the category index of that table.
+    """
+    if not same_features(classifier, regressor):
+        raise ValueError("the models were fitted on different features")
+    classes = _predictor(
+        classifier, predictionCol="predicted_delay", rawPredictionCol="delay_scores", probabilityCol="delay_chances"
+    )
+    minutes = _predictor(regressor, predictionCol="log_minutes")
+    result = f"case when predicted_delay = 1 then pow(10.0D, log_minutes) else 0.0D end as {RESULT}"
+    combined = SQLTransformer(statement=f"select *, {result} from __THIS__")
+    return PipelineModel(stages=[*_feature_pass(classifier), classes, minutes, combined])
+
+
+def score_two_stage(requests: DataFrame, model: PipelineModel) -> DataFrame:
+    """Expected weather delay of each request, in minutes, as ``result``."""
+    return model.transform(requests).select(*requests.columns, "predicted_delay", RESULT)
+
+
 def score(requests: DataFrame, classifier: PipelineModel, regressor: PipelineModel) -> DataFrame:
-    """Expected weather delay of each request, in minutes, as ``result``.
+    """The same from two models; where they see a request alike, its features are made once.
 
-    Both models share the names of their intermediate columns, so only the
-    class is kept from the first one.
+    Otherwise both share the names of their intermediate columns, so only the class is kept from the first one.
     """
+    if same_features(classifier, regressor):
+        return score_two_stage(requests, two_stage(classifier, regressor))
     kept = requests.columns
     classed = classifier.transform(requests).select(
         *kept, F.col("prediction").alias("predicted_delay")
@@ -69,5 +128,5 @@ def score(requests: DataFrame, classifier: PipelineModel, regressor: PipelineMod
     return regressor.transform(classed).select(
         *kept,
         "predicted_delay",
-        combine_stages(F.col("predicted_delay"), F.col("prediction")).alias("result"),
+        combine_stages(F.col("predicted_delay"), F.col("prediction")).alias(RESULT),
     )

@@ -1,15 +1,16 @@
 """Distribution statistics: histogram, quartiles, box plots, trends, pairs.
 
 Quantiles are exact. They are taken from a table of values and their counts,
-built with a map-side combine and spread over all tasks by value. Its size
-follows the domain of a measure, not the number of rows: every measure comes
-from a text field of at most six digits.
+built with a map-side combine and spread over all tasks by value. It is written once, and
+all figures of a summary come out of it, so the input is read once.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions.columns import log10_minutes, minutes_from_log10
+from ontime.operators.quantiles import exact_quantiles
+from ontime.sources.shared import materialize
 
 
 def histogram(table: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -59,32 +60,34 @@ def value_counts(table: DataFrame, columns: list[str], by: list[str] | None = No
     return _long(table, columns, by).groupBy(*by, "measure", "value").agg(F.count("*").alias("n"))
 
 
-def _quartiles() -> Column:
-    return F.percentile(F.col("value"), [0.25, 0.5, 0.75], F.col("n"))
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def describe(table: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, extremes and quartiles of each column."""
-    by = by or []
-    value = F.col("value")
-    long = _long(table, columns, by)
-    moments = long.groupBy(*by, "measure").agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    """Count, mean, standard deviation, extremes and quartiles of each column.
+
+    The mean comes first and deviations from it second, both from the counted values, so large values of
+    small spread keep their digits.
+    """
+    keys = [*(by or []), "measure"]
+    counts = materialize(value_counts(table, columns, by), "values")
+    n, value = F.col("n"), F.col("value")
+    rough = counts.groupBy(*keys).agg(
+        F.sum("n").alias("count"),
+        (F.sum(n * value) / F.sum("n")).alias("rough"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-    counts = value_counts(table, columns, by).groupBy(*by, "measure").agg(_quartiles().alias("q"))
-    keys = [*by, "measure"]
-    quartiles = counts.select("q", *[F.col(key).alias(f"of_{key}") for key in keys])
-    same = [F.col(key).eqNullSafe(F.col(f"of_{key}")) for key in keys]
-    return moments.join(quartiles, same).select(
-        *by,
-        "measure",
+    off = value - F.col("rough")
+    moments = _with(counts, rough, keys).groupBy(*keys, "count", "rough", "min", "max").agg(
+        F.sum(n * off).alias("off"), F.sum(n * off * off).alias("squares")
+    )
+    variance = F.try_divide(F.col("squares") - F.pow(F.col("off"), F.lit(2.0)) / F.col("count"), F.col("count") - 1)
+    return _with(moments, exact_quantiles(counts, keys, QUARTILES), keys).select(
+        *keys,
         "count",
-        "mean",
-        "std",
+        (F.col("rough") + F.col("off") / F.col("count")).alias("mean"),
+        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
         "min",
         F.col("q")[0].alias("q25"),
         F.col("q")[1].alias("q50"),
@@ -93,6 +96,13 @@ def describe(table: DataFrame, columns: list[str], by: list[str] | None = None)
     )
 
 
+def _with(table: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
+    """The table with the figures of each row's keys, of which there are few."""
+    named = figures.withColumnsRenamed({key: f"of_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"of_{key}")) for key in keys]
+    return table.join(F.broadcast(named), same).drop(*[f"of_{key}" for key in keys])
+
+
 def describe_log10(table: DataFrame, column: str) -> DataFrame:
     """Summary of log10 of the positive values, and the same in minutes.
 
@@ -124,26 +134,18 @@ def describe_log10(table: DataFrame, column: str) -> DataFrame:
 
 def _boxes(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Box-plot figures per key from a table of values and their counts."""
-    boxes = counts.groupBy(*keys).agg(F.sum("n").alias("count"), _quartiles().alias("q"))
-    boxes = boxes.select(
-        *keys,
-        "count",
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
+    counts = materialize(counts, "values")
+    boxes = exact_quantiles(counts, keys, QUARTILES).select(
+        *keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    figures = ["count", "q1", "median", "q3"]
-    return (
-        counts.join(boxes, keys)
-        .groupBy(*keys)
-        .agg(
-            *[F.first(name).alias(name) for name in figures],
-            F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
-            F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
-        )
+    return _with(counts, boxes, keys).groupBy(*keys).agg(
+        F.sum("n").alias("count"),
+        *[F.first(name).alias(name) for name in ("q1", "median", "q3")],
+        F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
+        F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
 
 

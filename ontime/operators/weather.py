@@ -11,11 +11,15 @@ from ontime.functions.columns import (
     fixed_double,
     fixed_int,
     icao_to_airport,
+    max_valid,
     number_to_code,
+    pack_hour,
     precipitation48,
     tail_after,
     to_int,
+    unpack_hour,
 )
+from ontime.operators.rejects import Counted, watched
 
 LINE = "value"
 
@@ -74,18 +78,20 @@ def _hourly_valid() -> Column:
     return (F.length(LINE) >= schemas.HOURLY_LINE_LENGTH) & all_known(numbers) & plain_code
 
 
-def parse_isd(lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False) -> DataFrame:
+def parse_isd(
+    lines: DataFrame, on_bad: str = "drop", exact_rate: bool = False, counted: Counted | None = None
+) -> DataFrame:
     """Hourly readings from fixed-width lines (column ``value``).
 
     A line that is too short, holds text in a numeric field or has a weather code
     with other than ASCII characters is bad: it is dropped, marked in a column ``valid``, or fails the query when it is
-    reached. Readings without a WBAN are left out.
+    reached. Readings without a WBAN are left out. ``counted`` gets the number of lines and of bad ones.
     """
     line = F.col(LINE)
     groups = {"precipitation_group": tail_after(line, schemas.PRECIPITATION_MARKER)}
     precipitation = precipitation48(F.col("PrecipitationHour"), F.col("Precipitation"), exact_rate)
     return (
-        _split_bad(_hourly_fields(lines), _hourly_valid(), on_bad)
+        _split_bad(watched(_hourly_fields(lines), _hourly_valid(), counted), _hourly_valid(), on_bad)
         .where(F.col("WBAN") != schemas.MISSING_WBAN)
         .withColumns(groups)
         .withColumns(_precipitation_group())
@@ -119,14 +125,15 @@ def _daily_valid() -> Column:
     return (F.length(LINE) >= schemas.DAILY_LINE_LENGTH) & all_known(numbers)
 
 
-def parse_gsod(lines: DataFrame, on_bad: str = "drop") -> DataFrame:
+def parse_gsod(lines: DataFrame, on_bad: str = "drop", counted: Counted | None = None) -> DataFrame:
     """Daily summaries from fixed-width lines (column ``value``).
 
     Bad lines are treated as in :func:`parse_isd`. Lines without a station
     number are left out.
     """
     known = F.coalesce("StationNumber", F.lit(0)) != schemas.MISSING_STATION
-    return _split_bad(_daily_fields(lines), _daily_valid(), on_bad).where(known).drop(LINE)
+    fields = watched(_daily_fields(lines), _daily_valid(), counted)
+    return _split_bad(fields, _daily_valid(), on_bad).where(known).drop(LINE)
 
 
 def bad_rows(lines: DataFrame, kind: str = "hourly") -> DataFrame:
@@ -159,20 +166,23 @@ def airports_from_stations(stations: DataFrame, country: str = "US") -> DataFram
     )
 
 
+_TIME = ["Year", "Month", "Day", "Hour"]
+
 # Numbers of the measures in the roll-up; the weather code comes last.
 _CODE = len(schemas.HOURLY_MEASURES)
 
 
-def _long_readings(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key, measure and different value, with its occurrences."""
+def _long_readings(readings: DataFrame, station: list[str]) -> DataFrame:
+    """One row per station, hour, measure and different value, with its occurrences.
+
+    ``slot`` is the packed hour with the measure's number in its last three bits.
+    """
     values = [F.col(name).cast("double") for name in schemas.HOURLY_MEASURES]
     values.append(code_to_number(F.col("PresentWeatherCode")).cast("double"))
-    pairs = [
-        F.struct(F.lit(number).alias("measure"), value.alias("value"))
-        for number, value in enumerate(values)
-    ]
-    long = readings.select(*keys, F.inline(F.array(*pairs)))
-    return long.groupBy(*keys, "measure", "value").agg(F.count("*").alias("n"))
+    hours = readings.select(*station, (pack_hour(*_TIME) * 8).alias("slot"), *[v.alias(f"v{k}") for k, v in enumerate(values)])
+    pairs = [F.struct((F.col("slot") + k).alias("slot"), F.col(f"v{k}").alias("value")) for k in range(len(values))]
+    long = hours.select(*station, F.inline(F.array(*pairs)))
+    return long.groupBy(*station, "slot", "value").agg(F.count("*").alias("n"))
 
 
 def rollup_hourly(readings: DataFrame, by_wban: bool = True) -> DataFrame:
@@ -187,28 +197,28 @@ def rollup_hourly(readings: DataFrame, by_wban: bool = True) -> DataFrame:
     value too, so a station-hour with very many readings is spread over all
     tasks, and every statistic follows from it, distinct counts included. What
     is left of a station-hour is bounded by the width of the fields, and comes
-    together as narrow rows rather than as wide partial results. Weather codes
-    travel as numbers: text in an aggregate would make Spark sort, not hash.
+    together as narrow rows rather than as wide partial results: the hour and the measure are
+    one number. Weather codes travel as numbers: text in an aggregate would make Spark sort, not hash.
     """
-    keys = [key for key in schemas.READING_KEYS if by_wban or key != "WBAN"]
+    station = [name for name in ("StationNumber", "WBAN") if by_wban or name != "WBAN"]
+    at, measure = F.shiftright("slot", 3), F.pmod("slot", F.lit(8))
     statistics = []
     for number, name in enumerate(schemas.HOURLY_MEASURES):
-        missing, kind = schemas.MISSING[name], readings.schema[name].dataType.simpleString()
-        mine = f"filter (where measure = {number})"
-        known = f"filter (where measure = {number} and value <> {missing})"
+        mine, kind = F.when(measure == number, F.col("value")), readings.schema[name].dataType
         statistics += [
-            f"cast(coalesce(max(value) {known}, min(value) {mine}) as {kind}) as Max{name}",
-            f"cast(min(value) {mine} as {kind}) as Min{name}",
-            f"count(value) {mine} as Distinct{name}",
+            max_valid(mine, schemas.MISSING[name]).cast(kind).alias(f"Max{name}"),
+            F.min(mine).cast(kind).alias(f"Min{name}"),
+            F.count(mine).alias(f"Distinct{name}"),
         ]
-    code = F.expr(f"cast(max(value) filter (where measure = {_CODE}) as bigint)")
+    code = F.max(F.when(measure == _CODE, F.col("value"))).cast("long")
     return (
-        _long_readings(readings, keys)
-        .repartition(*keys)
-        .groupBy(*keys)
+        _long_readings(readings, station)
+        .repartition(*station, at)
+        .groupBy(*station, at.alias("at"))
         .agg(
-            *[F.expr(statistic) for statistic in statistics],
+            *statistics,
             number_to_code(code).alias("MaxPresentWeatherCode"),
-            F.expr(f"sum(n) filter (where measure = {_CODE}) as NumOfRec"),
+            F.sum(F.when(measure == _CODE, F.col("n"))).alias("NumOfRec"),
         )
+        .select(*station, *[part.alias(name) for name, part in zip(_TIME, unpack_hour(F.col("at")))], *schemas.ROLLUP_COLUMNS)
     )

@@ -4,34 +4,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ontime import schemas
 from ontime.operators import enrich, reports, weather
+from ontime.operators.rejects import Counted, counting_session
 from ontime.sources import catalog, files
 
 
-def hourly_weather(stations: DataFrame, lines: DataFrame, by_wban: bool = True) -> DataFrame:
+#: The table that each ingest adds its counts to.
+INGEST_LOG = "ingest_log"
+
+
+def hourly_weather(
+    stations: DataFrame, lines: DataFrame, by_wban: bool = True, counted: Counted | None = None
+) -> DataFrame:
     """Hourly weather by airport.
 
     Readings of stations without an airport go before the roll-up, which
     leaves less to shuffle.
     """
     airports = enrich.small_side(weather.airports_from_stations(stations))
-    readings = enrich.at_airports(weather.parse_isd(lines), airports)
+    readings = enrich.at_airports(weather.parse_isd(lines, counted=counted), airports)
     return enrich.airport_weather(weather.rollup_hourly(readings, by_wban), airports)
 
 
-def daily_weather(stations: DataFrame, lines: DataFrame) -> DataFrame:
+def daily_weather(stations: DataFrame, lines: DataFrame, counted: Counted | None = None) -> DataFrame:
     """Daily weather by airport."""
     airports = enrich.small_side(weather.airports_from_stations(stations))
-    return enrich.airport_weather(weather.parse_gsod(lines), airports)
+    return enrich.airport_weather(weather.parse_gsod(lines, counted=counted), airports)
 
 
-def hourly_flights(stations: DataFrame, lines: DataFrame, flights: DataFrame) -> DataFrame:
+def hourly_flights(
+    stations: DataFrame, lines: DataFrame, flights: DataFrame, counted: Counted | None = None
+) -> DataFrame:
     """Flights with hourly weather at the origin."""
-    return enrich.enrich_hourly(flights, hourly_weather(stations, lines))
+    return enrich.enrich_hourly(flights, hourly_weather(stations, lines, counted=counted))
 
 
-def daily_flights(stations: DataFrame, lines: DataFrame, flights: DataFrame) -> DataFrame:
+def daily_flights(
+    stations: DataFrame, lines: DataFrame, flights: DataFrame, counted: Counted | None = None
+) -> DataFrame:
     """Flights with daily weather at the origin and the destination."""
-    return enrich.enrich_daily(flights, daily_weather(stations, lines))
+    return enrich.enrich_daily(flights, daily_weather(stations, lines, counted))
 
 
 def build_table(
@@ -44,18 +55,23 @@ def build_table(
 ) -> DataFrame:
     """Read the raw files, save the enriched table and report its coverage.
 
+    Weather lines and flights, and those that couldn't be read, are counted in the same pass; the counts go to the table ``INGEST_LOG`` of the database.
     The report reads the saved table: the pipeline runs once.
     """
-    stations = files.read_stations(spark, stations_path)
-    flights = files.read_flights(spark, flights_glob)
+    seen, counting = {name: Counted(name) for name in ("weather", "flights")}, counting_session(spark)
+    stations = files.read_stations(counting, stations_path)
+    flights = files.read_flights(counting, flights_glob, counted=seen["flights"])
     if kind == "hourly":
-        table = hourly_flights(stations, files.read_isd_lines(spark, weather_glob), flights)
+        table = hourly_flights(stations, files.read_isd_lines(counting, weather_glob), flights, seen["weather"])
         name = f"{database}.{schemas.HOURLY_TABLE}"
     elif kind == "daily":
-        table = daily_flights(stations, files.read_gsod_lines(spark, weather_glob), flights)
+        table = daily_flights(stations, files.read_gsod_lines(counting, weather_glob), flights, seen["weather"])
         name = f"{database}.{schemas.DAILY_TABLE}"
     else:
         raise ValueError(f"kind must be 'hourly' or 'daily', not {kind!r}")
     catalog.ensure_database(spark, database)
     catalog.save_enriched(table, name)
+    spark.catalog.refreshTable(name)
+    counts = seen["weather"].metrics() | seen["flights"].metrics()
+    catalog.log_metrics(spark, f"{database}.{INGEST_LOG}", name, {"weather": weather_glob, "flights": flights_glob}, counts)
     return reports.coverage(catalog.load_enriched(spark, name), "Year", "Month")

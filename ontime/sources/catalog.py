@@ -36,6 +36,26 @@ def write_enriched(table: DataFrame, path: str) -> None:
     _by_month(table).parquet(path)
 
 
+#: Join keys of weather by airport, hourly and daily.
+WEATHER_KEYS = ["AirportCode", "Year", "Month", "Day"]
+
+
+def save_weather(weather: DataFrame, name: str, buckets: int | None = None) -> None:
+    """Replace a table of weather by airport, bucketed by the keys that flights join it on.
+
+    Flights that are enriched from it are dealt to its buckets, and the weather stays where it is, however often it is
+    used. ``buckets`` is the session's number of shuffle partitions unless given; with fewer than
+    that, Spark deals both sides anew. A hot airport-hour isn't split, as it is between two
+    shuffled sides, so use weather that isn't saved where one key holds a large part of the flights.
+    """
+    spark = weather.sparkSession
+    keys = WEATHER_KEYS + [name for name in ("Hour",) if name in weather.columns]
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One task for each bucket writes one file for it.
+    dealt = weather.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+
 def load_enriched(spark: SparkSession, name: str = schemas.HOURLY_TABLE) -> DataFrame:
     """A saved table."""
     return spark.table(name)

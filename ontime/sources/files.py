@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ontime import schemas
+from ontime.operators.rejects import Counted, watched
 
 _CORRUPT = "_corrupt_record"
 
@@ -25,7 +26,7 @@ def read_gsod_lines(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_flights(
-    spark: SparkSession, glob: str, on_bad: str = "drop", quote: str | None = None
+    spark: SparkSession, glob: str, on_bad: str = "drop", quote: str | None = None, counted: Counted | None = None
 ) -> DataFrame:
     """Flights from CSV with a header; ``NA`` is NULL.
 
@@ -36,7 +37,7 @@ def read_flights(
     Spark's own DROPMALFORMED looks at the columns a query uses only, so a count
     and a full read of the same file can disagree. Here whole rows are split, and
     every integer column is read, whatever the query uses. ``quote`` replaces
-    the usual double quote; an empty string turns quoting off.
+    the usual double quote; an empty string turns quoting off. ``counted`` gets the number of rows and of bad ones.
     """
     schema = StructType.fromDDL(schemas.FLIGHT_SCHEMA)
     numbers = [f.name for f in schema.fields if isinstance(f.dataType, IntegerType)]
@@ -55,7 +56,7 @@ def read_flights(
     # Always true, but it makes each query read all the numbers.
     all_read = F.coalesce(F.greatest(*numbers), F.lit(0)) >= -(2**31)
     valid = F.col(_CORRUPT).isNull() & all_read
-    rows = reader.csv(glob)
+    rows = watched(reader.csv(glob), valid, counted)
     if on_bad == "drop":
         return rows.where(valid).drop(_CORRUPT)
     if on_bad == "keep":
