@@ -1,38 +1,41 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 A line's character shingles are the ``WIDTH`` characters from each of its positions; a
-shorter line is a shingle itself. Lines whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more
+shorter line is a shingle itself. Lines whose shingle sets have a Jaccard similarity of 0.8 or more
 link; of each component of linked lines, the occurrence in the smallest doc_id (then
 the first line) stays, all others go from their documents.
 
-* Signatures are minima of independent shingle hashes, combined before the shuffle; equal
-  lines are one row from there on. Eight bands of three minima find 99.7 % of the pairs
-  at the threshold and more above it, and few others.
+* Signatures are minima of independent shingle hashes. Eight bands of three minima find 99.7 % of the pairs
+  at the threshold and more above it, and few others. Shingles are hashed and compared in numpy, in Arrow batches: twenty-four
+  minima a shingle alone take most of the time that the whole query may take when they are aggregates of columns.
 * A bucket's smallest and largest line come out of one aggregate; only buckets with more
   lines are read again. Each line is compared with the bucket's smallest. Only lines that
-  aren't similar to it are compared with all others of the bucket, in pairs that
-  leave the join only if they are similar. So a bucket of near copies costs as many
-  comparisons as lines, and nothing that a bucket links is lost.
+  aren't similar to it are compared with all others of the bucket, in blocks of ``BUCKET_ROWS`` lines and pairs of blocks, so no
+  task holds more; only links that join what isn't joined yet leave a block. Nothing that a bucket links is lost.
 * Components follow by distributed union-find.
 * Before texts or lines are shuffled to few keys, a bitmap of the keys sends most others
   away. It has ``PAGES`` pages at most however large the data, and lets through more than
   it must where it fills up; the joins behind it decide.
 
-Lines are told apart by 128 bits of hash. Lines without a word always stay, as does a
+Lines are told apart by 128 bits of hash, their shingles by 64. Lines without a word always stay, as does a
 null text; null doc_ids sort last. Rows that repeat in doc_id and text are one
-document. An empty table has no rows.
+document. An empty table has no rows. A bucket of n lines of which many are half alike travels n / BUCKET_ROWS times.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontime.llm import line_shingles as shingling
 from ontime.llm.common import body, text_key
 from ontime.llm.graph import components
 from ontime.sources.shared import materialize
 
-WIDTH = 8  #: characters of a shingle
-SIMILAR = 0.8
-HASHES, BAND = 24, 3  #: minima, and minima of a band
+BUCKET_ROWS = 2048  #: lines of a block of a bucket
+SEEN = 500_000  #: lines that a task remembers, so that it signs repeated ones once
 PAGES, PAGE = 4096, 32_768  #: pages of a bitmap, and bits of a page (fixed by Spark)
 
 _ID = ["id1", "id2"]
@@ -64,78 +67,113 @@ def _marked(table: DataFrame, key: str, keys: DataFrame, how: str = "left_semi")
     return table.join(F.broadcast(pages), (page == pages["page"]) & is_set, how)
 
 
-def _wide(line: Column) -> Column:
-    """The line with four bytes a character, so that a shingle is found without counting from the start."""
-    return F.encode(line, "UTF-32")
-
-
-def _starts(wide: Column) -> Column:
-    """Where shingles start, in characters."""
-    return F.sequence(F.lit(0), F.greatest(F.octet_length(wide) / 4 - WIDTH, F.lit(0)).cast("int"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id1, id2, m0, ..): the minima of each line, 32 bits each."""
+    names = [f"m{k}" for k in range(shingling.HASHES)]
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = shingling.minima(batch["line"].to_pylist())
+            columns = [batch["id1"], batch["id2"], *(pa.array(made[:, k]) for k in range(made.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, [*_ID, *names])
 
-def _shingle(wide: Column, start: Column) -> Column:
-    """The shingle there, hashed."""
-    return F.xxhash64(F.substring(wide, start * 4 + 1, F.lit(4 * WIDTH)))
+    return lines.select(*_ID, "line").mapInArrow(sign, ", ".join(f"{x} long" for x in [*_ID, *names]))
 
 
-def _set(line: Column) -> Column:
-    """The line's different shingles, hashed. The array of one makes the wide line once, not for each shingle."""
-    sets = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(_starts(wide), lambda i: _shingle(wide, i))))
-    return F.get(sets, F.lit(0))
+def banded(lines: DataFrame) -> DataFrame:
+    """(id, buckets array<long>): each line, by id1, with its buckets; a line that is met again may have several rows."""
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(batch["id1"].to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            part = batch.take(pa.array(new, pa.int64()))
+            made = shingling.buckets(shingling.minima(part["line"].to_pylist()))
+            ends = pa.array(np.arange(len(new) + 1) * made.shape[1], pa.int32())
+            columns = [part["id1"], pa.ListArray.from_arrays(ends, pa.array(made.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "buckets"])
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(id1, id2, m0, ..): the minima of each different line, 32 bits each.
-
-    A shingle is hashed anew for each two minima, which take one half of the 64 bits each.
-    """
-    wide = lines.select(*_ID, _wide(F.col("line")).alias("wide"))
-    placed = wide.select(*_ID, "wide", F.explode(_starts(F.col("wide"))).alias("start"))
-    shingles = placed.select(*_ID, _shingle(F.col("wide"), F.col("start")).alias("s"))
-    hashed = shingles.select(*_ID, *(F.xxhash64(F.col("s").bitwiseXOR(F.lit(k))).alias(f"h{k}") for k in range(HASHES // 2)))
-    halves = [half for k in range(HASHES // 2) for half in (F.shiftright(f"h{k}", 32), F.col(f"h{k}").bitwiseAND((1 << 32) - 1))]
-    return hashed.groupBy(*_ID).agg(*(F.min(half).alias(f"m{k}") for k, half in enumerate(halves)))
+    return lines.select("id1", "line").mapInArrow(sign, "id long, buckets array<long>")
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """(bucket, id, first): lines of buckets with two or more but the smallest, and the smallest of each bucket, by id1."""
-    bands = [F.xxhash64(F.lit(k), *(F.col(f"m{k + j}") for j in range(BAND))).alias(f"b{k}") for k in range(0, HASHES, BAND)]
-    kept = materialize(signed.select("id1", *bands), "bands")
-    rows = kept.select(F.col("id1").alias("id"), F.explode(F.array(*kept.columns[1:])).alias("bucket"))
+    kept = materialize(signed, "bands")
+    rows = kept.select("id", F.explode("buckets").alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("n"))
     ends = materialize(ends.filter("first <> last"), "ends")
     more = ends.filter("n > 2").select("bucket", "first")
     inner = _marked(rows, "bucket", more.select("bucket")).join(more, "bucket").filter("id <> first")
-    return ends.filter("n = 2").select("bucket", F.col("last").alias("id"), "first").unionByName(inner.select("bucket", "id", "first"))
+    return ends.filter("n = 2").select("bucket", F.col("last").alias("id"), "first").unionByName(inner.select("bucket", "id", "first").distinct())
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether the two lines of each row are similar."""
+    for batch in batches:
+        pairs = zip(shingling.sets(batch["of_a"].to_pylist()), shingling.sets(batch["of_b"].to_pylist()), strict=True)
+        near = pa.array([shingling.similar(a, b) for a, b in pairs], pa.bool_())
+        columns = [batch[x] for x in ("id", "first", "a1", "a2", "b1", "b2")]
+        yield pa.RecordBatch.from_arrays([*columns, near], ["id", "first", "a1", "a2", "b1", "b2", "near"])
+
+
+def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows, which follow one another."""
+    held, group = [], None
 
+    def linked() -> Iterator[pa.RecordBatch]:
+        rows = list({(r["block"], r["id1"], r["id2"]): r for r in held}.values())
+        found = shingling.group_links(shingling.sets([r["line"] for r in rows]), [r["block"] for r in rows], [r["far"] for r in rows])
+        if found:
+            ends = [[rows[pair[side]][x] for pair in found] for side in (0, 1) for x in _ID]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a1", "a2", "b1", "b2"])
 
-def _similar(a: Column, b: Column) -> Column:
-    """Whether two arrays of different values have the least Jaccard similarity."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= SIMILAR * (F.size(a) + F.size(b) - both)
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = (row["bucket"], row["low"], row["high"])
+            if key != group:
+                if held:
+                    yield from linked()
+                held, group = [], key
+            held.append(row)
+    if held:
+        yield from linked()
 
 
 def links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): verified links of lines, as (id1, id2). ``texts`` has (id1, id2, line) of all members and firsts."""
-    line = F.struct(*_ID)
-    of_id = texts.select(F.col("id1").alias("id"), line.alias("a"), F.col("line").alias("of_a"))
-    of_first = texts.select(F.col("id1").alias("first"), line.alias("b"), F.col("line").alias("of_b"))
+    of_id = texts.select(F.col("id1").alias("id"), F.col("id1").alias("a1"), F.col("id2").alias("a2"), F.col("line").alias("of_a"))
+    of_first = texts.select(F.col("id1").alias("first"), F.col("id1").alias("b1"), F.col("id2").alias("b2"), F.col("line").alias("of_b"))
     pairs = members.select("id", "first").distinct().join(of_id, "id").join(of_first, "first")
-    judged = materialize(pairs.select("id", "first", "a", "b", _similar(_set(F.col("of_a")), _set(F.col("of_b"))).alias("near")), "judged")
-    far = judged.filter(~F.col("near")).select("id", "first").distinct()
-    apart = members.join(far, ["id", "first"]).select("bucket", "id").distinct().join(of_id, "id")
-    apart = apart.select("bucket", "a", _set(F.col("of_a")).alias("set_a"))
-    others = members.join(apart.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("first")).distinct()
-    others = others.join(of_first, "first").select("bucket", "b", _set(F.col("of_b")).alias("set_b"))
-    met = apart.join(others, (apart["bucket"] == others["bucket"]) & (F.col("a") != F.col("b")) & _similar(F.col("set_a"), F.col("set_b")))
-    return judged.filter("near").select("a", "b").union(met.select("a", "b"))
+    judged = pairs.mapInArrow(_judge, "id long, first long, a1 long, a2 long, b1 long, b2 long, near boolean")
+    judged = materialize(judged, "judged")
+
+    far = judged.filter(~F.col("near")).select("id", "first").distinct().withColumn("far", F.lit(True))
+    held = members.join(far, ["id", "first"], "left").select("bucket", "id", F.coalesce("far", F.lit(False)).alias("far"))
+    held = materialize(held, "held")
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).filter("n_far > 0 and n > 1")
+    blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    placed = held.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    grouped = placed.select("bucket", *ends, "block", "far", "id").join(texts.withColumnRenamed("id1", "id"), "id")
+    grouped = grouped.select("bucket", "low", "high", "block", "far", F.col("id").alias("id1"), "id2", "line")
+    grouped = grouped.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    met = grouped.mapInArrow(_link_groups, "a1 long, a2 long, b1 long, b2 long")
+    both = judged.filter("near").select("a1", "a2", "b1", "b2").union(met)
+    return both.select(*(F.struct(F.col(f"{x}1").alias("id1"), F.col(f"{x}2").alias("id2")).alias(x) for x in "ab"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines that go."""
     lines = _lines(docs)
-    members = materialize(candidates(signatures(lines)), "buckets")
+    members = materialize(candidates(banded(lines)), "buckets")
     wanted = members.select("id").union(members.select("first"))
     texts = _marked(lines, "id1", wanted).groupBy(*_ID).agg(F.first("line").alias("line"))
     rooted = components(links(members, materialize(texts, "texts")))
