@@ -32,17 +32,17 @@ def exact_quantiles(counts: DataFrame, keys: list[str], shares: list[float], gat
     table is read several times, so write it before. There may be any number of different values of a key, but the keys
     themselves are few: a row of figures for each travels with the plan.
     """
+    small = counts.groupBy(*keys).agg(F.percentile(F.col("value"), shares, F.col("n")).alias("q"))
+    if counts.count() <= gathered:
+        return small
     sizes = materialize(
         counts.groupBy(*keys).agg(
             F.count("*").alias("different"), F.sum("n").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
         ),
         "sizes",
     )
-    small = F.percentile(F.col("value"), shares, F.col("n")).alias("q")
-    most = sizes.agg(F.max("different")).first()[0] or 0
-    if most <= gathered:
-        return counts.groupBy(*keys).agg(small)
-    return _selected(counts, sizes, keys, shares, gathered)
+    most = sizes.agg(F.max("different")).first()[0]
+    return small if most <= gathered else _selected(counts, sizes, keys, shares, gathered)
 
 
 def _selected(counts: DataFrame, sizes: DataFrame, keys: list[str], shares: list[float], gathered: int) -> DataFrame:

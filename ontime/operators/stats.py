@@ -82,12 +82,12 @@ def describe(table: DataFrame, columns: list[str], by: list[str] | None = None)
     moments = _with(counts, rough, keys).groupBy(*keys, "count", "rough", "min", "max").agg(
         F.sum(n * off).alias("off"), F.sum(n * off * off).alias("squares")
     )
-    variance = F.try_divide(F.col("squares") - F.pow(F.col("off"), F.lit(2.0)) / F.col("count"), F.col("count") - 1)
+    squares = F.greatest(F.col("squares") - F.pow(F.col("off"), F.lit(2.0)) / F.col("count"), F.lit(0.0))
     return _with(moments, exact_quantiles(counts, keys, QUARTILES), keys).select(
         *keys,
         "count",
         (F.col("rough") + F.col("off") / F.col("count")).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        F.sqrt(F.try_divide(squares, F.col("count") - 1)).alias("std"),
         "min",
         F.col("q")[0].alias("q25"),
         F.col("q")[1].alias("q50"),

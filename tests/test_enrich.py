@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ontime import schemas
 from ontime.operators import enrich
 from ontime.plans import pipelines
+from ontime.sources import catalog
 from tests.conftest import final_plan_of, plan_of
 from tests.lines import frame, gsod_line, isd_line
 
@@ -117,6 +118,31 @@ def test_same_result_without_the_broadcast(spark, monkeypatch, large_tables):
     assert sorted(shuffled.collect()) == sorted(usual.collect())
 
 
+@pytest.mark.parametrize("kind", ["hourly", "daily"])
+def test_saved_weather_stays_where_it_is(spark, tmp_path, large_tables, kind):
+    """Flights are dealt to the buckets; the weather side has no exchange, however often it is used."""
+    make, line, join = {
+        "hourly": (pipelines.hourly_weather, isd_line, enrich.enrich_hourly), "daily": (pipelines.daily_weather, gsod_line, enrich.enrich_daily),
+    }[kind]
+    made = make(stations(spark, STATIONS), frame(spark, [line(station="700001"), line(station="700002")]))
+    database = f"ontime_buckets_{kind}"
+    catalog.ensure_database(spark, database, str(tmp_path / "buckets"))
+    try:
+        catalog.save_weather(made, f"{database}.weather")
+        saved = spark.table(f"{database}.weather")
+        data = flights(spark, [(2, 500, "AAA", "CCC"), (2, 510, "BBB", "AAA"), (2, 500, "DDD", "AAA"), (3, 500, "AAA", "AAA")])
+        joined = join(data, saved)
+        plan = final_plan_of(joined)
+        sides = plan.count("FileScan parquet")
+        assert sides == {"hourly": 1, "daily": 2}[kind] and plan.count("Bucketed: true") == sides
+        for branch in plan.split("FileScan parquet")[:-1]:
+            above = branch.splitlines()[-6:]
+            assert not any("Exchange" in text for text in above)
+        assert sorted(joined.collect(), key=str) == sorted(join(data, made).collect(), key=str) and joined.count() == 2
+    finally:
+        catalog.drop_outputs(spark, database, ["weather"], with_database=True)
+
+
 def test_hot_airport_hour_is_split(spark, small_skew_limits):
     """A third of all flights in one airport-hour does not end in one task."""
     columns = [f.split() for f in schemas.FLIGHT_SCHEMA.split(", ")]

@@ -1,9 +1,11 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ontime.operators import evaluate, features, models, sampling, score
+from ontime.operators import evaluate, features, models, rejects, sampling, score
 from ontime.plans import training
 from ontime.sources import catalog, shared
 from tests.conftest import plan_of
@@ -184,6 +186,95 @@ def test_two_stage_scores(spark, tmp_path, flights, domain, parts):
     assert {r.request: r.result for r in again.collect()} == {r.request: r.result for r in rows.values()}
 
 
+def test_requests_are_assembled_once(spark, flights, domain, parts):
+    classifier = models.fit_delay_logistic(parts[0], True, domain)
+    regressor = models.fit_minutes_forest(features.minutes_examples(flights), features.fit_domain_index(flights, features.categories(True)))
+    requests = score.fill_missing_weather(score.parse_requests(catalog.request_frame(spark, ["9,1,6,6,AA,A1,B1,95,1000,500,10000,2,RA"])))
+    assert score.same_features(classifier, regressor)
+    both = score.score(requests, classifier, regressor)
+    # Three indexes, three encoders and one assembler are functions of the plan; two passes would have twice as many.
+    plan = plan_of(both)
+    assert plan.count("UDF(struct(") == 1
+    one_by_one = classifier.transform(requests).select("prediction").first()[0], 10 ** regressor.transform(requests).first().prediction
+    assert (both.first().predicted_delay, both.first().result) == (one_by_one[0], pytest.approx(one_by_one[1]))
+    other = models.fit_minutes_linear(features.minutes_examples(flights), features.fit_domain_index(flights.where("Month < 3 and Origin <> 'A1'"), features.categories(True)))
+    assert not score.same_features(classifier, other)
+    assert score.score(requests, classifier, other).first().predicted_delay == one_by_one[0]
+    with pytest.raises(ValueError):
+        score.two_stage(classifier, other)
+
+
+def test_rejected_requests_are_counted(spark):
+    session = rejects.counting_session(spark)
+    seen = rejects.Counted("requests")
+    lines = ["9,1,6,6,AA,SFO,JFK", "12,24,1", "x,1,6,6,AA,SFO,JFK", ""]
+    assert score.parse_requests(catalog.request_frame(session, lines), counted=seen).count() == 1
+    assert seen.metrics() == {"requests_read": 4, "requests_rejected": 3}
+
+
+def test_models_are_fitted_after_rows_were_counted(spark, domain, parts):
+    """The session that counts is another one, so this one still fits."""
+    test_rejected_requests_are_counted(spark)
+    assert evaluate.auroc(models.fit_delay_forest(parts[0], True, domain).transform(parts[1])) > 0.8
+
+
+def test_folds_do_not_depend_on_the_layout(spark, domain, parts):
+    columns = parts[0].columns
+    fold = models.fold_of_row(3, columns).alias("fold")
+
+    def folds(table):
+        return sorted(tuple(r) for r in table.select(*columns, fold).collect())
+
+    assert folds(parts[0].repartition(7)) == folds(parts[0].coalesce(1))
+    sizes = [r["count"] for r in parts[0].groupBy(fold).count().collect()]
+    assert len(sizes) == 3 and min(sizes) > 0.8 * max(sizes)
+    first, second = (models.cross_validate(p, True, domain, folds=2, grid=[{}])[1].avgMetrics for p in (parts[0].repartition(5), parts[0].coalesce(1)))
+    assert first == pytest.approx(second, abs=1e-6)
+
+
+def test_grid_search_makes_features_once(domain, parts, monkeypatch):
+    made = []
+
+    def written(table, name):
+        made.append((name, table.columns))
+        return shared.materialize(table, name)
+
+    monkeypatch.setattr(models, "materialize", written)
+    models.cross_validate(parts[0], True, domain, folds=2, grid=[{}])
+    assert made == [("vectors", ["features", "label", "fold"])]
+
+
+def test_exact_clusters_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = rng.integers(1, 8)
+        values, weights = np.sort(rng.random(n)), rng.integers(1, 5, n).astype(float)
+        found = {k: (cost, centres) for k, cost, centres in models.interval_clusters(values, weights, 5)}
+        assert set(found) == set(range(1, min(5, n) + 1))
+        for k, (cost, centres) in found.items():
+            least = np.inf
+            for cuts in itertools.combinations(range(1, n), k - 1):
+                spans = list(itertools.pairwise([0, *cuts, n]))
+                means = [np.average(values[a:b], weights=weights[a:b]) for a, b in spans]
+                least = min(least, sum((weights[a:b] * (values[a:b] - m) ** 2).sum() for (a, b), m in zip(spans, means)))
+            nearest = ((values[:, None] - np.array(centres)) ** 2).min(1)
+            assert cost == pytest.approx(least, abs=1e-9) == pytest.approx((nearest * weights).sum(), abs=1e-9)
+
+
+def test_k_means_costs_no_less_than_the_optimum(spark):
+    rows = [(m,) for m in range(1, 90) for _ in range(90 - m)] + [(0,)] * 500 + [(None,)] * 50
+    table = spark.createDataFrame(rows, "WeatherDelay int")
+    exact = {r.k: r for r in models.exact_elbow(table).collect()}
+    for row in models.elbow(table, range(2, 6)).collect():
+        assert exact[row.k].cost * (1 - 1e-9) <= row.cost <= exact[row.k].cost * 1.5
+    centres = spark.createDataFrame([(c,) for c in exact[4].centres], "log10_value double")
+    assert models.centre_cost(table, centres).first().cost == pytest.approx(exact[4].cost)
+    assert models.exact_elbow(table.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(ValueError):
+        patch.setattr(models, "EXACT_MINUTES", 5)
+        models.exact_elbow(table)
+
+
 def test_draw_part(spark):
     sizes = spark.range(40_000).groupBy(sampling.draw_part([1, 2, 1], 3).alias("part")).count().collect()
     shares = {r.part: r["count"] / 40_000 for r in sizes}

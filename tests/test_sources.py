@@ -102,12 +102,17 @@ def test_build_tables_from_files(spark, tmp_path):
         assert re.search(r"PartitionFilters: \[Month#\d+ IN \(", winter)
         daily = pipelines.build_table(spark, database, stations, str(tmp_path / "gsod_*.txt"), flights, kind="daily")
         assert [tuple(r) for r in daily.collect()] == [(2006, 1, 1)]
+        logged = {(r.run.split("_")[-1], r.metric): r.value for r in spark.table(f"{database}.{pipelines.INGEST_LOG}").collect()}
+        assert logged == {
+            ("weatherhourly", "weather_read"): 4, ("weatherhourly", "weather_rejected"): 1, ("weatherhourly", "flights_read"): 4, ("weatherhourly", "flights_rejected"): 1,
+            ("dailyweather", "weather_read"): 2, ("dailyweather", "weather_rejected"): 0, ("dailyweather", "flights_read"): 4, ("dailyweather", "flights_rejected"): 1,
+        }
         # A second run replaces the table.
         assert pipelines.build_table(spark, database, stations, str(tmp_path / "isd-*.txt"), flights).count() == 2
         with pytest.raises(ValueError):
             pipelines.build_table(spark, database, stations, "x", flights, kind="weekly")
     finally:
-        catalog.drop_outputs(spark, database, [schemas.HOURLY_TABLE, schemas.DAILY_TABLE], with_database=True)
+        catalog.drop_outputs(spark, database, [schemas.HOURLY_TABLE, schemas.DAILY_TABLE, pipelines.INGEST_LOG], with_database=True)
     assert not spark.catalog.databaseExists(database)
 
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ontime.operators import stats
+from ontime.operators import quantiles, stats
+from ontime.sources.shared import materialize
 from tests.conftest import plan_of
 
 
@@ -110,11 +111,45 @@ def test_pair_points(numbers, limit):
 
 
 def test_values_are_counted_before_quantiles(numbers):
-    plan = plan_of(stats.box_stats(numbers[0], "late", ["x", "y"])).split("== Initial Plan ==")[-1]
+    plan = plan_of(stats.value_counts(numbers[0], ["x", "y"], ["late"])).split("== Initial Plan ==")[-1]
     first = [line for line in reversed(plan.splitlines()) if "Exchange hashpartitioning" in line][0]
     assert "value#" in first and "measure#" in first
 
 
+def test_a_summary_reads_its_input_once(spark, numbers, tmp_path, monkeypatch):
+    numbers[0].write.parquet(str(tmp_path / "numbers"))
+    written = []
+    monkeypatch.setattr(stats, "materialize", lambda table, name: written.append(plan_of(table)) or materialize(table, name))
+    table = spark.read.parquet(str(tmp_path / "numbers"))
+    for made in (stats.describe(table, ["x", "y"]), stats.box_stats(table, "late", ["x", "y"])):
+        assert str(tmp_path / "numbers")[:20] not in plan_of(made)
+    assert [plan.split("== Initial Plan ==")[-1].count("FileScan parquet") for plan in written] == [1, 1]
+
+
+@pytest.mark.parametrize("gathered, ranges", [(1, 2), (3, 4), (40, 8), (5000, 4096)])
+def test_quantiles_by_selection_equal_numpy(spark, numbers, monkeypatch, gathered, ranges):
+    monkeypatch.setattr(quantiles, "RANGES", ranges)
+    table, data = numbers
+    long = stats.value_counts(table.withColumn("z", F.exp(F.col("y"))).withColumn("k", F.when(F.col("late") == 1, "a")), ["x", "y", "z"], ["k"])
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    data = data.assign(z=np.exp(data.y), k=np.where(data.late == 1, "a", None))
+    got = {(r.k, r.measure): r.q for r in quantiles.exact_quantiles(materialize(long, "long"), ["k", "measure"], shares, gathered).collect()}
+    assert len(got) == 6
+    for (k, name), q in got.items():
+        want = data[data.k.isna() if k is None else data.k == k][name].dropna()
+        assert np.allclose(q, np.quantile(want, shares))
+
+
+def test_quantiles_of_a_million_different_values(spark):
+    """No task gathers more than a range of the values."""
+    table = spark.range(1_000_000).select((F.sqrt("id") * 1.7).alias("value"), F.lit("m").alias("measure"), F.lit(1).cast("long").alias("n"))
+    made = quantiles.exact_quantiles(materialize(table, "million"), ["measure"], [0.25, 0.5, 0.75])
+    want = np.quantile(np.sqrt(np.arange(1_000_000)) * 1.7, [0.25, 0.5, 0.75])
+    assert np.allclose(made.first().q, want, rtol=1e-12)
+    assert "percentile" not in plan_of(made)
+    assert quantiles.exact_quantiles(materialize(table.limit(0), "none"), ["measure"], [0.5]).count() == 0
+
+
 @pytest.mark.parametrize("values", [[1e9, 1e9 + 1, 1e9 + 2] * 100, [0.1] * 50, [7.0]])
 def test_standard_deviation_of_large_values(spark, values):
     got = stats.describe(spark.createDataFrame([(x,) for x in values], "x double"), ["x"]).first()

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ontime import schemas
 from ontime.functions import columns as fn
-from ontime.operators import weather
+from ontime.operators import rejects, weather
 from tests.conftest import plan_of
 from tests.lines import frame, gsod_line, isd_line
 
@@ -163,7 +163,42 @@ def test_rollup_hashes_on_values_before_keys(spark):
     plan = plan_of(weather.rollup_hourly(spark.createDataFrame([reading()], READING)))
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     first, second = [line for line in reversed(plan.split("== Initial Plan ==")[-1].splitlines()) if "Exchange hashpartitioning" in line]
-    assert "value#" in first and "measure#" in first and "value#" not in second
+    assert "value#" in first and "slot#" in first and "value#" not in second
+
+
+def test_rollup_reads_its_lines_once(spark, tmp_path):
+    frame(spark, [isd_line()]).write.text(str(tmp_path / "lines"))
+    plan = plan_of(weather.rollup_hourly(weather.parse_isd(spark.read.text(str(tmp_path / "lines")))))
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan text") == 1
+
+
+def test_packed_hours_come_back(spark):
+    parts = [None, -99, -9, 0, 1, 12, 31, 99, 255, -255]
+    years = [None, -999, 0, 2006, 9999, 2**31 - 1, -(2**31) + 1]
+    rows = [(y, m, d, h) for y in years for m in parts for d in parts[::3] for h in parts[1::4]]
+    table = spark.createDataFrame(rows, "y int, m int, d int, h int").withColumn("at", fn.pack_hour("y", "m", "d", "h"))
+    got = table.select("at", "y", "m", "d", "h", *[p.alias(n) for p, n in zip(fn.unpack_hour(F.col("at")), "YMDH")]).collect()
+    assert all(tuple(r)[1:5] == tuple(r)[5:] for r in got) and len({r["at"] for r in got}) == len(rows)
+    with pytest.raises(Exception, match="too many digits"):
+        spark.createDataFrame([(2006, 1, 256, 1)], "y int, m int, d int, h int").select(fn.pack_hour("y", "m", "d", "h")).collect()
+
+
+def test_rollup_of_odd_keys(spark):
+    rows = [(7, None, 2006, None, -1, 0), (7, None, 2006, None, -1, 0), (None, "a", None, 1, 1, 99)]
+    full = [(*key, 3, 4, 5, 6, 7, 1.0, "RA") for key in rows]
+    got = sorted((r.asDict() for r in weather.rollup_hourly(spark.createDataFrame(full, READING)).collect()), key=str)
+    assert {(r["StationNumber"], r["WBAN"], r["Year"], r["Month"], r["Day"], r["Hour"], r["NumOfRec"]) for r in got} == {(*rows[0], 2), (*rows[2], 1)}
+
+
+def test_bad_lines_are_counted_as_they_are_parsed(spark):
+    session = rejects.counting_session(spark)
+    seen = rejects.Counted("weather")
+    lines = frame(session, [isd_line(), isd_line(wind="00x6"), "short", isd_line(wban="99999")])
+    assert weather.parse_isd(lines, counted=seen).count() == 1
+    assert seen.metrics() == {"weather_read": 4, "weather_rejected": 2}
+    daily = rejects.Counted("weather")
+    weather.parse_gsod(frame(session, [gsod_line(), gsod_line(flags="01x000"), gsod_line(station="999999")]), counted=daily).collect()
+    assert daily.metrics() == {"weather_read": 3, "weather_rejected": 1}
 
 
 def test_rollup_of_a_hot_hour_matches_brute_force(spark):
