@@ -11,13 +11,13 @@ the first line) stays, all others go from their documents.
 * A bucket's smallest and largest line come out of one aggregate; only buckets with more
   lines are read again. Each line is compared with the bucket's smallest. Only lines that
   aren't similar to it are compared with all others of the bucket, in blocks of ``BUCKET_ROWS`` lines and pairs of blocks, so no
-  task holds more; only links that join what isn't joined yet leave a block. Nothing that a bucket links is lost.
+  task holds more; only links that join what isn't joined yet leave a block of more than a few lines. Nothing that a bucket links is lost.
 * Components follow by distributed union-find.
 * Before texts or lines are shuffled to few keys, a bitmap of the keys sends most others
   away. It has ``PAGES`` pages at most however large the data, and lets through more than
   it must where it fills up; the joins behind it decide.
 
-Lines are told apart by 128 bits of hash, their shingles by 64. Lines without a word always stay, as does a
+Lines are told apart by 128 bits of hash, their shingles by 50. Lines without a word always stay, as does a
 null text; null doc_ids sort last. Rows that repeat in doc_id and text are one
 document. An empty table has no rows. A bucket of n lines of which many are half alike travels n / BUCKET_ROWS times.
 """
@@ -116,33 +116,56 @@ def candidates(signed: DataFrame) -> DataFrame:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whether the two lines of each row are similar."""
     for batch in batches:
-        pairs = zip(shingling.sets(batch["of_a"].to_pylist()), shingling.sets(batch["of_b"].to_pylist()), strict=True)
-        near = pa.array([shingling.similar(a, b) for a, b in pairs], pa.bool_())
+        n = batch.num_rows
+        both = shingling.Sets(batch["of_a"].to_pylist() + batch["of_b"].to_pylist())
+        near = pa.array(both.similar(np.arange(n), np.arange(n) + n))
         columns = [batch[x] for x in ("id", "first", "a1", "a2", "b1", "b2")]
         yield pa.RecordBatch.from_arrays([*columns, near], ["id", "first", "a1", "a2", "b1", "b2", "near"])
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each group of rows, which follow one another."""
-    held, group = [], None
-
-    def linked() -> Iterator[pa.RecordBatch]:
-        rows = list({(r["block"], r["id1"], r["id2"]): r for r in held}.values())
-        found = shingling.group_links(shingling.sets([r["line"] for r in rows]), [r["block"] for r in rows], [r["far"] for r in rows])
-        if found:
-            ends = [[rows[pair[side]][x] for pair in found] for side in (0, 1) for x in _ID]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a1", "a2", "b1", "b2"])
+    """Links within each group of rows, which follow one another. Small groups are compared together."""
+    few: list[tuple] = []  # rows of small groups, and pairs of their numbers
+    pairs: list[tuple[int, int]] = []
+    group, held = None, []
+
+    def rows_of(links: list[tuple[int, int]], rows: list[tuple]) -> pa.RecordBatch:
+        ends = [[rows[pair[side]][x] for pair in links] for side in (0, 1) for x in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a1", "a2", "b1", "b2"])
+
+    def small() -> Iterator[pa.RecordBatch]:
+        ends = np.array(pairs, np.int64).reshape(-1, 2)
+        near = ends[shingling.Sets([r[4] for r in few]).similar(*ends.T)] if len(ends) else ends
+        if len(near):
+            yield rows_of(near.tolist(), few)
+        few.clear()
+        pairs.clear()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = list({r[2:4]: r for r in held}.values())
+        block, far = [r[0] for r in rows], [r[1] for r in rows]
+        if len(rows) <= shingling.FEW:
+            pairs.extend((len(few) + i, len(few) + j) for i, j in shingling.few_pairs(block, far))
+            few.extend(rows)
+            if len(few) > BUCKET_ROWS:
+                yield from small()
+        else:
+            found = shingling.group_links(shingling.Sets([r[4] for r in rows]), block, far)
+            if found:
+                yield rows_of(found, rows)
 
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["bucket"], row["low"], row["high"])
+        keys = zip(*(batch[x].to_pylist() for x in ("bucket", "low", "high")), strict=True)
+        rows = zip(*(batch[x].to_pylist() for x in ("block", "far", "id1", "id2", "line")), strict=True)
+        for key, row in zip(keys, rows, strict=True):
             if key != group:
                 if held:
-                    yield from linked()
+                    yield from done()
                 held, group = [], key
             held.append(row)
     if held:
-        yield from linked()
+        yield from done()
+    yield from small()
 
 
 def links(members: DataFrame, texts: DataFrame) -> DataFrame:

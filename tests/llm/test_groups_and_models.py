@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import duck
-from ontime.llm import exact, language, line_dedup, quality_model, quality_rules, queries, simhash
+from ontime.llm import exact, language, line_dedup, line_shingles, quality_model, quality_rules, queries, simhash
 from ontime.llm.graph import components
 from tests.llm.conftest import frame, odd_texts, prose
 
@@ -179,6 +179,45 @@ def test_line_links_beyond_the_first_of_a_bucket(spark):
     assert {tuple(sorted((r.a.id1, r.b.id1))) for r in got} == {(1, 4), (2, 3)}
 
 
+def test_many_lines_of_one_template(spark):
+    """20,000 lines that share half of their shingles, which puts them into the same buckets, and one pair that is similar."""
+    rng = random.Random(33)
+    lines = ["the same words open this line, then: " + "".join(rng.choices("abcdefghijklmnop", k=36)) for _ in range(20_000)]
+    lines += [lines[7] + "!", lines[7], lines[11] + "!?"]
+    docs = [(k, "\n".join(lines[k * 100 : k * 100 + 100])) for k in range(201)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.op9_fuzzy_line_dedup(frame(spark, docs)).collect()}
+    assert {d: n for d, n in got.items() if n} == {200: 3}
+
+
+def test_links_in_groups_equal_all_pairs():
+    """Small and large groups, one block and two: the same components as all pairs of which one at least is far."""
+    rng = random.Random(34)
+    for n in (2, 5, 8, 9, 60):
+        for blocks in (1, 2):
+            base = ["".join(rng.choices("abcdef", k=60)) for _ in range(3)]
+            lines = []
+            for _ in range(n):
+                line = list(rng.choice(base))
+                for _ in range(rng.randrange(4)):
+                    line[rng.randrange(60)] = rng.choice("xyz")
+                lines.append("".join(line))
+            far, block = [rng.random() < 0.5 for _ in range(n)], [rng.randrange(blocks) for _ in range(n)]
+            two = len(set(block)) > 1
+            pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if (far[i] or far[j]) and not (two and block[i] == block[j]) and alike(lines[i], lines[j])]
+            found = line_shingles.group_links(line_shingles.Sets(lines), block, far)
+            assert {tuple(sorted(p)) for p in found} <= set(pairs) and len(found) < n
+            assert roots(range(n), found) == roots(range(n), pairs)
+
+
+def test_shingles_of_any_lines():
+    lines = ["", "a", "12345678", "123456789", "🙂" * 9, "a" * 500, "\x00\x01", "漢字かな交じり文の行です"]
+    assert line_shingles.Sets(lines).sizes.tolist() == [len(full_shingles(x)) for x in lines]
+    ends = np.array(list(itertools.product(range(len(lines)), repeat=2)))
+    assert line_shingles.Sets(lines).similar(*ends.T).tolist() == [alike(lines[i], lines[j]) for i, j in ends.tolist()]
+    whole = line_shingles.minima(lines)
+    assert (np.concatenate([line_shingles.minima([x]) for x in lines]) == whole).all()
+
+
 def test_bitmap(spark):
     """A key that is there always passes; keys that share its bit do too, others don't."""
     keys = spark.createDataFrame([(x,) for x in (0, 7, 8, 32_767, 32_768, -1, (1 << 27) + 5)], "k long")
