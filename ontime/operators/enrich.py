@@ -40,8 +40,8 @@ _FLIGHT_COLUMNS = [
 def small_side(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table, marked for broadcast if it has at most ``max_rows`` rows.
 
-    Counting stops at the bound. A larger table is returned as it is, which
-    leaves a shuffle join.
+    Counting is a job that runs while the plan is built; it stops at the bound. A larger
+    table is returned as it is, which leaves a shuffle join.
     """
     found = table.limit(max_rows + 1).count()
     return F.broadcast(table) if found <= max_rows else table
