@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.sources.shared import materialize
@@ -103,9 +103,8 @@ def op13_centroid_clustering(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     digests = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids.tolist())]
     inertias = state.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    by_cluster = inertias.join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster")
-    whole = state.agg(F.sum("distance").alias("inertia"))
-    figures = by_cluster.crossJoin(F.broadcast(whole))
+    inertias = inertias.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))  # of k rows
+    figures = inertias.join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster")
     return state.join(F.broadcast(figures), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
