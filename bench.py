@@ -27,7 +27,7 @@ def main() -> None:
     times = {}
 
     start = time.time()
-    views.station_file(), views.flight_file(), views.hourly(), views.daily()
+    views.station_file(), views.flight_file(), views.hourly(), views.daily(), views.planted()
     times["prepare"] = round(time.time() - start, 3)
 
     for name in sys.argv[1:] or QUERIES:

@@ -644,9 +644,9 @@ group by part""")
 def random_split_sizes(v):
     """Sizes of random parts, next to the number of flights that they make up."""
     parts = sampling.split(v.hourly(), [0.7, 0.3], seed=10)
-    whole = reports.row_count(v.hourly()).select(F.col("rows").alias("flights"))
+    whole = reports.row_count(v.hourly()).scalar()
     sizes = [
-        sampling.with_label(reports.row_count(part).crossJoin(whole), name, "part").select(
+        sampling.with_label(reports.row_count(part).withColumn("flights", whole), name, "part").select(
             "part", "flights", _near_share(F.col("rows"), F.col("flights"), F.lit(share)).alias("likely")
         )
         for part, name, share in zip(parts, ("training", "test"), (0.7, 0.3))
@@ -913,7 +913,7 @@ def delay_predictions(v):
     parts = _delay_parts(v)
     made = features.delay_examples(v.planted())
     for kind in ("forest", "logistic"):
-        kept = [c for c in made.columns]
+        kept = made.columns
         made = training.train_delay(parts, kind).model.transform(made).withColumnRenamed("prediction", kind).select(*kept, kind)
     return made.select("Year", "Month", "Day", "Origin", "Dest", "UniqueCarrier", "CRSDepHour", "forest", "logistic")
 
@@ -1021,7 +1021,7 @@ def minutes_predictions(v):
     parts = training.minutes_parts(v.planted())
     made = features.minutes_examples(v.planted())
     for kind in ("linear", "forest"):
-        kept = [c for c in made.columns]
+        kept = made.columns
         made = training.train_minutes(parts, kind).model.transform(made)
         made = made.select(*kept, _nearest_minutes(fn.minutes_from_log10(F.col("prediction"))).alias(kind))
     return made.select("Year", "Month", "Day", "Origin", "Dest", "linear", "forest")
@@ -1076,8 +1076,8 @@ def delay_cluster_minutes(v):
     exact = models.exact_elbow(v.hourly()).where(F.col("k").isin(4, 5))
     costs = []
     for k in (4, 5):
-        centres = models.cluster_minutes(models.fit_delay_clusters(v.hourly(), k), v.spark)
-        costs.append(models.centre_cost(v.hourly(), centres.select("log10_value")).select(F.lit(k).alias("k"), F.col("cost").alias("found")))
+        centres = [r.log10_value for r in models.cluster_minutes(models.fit_delay_clusters(v.hourly(), k), v.spark).collect()]
+        costs.append(models.centre_cost(v.hourly(), centres).select(F.lit(k).alias("k"), F.col("cost").alias("found")))
     ratio = F.col("found") / F.col("cost")
     judged = exact.join(sampling.stack(*costs), "k").withColumn("close", ratio.between(1 - 1e-9, ELBOW_MARGIN))
     placed = judged.select("k", "close", F.posexplode("centres").alias("place", "log"))

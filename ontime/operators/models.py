@@ -193,11 +193,10 @@ def cluster_minutes(model: KMeansModel, spark) -> DataFrame:
     )
 
 
-def centre_cost(flights: DataFrame, centres: DataFrame) -> DataFrame:
-    """One row: sum of squared distances of log10 of the delays to the nearest of the centres (``log10_value``), of which there are few."""
-    near = _minute_counts(flights).crossJoin(F.broadcast(centres)).groupBy("log", "flights")
-    least = near.agg(F.min(F.pow(F.col("log") - F.col("log10_value"), F.lit(2.0))).alias("square"))
-    return least.agg(F.sum(F.col("flights") * F.col("square")).alias("cost"))
+def centre_cost(flights: DataFrame, centres: list[float]) -> DataFrame:
+    """One row: sum of squared distances of log10 of the delays to the nearest of the centres."""
+    squares = F.transform(F.array(*map(F.lit, centres)), lambda centre: F.pow(F.col("log") - centre, F.lit(2.0)))
+    return _minute_counts(flights).agg(F.sum(F.col("flights") * F.array_min(squares)).alias("cost"))
 
 
 def logistic_grid(logistic: LogisticRegression) -> list:
