@@ -170,11 +170,13 @@ def group_links(members: Sets, block: list[int], far: list[bool]) -> list[tuple[
     by_token = np.argsort(token, kind="stable")
     sorted_token, sorted_row = token[by_token], row[by_token]
     low, high = np.searchsorted(sorted_token, token), np.searchsorted(sorted_token, token, side="right")
-    found = []
+    found, joined = [], np.arange(len(far))  # the component of each row
     for i in np.flatnonzero(far).tolist():
         mine = slice(by_row[i], by_row[i + 1])
         others = np.unique(np.concatenate([sorted_row[a:b] for a, b in zip(low[mine], high[mine], strict=True)]))
-        others = others[(others != i) & ~(two & (blocks[others] == block[i]))]
-        others = others[members.similar(np.full(len(others), i), others)]
-        found = _joining(found + [(i, j) for j in others.tolist()], len(far)) if len(others) else found
+        others = others[(joined[others] != joined[i]) & ~(two & (blocks[others] == block[i]))]
+        for j in others[members.similar(np.full(len(others), i), others)].tolist():
+            if joined[j] != joined[i]:
+                joined[joined == joined[j]] = joined[i]
+                found.append((i, j))
     return found
