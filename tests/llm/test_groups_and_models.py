@@ -281,6 +281,10 @@ def folder(tmp_path):
     def made(docs, marks):
         docs.write.parquet(f"{tmp_path}/documents.parquet")
         marks.write.parquet(f"{tmp_path}/labels.parquet")
+        items = docs.where("doc_id in (8, 10, 11)").selectExpr("doc_id as item_id", "text")
+        items.write.parquet(str(tmp_path / "benchmark.parquet"))
+        vectors = docs.selectExpr("doc_id as vec_id", "transform(sequence(1, 64), i -> float(coalesce(length(text), 0) % (i + 7)) / 9) as embedding")
+        vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
         return str(tmp_path)
 
     return made
@@ -295,6 +299,12 @@ def test_empty_tables(spark, empty, marks, folder, name):
 def test_odd_rows(spark, odd, marks, folder, name):
     got = queries.QUERIES[name](spark, folder(odd, marks)).collect()
     expected = collections.Counter(d for d, _ in odd_texts())
+    if name == "op11_lexical_search":
+        assert {r.item_id for r in got} == {8, 10, 11} and all(r.score > 0 and r.doc_id in expected for r in got)
+        return
+    if name == "op13_centroid_clustering":
+        assert collections.Counter(r.vec_id for r in got) == expected
+        return
     assert set(r.doc_id for r in got) == set(expected)
     if name != "op3_best_fit_packing":
         assert collections.Counter(r.doc_id for r in got) == expected
