@@ -13,6 +13,7 @@ scanned each. Without any sample the random model is uniform.
 import json
 import math
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,28 +35,51 @@ SAMPLE = 20_000  #: about so many documents are learned from
 PRIOR = 5.0  #: characters that the smoothing adds after each
 MASK = "[SECRET]"
 
-_SPAN = "array<struct<start: int, kind: int, stop: int, value: string>>"
+_SPAN = "array<struct<start: int, kind: int, stop: int, value: string, first: int, last: int>>"
+_STRIDES = [1 << i for i in range(31)]
+
+
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """All values up to each, joined; by doubled strides, as appending would copy the array for every value."""
+    strides = F.filter(F.array(*map(F.lit, _STRIDES)), lambda k: k < F.size(values))
+
+    def step(made: Column, k: Column) -> Column:
+        return F.transform(made, lambda v, i: F.when(i >= k, join(F.get(made, i - k), v)).otherwise(v))
+
+    return F.aggregate(strides, values, step)
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.struct((a["points"] + b["points"]).alias("points"), (a["bytes"] + b["bytes"]).alias("bytes"))
 
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Spans of the pattern's leftmost matches, without those whose group is too short.
 
-    The texts between matches give the positions.
+    The texts between matches give the positions, in code points and, as first and last, in bytes.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    each = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
 
-    def step(made: Column, x: Column) -> Column:
-        start = made["at"] + F.char_length(x["gap"])
-        stop = start + F.char_length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(made["spans"], F.array(span)).alias("spans"))
+    def size(word: Column) -> Column:
+        return F.struct(F.char_length(word).alias("points"), F.octet_length(word).alias("bytes"))
+
+    def span(x: Column, stop: Column) -> Column:
+        start, first = stop["points"] - F.char_length(x["match"]), stop["bytes"] - F.octet_length(x["match"])
+        return _span(start, stop["points"], x["value"], first, stop["bytes"], kind)
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans"))
-    placed = F.filter(F.aggregate(each, zero, step)["spans"], lambda s: F.char_length(s["value"]) >= least)
-    return F.when(text.rlike(pattern), placed).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    def placed(each: Column) -> Column:
+        sizes = F.transform(each, lambda x: _both(size(x["gap"]), size(x["match"])))
+        return F.filter(F.zip_with(each, _let(sizes, lambda n: _running(n, _both)), span), lambda s: F.char_length(s["value"]) >= least)
+
+    each = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), values.alias("value"))
+    met = F.filter(each, lambda x: x["match"].isNotNull())  # the text after the last match has none
+    return F.when(text.rlike(pattern), _let(met, placed)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def base_spans(text: Column) -> Column:
@@ -63,20 +87,34 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_spans(text, k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(KINDS)))
 
 
-def _masked(text: Column, spans: Column, mask: str) -> Column:
-    """The text with ``mask`` in place of the spans, which are in order."""
+def _masked(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``fill`` in place of the spans, which are in order.
+
+    ``fill`` is given whether the span begins beyond all before it, and how many code points are its alone.
+    """
+    ends = F.transform(spans, lambda s: F.struct(s["stop"].alias("points"), s["last"].alias("bytes")))
+    # the bytes, as a place in them is found without counting from the start
+    held = F.struct(text.cast("binary").alias("text"), _let(ends, lambda e: _running(e, F.greatest)).alias("reach"))
+
+    def cut(x: Column, start: Column, stop: Column) -> Column:
+        return F.substring(x["text"], start + 1, stop - start).cast("string")
+
+    def clean(x: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.get(x["reach"], i - 1)
+            points, at = F.coalesce(before["points"], F.lit(0)), F.coalesce(before["bytes"], F.lit(0))
+            alone = F.greatest(s["stop"] - F.greatest(s["start"], points), F.lit(0))
+            return F.concat(cut(x, at, s["first"]), fill(s["start"] >= points, alone))
 
-    def step(made: Column, s: Column) -> Column:
-        fresh_span = s["start"] >= made["at"]
-        piece = F.concat(F.substring(text, made["at"] + 1, s["start"] - made["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(made["at"], s["stop"]).alias("at"),
-            F.when(fresh_span, F.concat(made["parts"], F.array(piece))).otherwise(made["parts"]).alias("parts"),
-        )
+        end = F.get(x["reach"], F.size(spans) - 1)["bytes"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(x, end, F.octet_length(x["text"])))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    cut = F.aggregate(spans, zero, step)
-    return F.concat(F.array_join(cut["parts"], ""), F.substring(text, cut["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(held, clean))
+
+
+def _blank(beyond: Column, alone: Column) -> Column:
+    """Spaces for each code point."""
+    return F.repeat(F.lit(" "), alone)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
@@ -92,14 +130,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
     found = chosen.select(half, body().alias("text"), F.array_sort(base_spans(body())).alias("base"))
     random = F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), s["value"].alias("word")))
-    others = F.regexp_extract_all(_masked(F.col("text"), F.col("base"), " "), F.lit(ORDINARY), F.lit(0))
+    others = F.regexp_extract_all(_masked(F.col("text"), F.col("base"), _blank), F.lit(ORDINARY), F.lit(0))
     plain = F.transform(others, lambda w: F.struct(F.lit(0).alias("random"), w.alias("word")))
     words = found.select("half", F.explode(F.concat(random, plain)).alias("w")).select("half", "w.*").groupBy("random", "half", "word").count()
     words.persist()
     n = _pair_counts(words)
     judges = F.array(*(_literal(_log_ratios(Counter({x: m for x, m in n.items() if x[0] or x[1] != h}))) for h in (0, 1)))
     long = (F.col("random") == 0) & (F.char_length("word") >= LEAST_SIZE)
-    token = _span(F.lit(0), F.char_length("word"), F.col("word"))
+    token = _span(F.lit(0), F.char_length("word"), F.col("word"), F.lit(0), F.octet_length("word"))
     taken = words.filter(long).select("random", "half", "count", F.explode(_secrets(token, F.get(judges, F.col("half")))["value"]).alias("word"))
     n.subtract(_pair_counts(taken))
     words.unpersist()
@@ -154,45 +192,35 @@ def _literal(ratio: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(ratio)), "array<double>")
 
 
-def _span(start: Column, stop: Column, value: Column) -> Column:
-    """A span of a random string."""
-    return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), stop.alias("stop"), value.alias("value"))
+def _span(start: Column, stop: Column, value: Column, first: Column, last: Column, kind: int = len(KINDS)) -> Column:
+    """A span, of a random string unless the kind is named."""
+    named = {"start": start, "kind": F.lit(kind), "stop": stop, "value": value, "first": first, "last": last}
+    return F.struct(*(x.alias(name) for name, x in named.items()))
 
 
 def _secrets(s: Column, ratio: Column) -> Column:
     """The span if it is a secret; if not, those of its long parts that are."""
-    parts = F.transform(_spans(s["value"], len(KINDS), PART, 0, LEAST_SIZE), lambda p: _span(s["start"] + p["start"], s["start"] + p["stop"], p["value"]))
-    return F.when(_likely(s["value"], ratio), F.array(s)).otherwise(F.filter(parts, lambda p: _likely(p["value"], ratio)))
 
+    def moved(p: Column) -> Column:
+        return _span(s["start"] + p["start"], s["start"] + p["stop"], p["value"], s["first"] + p["first"], s["first"] + p["last"])
 
-def _outside(s: Column, base: Column) -> Column:
-    """What the base spans, which are in order, leave of a span."""
-
-    def piece(start: Column, stop: Column) -> Column:
-        return F.array(_span(start, stop, F.substring(s["value"], start - s["start"] + 1, stop - start)))
-
-    def step(made: Column, b: Column) -> Column:
-        left = F.when(b["start"] > made["at"], F.concat(made["spans"], piece(made["at"], b["start"]))).otherwise(made["spans"])
-        return F.struct(F.greatest(made["at"], b["stop"]).alias("at"), left.alias("spans"))
-
-    meeting = F.filter(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    cut = F.aggregate(meeting, F.struct(s["start"].alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("spans")), step)
-    return F.when(cut["at"] < s["stop"], F.concat(cut["spans"], piece(cut["at"], s["stop"]))).otherwise(cut["spans"])
+    parts = F.transform(_spans(s["value"], len(KINDS), PART, 0, LEAST_SIZE), moved)
+    return F.when(_likely(s["value"], ratio), F.array(s)).otherwise(F.filter(parts, lambda p: _likely(p["value"], ratio)))
 
 
 def find(docs: DataFrame, ratio: list[float], *keep: str) -> DataFrame:
     """The ``keep`` columns, and under fresh names ``base`` and ``spans``: base spans and all spans, both in order.
 
-    Returns the table and the two names.
+    Long tokens are looked for where base spans are blank, so that what those leave of a token is a token.
+    Time grows with a text's length and with n log n of its spans. Returns the table and the two names.
     """
-    base, spans, more = (fresh(docs, name) for name in ("base", "spans", "more"))
-    text = body()
+    base, spans, more, text, left = (fresh(docs, name) for name in ("base", "spans", "more", "whole", "left"))
     model = _literal(ratio)
-    held = docs.select(*keep, F.array_sort(base_spans(text)).alias(base), _spans(text, len(KINDS), CANDIDATE, 0, LEAST_SIZE).alias(more))
-
-    pieces = F.flatten(F.transform(F.col(more), lambda s: _outside(s, F.col(base))))
-    added = F.flatten(F.transform(F.filter(pieces, lambda s: F.char_length(s["value"]) >= LEAST_SIZE), lambda s: _secrets(s, model)))
-    return held.withColumn(spans, F.array_sort(F.concat(base, added))).drop(more), base, spans
+    held = docs.select(*keep, body().alias(text), F.array_sort(base_spans(body())).alias(base))
+    held = held.withColumn(left, _masked(F.col(text), F.col(base), _blank))
+    held = held.withColumn(more, _spans(F.col(left), len(KINDS), CANDIDATE, 0, LEAST_SIZE))
+    added = F.flatten(F.transform(F.col(more), lambda s: _secrets(s, model)))
+    return held.withColumn(spans, F.array_sort(F.concat(base, added))).drop(more, text, left), base, spans
 
 
 def _written(spans: Column) -> Column:
@@ -205,7 +233,7 @@ def redact(docs: DataFrame, ratio: list[float]) -> DataFrame:
     """The documents with ``MASK`` in place of each secret, and n_chars as it is then."""
     held, _, spans = find(docs, ratio, *docs.columns)
     text = F.col("text")
-    clean = _masked(text, F.col(spans), MASK)
+    clean = _masked(text, F.col(spans), lambda beyond, alone: F.when(beyond, MASK).otherwise(""))
     hit = F.size(spans) > 0
     made = held.withColumn("text", F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:
