@@ -200,24 +200,26 @@ def _places(patterns: list[Pattern], sequence: int) -> np.ndarray:
 
 
 def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """Pieces with their sequence_id and offset. ``cut`` should be a written table, as it is read twice."""
+    """Pieces with their sequence_id and offset. ``cut`` should be a written table, as it is read twice.
+
+    The driver and what is broadcast hold a row for each length, whatever the table and its partitions.
+    """
     spark = cut.sparkSession
     parts = max(LEAST_PARTS, shuffle_partitions(spark))
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    counted = dealt.groupBy("length", "part").count().toPandas()  # at most sequence * parts rows
-    counts = np.zeros((sequence + 1, parts), np.int64)
-    counts[counted["length"], counted["part"]] = counted["count"]
-    before = counts.cumsum(axis=1) - counts
-    shared = spark.sparkContext.broadcast((before, _places(plan(counts.sum(axis=1), sequence), sequence)))
+    counted = materialize(dealt.groupBy("length", "part").count(), "piece_counts")
+    counts = np.zeros(sequence + 1, np.int64)
+    for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most ``sequence`` rows
+        counts[r.length] = r.n
+    shared = spark.sparkContext.broadcast(_places(plan(counts, sequence), sequence))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        before, places = shared.value
+        places = shared.value
         starts = np.searchsorted(places[:, 0], np.arange(sequence + 2))
         keys = places[:, 0] << 44 | places[:, 1]
-        for length, part, row in batches:
-            length = length.to_numpy()
-            number = before[length, part.to_numpy()] + row.to_numpy() - 1
+        for length, number in batches:
+            length, number = length.to_numpy(), number.to_numpy()
             at = np.maximum(np.searchsorted(keys, length << 44 | number, side="right") - 1, starts[length])
             k = number - places[at, 1]
             yield pd.DataFrame({
@@ -225,9 +227,11 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
                 "offset": places[at, 4] + k % places[at, 3] * length,
             })
 
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = counted.select("length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
-    numbered = dealt.withColumn("row", F.row_number().over(order))
-    placed = numbered.withColumn("place", place("length", "part", F.col("row").cast("long")))
+    numbered = dealt.withColumn("row", F.row_number().over(order)).join(before, ["length", "part"])
+    placed = numbered.withColumn("place", place("length", F.col("before") + F.col("row") - 1))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
 
 
