@@ -120,12 +120,19 @@ def _rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def _collapse(batches: Iterator[pa.RecordBatch], most: float = LIVE_MOST) -> Iterator[pa.RecordBatch]:
-    """One row for each digest: its best row, and how many rows it stands for. Beyond ``most`` digests it begins anew."""
-    index, held = CuckooIndex(), 0
+def _collapse(batches: Iterator[pa.RecordBatch], most: float = LIVE_MOST, in_order: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row for each digest: its best row, and how many rows it stands for.
+
+    Beyond ``most`` digests it begins anew; where rows come in the order of their digests, only between two digests,
+    so that no digest has a second row.
+    """
+    index, held, last = CuckooIndex(), 0, None
     for batch in batches:
         for digest, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            record, slot = tuple(row), index.find(digest)
+            if in_order and held > most and digest != last:
+                yield from _rows(index)
+                index, held = CuckooIndex(), 0
+            record, slot, last = tuple(row), index.find(digest), digest
             if slot < 0:
                 index.insert(digest, record)
                 held += 1
@@ -138,15 +145,15 @@ def _collapse(batches: Iterator[pa.RecordBatch], most: float = LIVE_MOST) -> Ite
             else:
                 index.delete(digest)
                 index.insert(digest, merged)
-        if held > most:
+        if held > most and not in_order:
             yield from _rows(index)
             index, held = CuckooIndex(), 0
     yield from _rows(index)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same over all rows of the task's digests; their number follows from the shuffle partitions."""
-    return _collapse(batches, math.inf)
+def _merge(batches: Iterator[pa.RecordBatch], most: float = math.inf) -> Iterator[pa.RecordBatch]:
+    """The same over all rows of a task's digests; with a bound, they come in the order of their digests."""
+    return _collapse(batches, most, in_order=True)
 
 
 def normalised() -> Column:
@@ -157,7 +164,8 @@ def index(rows: DataFrame) -> DataFrame:
     """(digest, n_chars, keep_id, keep_key, rows): the live record of each digest of (digest, n_chars, doc_id, text_key)."""
     single = rows.select("digest", "n_chars", F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"), F.lit(1).cast("long").alias("rows"))
     partly = single.mapInArrow(_collapse, _GROUP)
-    return partly.repartition(shuffle_partitions(rows.sparkSession), "digest").mapInArrow(_merge, _GROUP)
+    dealt = partly.repartition(shuffle_partitions(rows.sparkSession), "digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(lambda batches: _merge(batches, LIVE_MOST), _GROUP)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

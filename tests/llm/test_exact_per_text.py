@@ -389,6 +389,43 @@ def test_collapse_in_parts_is_the_same(monkeypatch, odd):
     assert sum(x[4] for x in whole) == 200
 
 
+def test_merge_of_ordered_digests_holds_few(spark, monkeypatch):
+    """Every digest comes out once although the filter is emptied within the task, also for one that many batches hold."""
+    import pyarrow as pa
+
+    rng = random.Random(41)
+    rows = sorted(((rng.choice([b"a", *(b"%03d" % k for k in range(60))]), rng.randrange(9), k, k, 1) for k in range(2000)), key=lambda r: r[0])
+    rows += [(b"z", 1, k, k, 1) for k in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7], strict=True), exact._ARROW.types, strict=True)], schema=exact._ARROW) for a in range(0, len(rows), 7)]
+    largest = []
+    emit = exact._rows
+    monkeypatch.setattr(exact, "_rows", lambda index: largest.append(len(index)) or emit(index))
+    got = sorted(tuple(x.values()) for b in exact._merge(iter(batches), 5) for x in b.to_pylist())
+    expected = collections.defaultdict(list)
+    for digest, n, doc, key, _ in rows:
+        expected[digest].append((-n, doc, key))
+    assert got == sorted((d, -min(x)[0], min(x)[1], min(x)[2], len(x)) for d, x in expected.items())
+    assert max(largest) == 6 and len(largest) > 5
+
+
+def test_packing_counts_on_the_driver_do_not_grow_with_partitions(spark):
+    """Pieces of one length over very many parts are numbered without a gap; the driver gets a row for each length."""
+    table = spark.range(20_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 500L, id % 2048 + 1) as length", "1L as ids_crc32")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "301")
+    try:
+        got = packing.pack(table).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got}) == 20_000
+    for held in filled.values():
+        ends = np.cumsum([0, *(n for _, n in sorted(held))])
+        assert [a for a, _ in sorted(held)] == ends[:-1].tolist() and ends[-1] <= 2048
+
+
 def test_licence_chains_through_a_repeated_passage():
     """A passage that the template holds twice continues a chain at its second place too; edits stand on both sides of it."""
     words = [f"w{k}x" for k in range(40)]
