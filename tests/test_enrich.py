@@ -102,6 +102,16 @@ def test_daily_weather_is_prepared_once(spark, tmp_path, large_tables):
     assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("kind", ["hourly", "daily"])
+def test_flights_are_not_dealt_to_meet_little_weather(spark, kind):
+    join, line = {"hourly": (pipelines.hourly_flights, isd_line), "daily": (pipelines.daily_flights, gsod_line)}[kind]
+    lines = frame(spark, [line(station="700001"), line(station="700002")])
+    joined = join(stations(spark, STATIONS), lines, flights(spark, [(2, 500, "AAA", "CCC")]))
+    plan = final_plan_of(joined)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan_of(joined)
+    assert joined.count() == 1
+
+
 def test_airports_are_broadcast_behind_a_check(spark):
     table = spark.range(100).withColumnRenamed("id", "StationNumber")
     assert "broadcast" in enrich.small_side(table, 100)._jdf.queryExecution().logical().toString().lower()
