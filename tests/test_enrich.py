@@ -179,3 +179,18 @@ def test_readings_without_airport_go_before_the_rollup(spark):
     plan = plan_of(pipelines.hourly_weather(stations(spark, STATIONS), frame(spark, [isd_line()])))
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.index("LeftSemi") > plan.rindex("HashAggregate(keys=[StationNumber")
+
+
+@pytest.mark.parametrize("kind", ["hourly", "daily"])
+def test_lines_without_airport_go_before_they_are_parsed(spark, monkeypatch, kind):
+    made, line = {"hourly": (pipelines.hourly_weather, isd_line), "daily": (pipelines.daily_weather, gsod_line)}[kind]
+    good = [line(station=s) for s in ("700001", "700002", "700003", "700009", "999999")]
+    lines = frame(spark, [*good, line(station="700001", wban="99999"), line(station=" 70000"), line(station="7000x1"), good[0][:60], "", None])
+    early = made(stations(spark, STATIONS), lines)
+    plan = plan_of(early).split("== Initial Plan ==")[-1]
+    assert plan.rindex("(length(value") < plan.index("LeftSemi")
+    monkeypatch.setattr(enrich, "small_side", lambda table: table)
+    late = made(stations(spark, STATIONS), lines)
+    assert "LeftSemi" not in plan_of(late) or kind == "hourly"
+    assert {r.AirportCode for r in early.collect()} == {"AAA", "BBB", "CCC"}
+    assert sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
