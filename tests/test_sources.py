@@ -161,3 +161,20 @@ def test_metric_log_appends(spark):
         ]
     finally:
         catalog.drop_outputs(spark, database, ["runs"], with_database=True)
+
+
+@pytest.mark.parametrize("named", [None, "64MB"])
+def test_large_months_are_written_in_short_parts(spark, tmp_path, named):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    noise = [F.rand(k).alias(f"x{k}") for k in range(8)]
+    table = spark.range(0, 400_000, 1, 4).select("id", F.lit(2006).alias("Year"), F.lit(1).alias("Month"), *noise)
+    if named:
+        spark.conf.set(size, named)
+    try:
+        catalog.write_enriched(table, str(tmp_path / "t"))
+        assert spark.conf.get(size, None) == named
+    finally:
+        spark.conf.unset(size)
+    files = list((tmp_path / "t" / "Year=2006" / "Month=1").glob("*.parquet"))
+    assert len(files) == 1 if named else len(files) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).agg(F.count_distinct("id")).first()[0] == 400_000
