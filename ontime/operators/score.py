@@ -12,11 +12,10 @@ from ontime.operators.rejects import Counted, watched
 REQUEST = "request"
 RESULT = "result"
 
-_TEXT_INPUTS = {"UniqueCarrier", "Origin", "Dest", "MaxPresentWeatherCode"}
-
+# While a request is read: its parts, and what they hold.
+_PARTS, _READ = "request_parts", "request_read"
 
-def _parts() -> Column:
-    return F.split(F.col(REQUEST), ",")
+_TEXT_INPUTS = {"UniqueCarrier", "Origin", "Dest", "MaxPresentWeatherCode"}
 
 
 def parse_requests(requests: DataFrame, on_bad: str = "drop", counted: Counted | None = None) -> DataFrame:
@@ -25,18 +24,26 @@ def parse_requests(requests: DataFrame, on_bad: str = "drop", counted: Counted |
     Seven values name the flight only: the weather is then NULL. A request of
     another length or with text in a numeric place is bad: it is dropped, or
     marked in a column ``valid`` when ``on_bad`` is "keep". ``counted`` gets the number of requests and of bad ones.
+
+    A request is split once: Spark would repeat the split in each value and in the test of the row, which it
+    pushes below them, but not through the explode.
     """
-    short, full = len(schemas.FLIGHT_INPUTS), len(schemas.FLIGHT_INPUTS + schemas.WEATHER_INPUTS)
-    size = F.size(_parts())
+    names = schemas.FLIGHT_INPUTS + schemas.WEATHER_INPUTS
+    short, full = len(schemas.FLIGHT_INPUTS), len(names)
+    values = []
+    for place, name in enumerate(names):
+        text = strip(F.get(F.col(_PARTS), F.lit(place)))
+        values.append((text if name in _TEXT_INPUTS else to_double(text)).alias(name))
+    read = F.struct(F.size(_PARTS).alias("size"), *values)
+    split = requests.withColumn(_PARTS, F.split(F.col(REQUEST), ","))
+    split = split.withColumn(_READ, F.explode(F.array(read)))
+    size, inputs = F.col(f"{_READ}.size"), {name: F.col(f"{_READ}.{name}") for name in names}
     valid = size.isin(short, full)
-    inputs = {}
-    for place, name in enumerate(schemas.FLIGHT_INPUTS + schemas.WEATHER_INPUTS):
-        text = strip(F.get(_parts(), F.lit(place)))
-        inputs[name] = text if name in _TEXT_INPUTS else to_double(text)
+    for place, name in enumerate(names):
         if name not in _TEXT_INPUTS:
             given = inputs[name].isNotNull()
             valid = valid & (given if place < short else given | (size == short))
-    parsed = requests.withColumns(inputs).withColumn("valid", valid)
+    parsed = split.withColumns(inputs | {"valid": valid}).drop(_PARTS, _READ)
     parsed = watched(parsed, F.col("valid"), counted)
     if on_bad == "keep":
         return parsed

@@ -5,7 +5,9 @@ column. Training reads a part many times, by partition filter alone, and neither
 draw nor a lost executor can change it.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
@@ -24,10 +26,14 @@ ON_TIME_SHARE = 0.02
 
 @dataclass
 class Trained:
-    """A fitted pipeline and its figures."""
+    """A fitted pipeline and its figures, which are measured when they are first asked for."""
 
     model: PipelineModel
-    metrics: dict[str, float]
+    measure: Callable[[], dict[str, float]]
+
+    @cached_property
+    def metrics(self) -> dict[str, float]:
+        return self.measure()
 
 
 @dataclass
@@ -86,19 +92,23 @@ def train_delay(parts: Parts, kind: str = "logistic", with_weather: bool = True)
         model, validated = models.cross_validate(parts.training, with_weather, index)
     else:
         raise ValueError(f"kind must be 'forest', 'logistic' or 'grid', not {kind!r}")
-    made = model.transform(parts.test)
-    metrics = {
-        "auroc": evaluate.auroc(made),
-        "auroc_hard_label": evaluate.auroc(made, "prediction"),
-    }
-    if kind != "forest":
-        metrics["training_auroc"] = evaluate.training_auroc(model)
-    if kind == "grid":
-        for params, value in zip(validated.getEstimatorParamMaps(), validated.avgMetrics):
-            given = {param.name: setting for param, setting in params.items()}
-            name = f"cv_auroc reg={given['regParam']} net={given['elasticNetParam']}"
-            metrics[name] = value
-    return Trained(model, metrics)
+
+    def measure() -> dict[str, float]:
+        made = model.transform(parts.test)
+        metrics = {
+            "auroc": evaluate.auroc(made),
+            "auroc_hard_label": evaluate.auroc(made, "prediction"),
+        }
+        if kind != "forest":
+            metrics["training_auroc"] = evaluate.training_auroc(model)
+        if kind == "grid":
+            for params, value in zip(validated.getEstimatorParamMaps(), validated.avgMetrics):
+                given = {param.name: setting for param, setting in params.items()}
+                name = f"cv_auroc reg={given['regParam']} net={given['elasticNetParam']}"
+                metrics[name] = value
+        return metrics
+
+    return Trained(model, measure)
 
 
 def train_minutes(parts: Parts, kind: str = "linear") -> Trained:
@@ -110,10 +120,14 @@ def train_minutes(parts: Parts, kind: str = "linear") -> Trained:
         model = models.fit_minutes_forest(parts.training, index)
     else:
         raise ValueError(f"kind must be 'linear' or 'forest', not {kind!r}")
-    metrics = evaluate.minutes_errors(model.transform(parts.test)).first().asDict()
-    if kind == "linear":
-        metrics |= evaluate.training_fit(model)
-    return Trained(model, metrics)
+
+    def measure() -> dict[str, float]:
+        metrics = evaluate.minutes_errors(model.transform(parts.test)).first().asDict()
+        if kind == "linear":
+            metrics |= evaluate.training_fit(model)
+        return metrics
+
+    return Trained(model, measure)
 
 
 def train_buckets(
@@ -127,8 +141,11 @@ def train_buckets(
     model = models.fit_bucket_forest(
         parts.training, with_weather, index, num_trees, max_depth, labels=parts.labels
     )
-    made = evaluate.accuracy(model.transform(parts.test), "delayCat", "predictedLabel")
-    return Trained(model, made.first().asDict())
+
+    def measure() -> dict[str, float]:
+        return evaluate.accuracy(model.transform(parts.test), "delayCat", "predictedLabel").first().asDict()
+
+    return Trained(model, measure)
 
 
 def bucket_experiment(

@@ -322,3 +322,25 @@ def test_roc_points_are_exact(spark):
     for r in got:
         above = [y for s, y in rows if s >= r.threshold]
         assert r.TPR == pytest.approx(sum(above) / p) and r.FPR == pytest.approx((len(above) - sum(above)) / n)
+
+
+def test_requests_are_split_once(spark):
+    lines = [",".join(["9", "1", "6", "6", "AA", "SFO", f"J{k}"]) for k in range(3)] + ["x,1,6,6,AA,SFO,JFK", "", "a", None]
+    requests = spark.createDataFrame([(k, line, "old") for k, line in enumerate(lines)], "id int, text string, Origin string")
+    # A request that is made in the same query isn't made again for each value.
+    made = requests.select("id", "Origin", F.concat_ws("", "text", F.lit("")).alias("request"))
+    parsed = score.parse_requests(made)
+    assert parsed.columns[:3] == ["id", "Origin", "request"]
+    assert [(r.id, r.Origin, r.Dest) for r in parsed.orderBy("id").collect()] == [(0, "SFO", "J0"), (1, "SFO", "J1"), (2, "SFO", "J2")]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert sorted(score.parse_requests(made, on_bad="keep").where("valid").drop("valid").collect()) == sorted(parsed.collect())
+
+
+def test_figures_are_measured_when_asked_for(flights, monkeypatch):
+    seen = []
+    auroc = evaluate.auroc
+    monkeypatch.setattr(evaluate, "auroc", lambda *given: seen.append(given) or auroc(*given))
+    trained = training.train_delay(training.delay_parts(flights, on_time_share=1.0))
+    assert not seen
+    assert trained.metrics["auroc"] > 0.5 and trained.metrics is trained.metrics and len(seen) == 2
