@@ -26,15 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime.llm import line_shingles as shingling
-from ontime.llm.common import body, text_key
+from ontime.llm.common import blocks, body, text_key
 from ontime.llm.graph import components
 from ontime.sources.shared import materialize
 
 BUCKET_ROWS = 2048  #: lines of a block of a bucket
+CHARS = 1 << 18  #: characters of lines whose shingles a task holds at once, or one pair's
+GROUP_CHARS = 1 << 19  #: the same of each side of a large group
 SEEN = 500_000  #: lines that a task remembers, so that it signs repeated ones once
 PAGES, PAGE = 4096, 32_768  #: pages of a bitmap, and bits of a page (fixed by Spark)
 
@@ -114,26 +117,34 @@ def candidates(signed: DataFrame) -> DataFrame:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether the two lines of each row are similar."""
+    """Whether the two lines of each row are similar. Rows of ``CHARS`` characters are compared at once."""
     for batch in batches:
-        n = batch.num_rows
-        both = shingling.Sets(batch["of_a"].to_pylist() + batch["of_b"].to_pylist())
-        near = pa.array(both.similar(np.arange(n), np.arange(n) + n))
+        sizes = pc.add(pc.utf8_length(batch["of_a"]), pc.utf8_length(batch["of_b"])).to_pylist()
+        near = np.zeros(batch.num_rows, bool)
+        for some in blocks(sizes, CHARS):
+            n = some.stop - some.start
+            left, right = (batch[x].slice(some.start, n).to_pylist() for x in ("of_a", "of_b"))
+            near[some] = shingling.Sets(left + right).similar(np.arange(n), np.arange(n) + n)
         columns = [batch[x] for x in ("id", "first", "a1", "a2", "b1", "b2")]
-        yield pa.RecordBatch.from_arrays([*columns, near], ["id", "first", "a1", "a2", "b1", "b2", "near"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(near)], ["id", "first", "a1", "a2", "b1", "b2", "near"])
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each group of rows, which follow one another. Small groups are compared together."""
+    """Links within each group of rows, which follow one another.
+
+    Small groups are compared together, large ones in parts of ``GROUP_CHARS`` characters and pairs of parts.
+    """
     few: list[tuple] = []  # rows of small groups, and pairs of their numbers
     pairs: list[tuple[int, int]] = []
-    group, held = None, []
+    group, held, n_chars = None, [], 0
 
     def rows_of(links: list[tuple[int, int]], rows: list[tuple]) -> pa.RecordBatch:
         ends = [[rows[pair[side]][x] for pair in links] for side in (0, 1) for x in (2, 3)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a1", "a2", "b1", "b2"])
 
     def small() -> Iterator[pa.RecordBatch]:
+        nonlocal n_chars
+        n_chars = 0
         ends = np.array(pairs, np.int64).reshape(-1, 2)
         near = ends[shingling.Sets([r[4] for r in few]).similar(*ends.T)] if len(ends) else ends
         if len(near):
@@ -142,17 +153,32 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.clear()
 
     def done() -> Iterator[pa.RecordBatch]:
+        nonlocal n_chars
         rows = list({r[2:4]: r for r in held}.values())
         block, far = [r[0] for r in rows], [r[1] for r in rows]
-        if len(rows) <= shingling.FEW:
+        size = sum(len(r[4]) for r in rows)
+        if len(rows) <= shingling.FEW and size <= CHARS:
+            if n_chars + size > CHARS or len(few) > BUCKET_ROWS:
+                yield from small()
+            n_chars += size
             pairs.extend((len(few) + i, len(few) + j) for i, j in shingling.few_pairs(block, far))
             few.extend(rows)
-            if len(few) > BUCKET_ROWS:
-                yield from small()
         else:
-            found = shingling.group_links(shingling.Sets([r[4] for r in rows]), block, far)
-            if found:
-                yield rows_of(found, rows)
+            yield from large(rows, len(set(block)) > 1)
+
+    def large(rows: list[tuple], two: bool) -> Iterator[pa.RecordBatch]:
+        sides = [[r for r in rows if r[0] == x] for x in sorted({r[0] for r in rows})]
+        parts = [side[x] for side in sides for x in blocks([len(r[4]) for r in side], GROUP_CHARS)]
+        for i, part in enumerate(parts):
+            for j, other in enumerate(parts[i:], i):
+                if two and part[0][0] == other[0][0]:
+                    continue
+                both = part + other if j > i else part
+                side = [0] * len(part) + [1] * (len(both) - len(part))
+                far = [r[1] for r in both]
+                found = shingling.group_links(shingling.Sets([r[4] for r in both]), side, far) if any(far) else []
+                if found:
+                    yield rows_of(found, both)
 
     for batch in batches:
         keys = zip(*(batch[x].to_pylist() for x in ("bucket", "low", "high")), strict=True)

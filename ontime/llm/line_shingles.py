@@ -2,11 +2,13 @@
 
 import numpy as np
 
+from ontime.llm.common import blocks
+
 WIDTH = 8  #: characters of a shingle
 HASHES, BAND = 24, 3  #: minima, and minima of a band
 BLOCK = 1 << 14  #: shingles that are hashed at once
 FEW = 8  #: rows of a group that are compared in pairs, without an index
-PAIRS = 4096  #: that are compared at once
+PAIRS, PAIR = 4096, 64  #: pairs that are compared at once, if they have so many shingles on average; fewer of longer lines
 
 _PAD = 0x110000  # no character
 _random = np.random.default_rng(20_240_501)
@@ -110,8 +112,8 @@ class Sets:
         near = np.zeros(len(left), bool)
         a, b = self.sizes[left], self.sizes[right]
         fit = np.flatnonzero((5 * a >= 4 * b) & (5 * b >= 4 * a))
-        for first in range(0, len(fit), PAIRS):
-            some = fit[first : first + PAIRS]
+        for part in blocks(np.maximum(a + b, PAIR)[fit].tolist(), PAIRS * PAIR):
+            some = fit[part]
             both = np.sort(np.concatenate([self._of(left[some]), self._of(right[some])]))
             twice = both[1:][both[1:] == both[:-1]] >> np.uint64(50)
             shared = np.bincount(twice.astype(np.int64), minlength=len(some))
@@ -156,26 +158,45 @@ def group_links(members: Sets, block: list[int], far: list[bool]) -> list[tuple[
     if len(far) <= FEW:
         pairs = np.array(few_pairs(block, far), np.int64).reshape(-1, 2)
         return _joining(pairs[members.similar(*pairs.T)].tolist(), len(far))
-    two, blocks = len(set(block)) > 1, np.array(block)
-    sizes = members.sizes
-    _, token, often = np.unique(members.flat, return_inverse=True, return_counts=True)
-    rarity = np.empty(len(often), np.int64)
-    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
-    row = np.repeat(np.arange(len(far)), sizes)
-    order = np.lexsort((rarity[token], row))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = place < np.repeat(sizes - (4 * sizes + 4) // 5 + 1, sizes)
-    token, row = rarity[token][order][kept], row[order][kept]
-    by_row = np.searchsorted(row, np.arange(len(far) + 1))
-    by_token = np.argsort(token, kind="stable")
-    sorted_token, sorted_row = token[by_token], row[by_token]
-    low, high = np.searchsorted(sorted_token, token), np.searchsorted(sorted_token, token, side="right")
-    found, joined = [], np.arange(len(far))  # the component of each row
+    two, side = len(set(block)) > 1, np.array(block)
+    sizes, n = members.sizes, len(far)
+    # Shingles that one member alone has come first in any order by rarity, and never matter again.
+    both = np.sort(members.flat | np.repeat(np.arange(n, dtype=np.uint64), sizes))
+    number = np.cumsum(np.concatenate([[False], both[1:] >> _HELD != both[:-1] >> _HELD]))
+    often = np.bincount(number)
+    rarity = np.empty(len(often), np.uint64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.uint64)
+    shared = often[number] > 1
+    both = np.sort((both[shared] & np.uint64((1 << 14) - 1)) << _HALF | rarity[number[shared]])
+    row, token = (both >> _HALF).astype(np.int64), (both & _LOW).astype(np.int64)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    held = np.diff(ends)
+    place = np.arange(len(row)) - ends[row] + (sizes - held)[row]
+    rare = place < (sizes - (4 * sizes + 4) // 5 + 1)[row]
+    rare_row, rare_token = row[rare], token[rare]
+    by_row = np.searchsorted(rare_row, np.arange(n + 1))
+    by_token = np.argsort(rare_token, kind="stable")
+    sorted_token, sorted_row = rare_token[by_token], rare_row[by_token]
+    low, high = np.searchsorted(sorted_token, rare_token), np.searchsorted(sorted_token, rare_token, side="right")
+    found, joined = [], np.arange(n)  # the component of each row
+    mine = np.zeros(len(often), np.int64)
     for i in np.flatnonzero(far).tolist():
-        mine = slice(by_row[i], by_row[i + 1])
-        others = np.unique(np.concatenate([sorted_row[a:b] for a, b in zip(low[mine], high[mine], strict=True)]))
-        others = others[(joined[others] != joined[i]) & ~(two & (blocks[others] == block[i]))]
-        for j in others[members.similar(np.full(len(others), i), others)].tolist():
+        span = slice(by_row[i], by_row[i + 1])
+        met = np.zeros(n, bool)
+        for a, b in zip(low[span].tolist(), high[span].tolist(), strict=True):
+            met[sorted_row[a:b]] = True
+        met &= (joined != joined[i]) & (5 * held >= 4 * sizes[i]) & (5 * held[i] >= 4 * sizes)
+        if two:
+            met &= side != block[i]
+        others = np.flatnonzero(met)
+        if not len(others):
+            continue
+        spans = held[others]
+        starts = np.cumsum(spans) - spans
+        mine[token[ends[i] : ends[i + 1]]] = 1
+        both = np.add.reduceat(mine[token[np.arange(spans.sum()) + np.repeat(ends[others] - starts, spans)]], starts)
+        mine[token[ends[i] : ends[i + 1]]] = 0
+        for j in others[5 * both >= 4 * (sizes[i] + sizes[others] - both)].tolist():
             if joined[j] != joined[i]:
                 joined[joined == joined[j]] = joined[i]
                 found.append((i, j))

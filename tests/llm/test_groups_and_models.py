@@ -5,10 +5,12 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +220,45 @@ def test_shingles_of_any_lines():
     assert (np.concatenate([line_shingles.minima([x]) for x in lines]) == whole).all()
 
 
+def test_long_lines_are_compared_in_parts():
+    """What a task holds doesn't grow with the characters of a batch, of many small groups or of a large one."""
+    rng = random.Random(35)
+    words = [f"w{k}" for k in range(3000)]
+    lines = [" ".join(rng.choices(words, k=600)) for _ in range(1200)]
+    keys = {x: range(1200) for x in ("id", "first", "a1", "a2", "b1", "b2")}
+    pairs = pa.RecordBatch.from_pydict(keys | {"of_a": lines, "of_b": [x + "." if k % 3 else x[::-1] for k, x in enumerate(lines)]})
+    group = {"low": [0] * 1200, "high": [0] * 1200, "block": [0] * 1200, "far": [True] * 1200, "id1": range(1200), "id2": [0] * 1200}
+    twins = pa.array([lines[k // 2] + "." * (k % 2) for k in range(1200)])
+    groups = [pa.RecordBatch.from_pydict(group | {"line": twins, "bucket": [k // size for k in range(1200)]}) for size in (4, 1200)]
+    expected = [[k % 3 > 0 for k in range(1200)], *([(k, k + 1) for k in range(0, 1200, 2)] for _ in groups)]
+    for make, batch, rows in zip((line_dedup._judge, *[line_dedup._link_groups] * 2), (pairs, *groups), expected, strict=True):
+        tracemalloc.start()
+        made = pa.Table.from_batches(make(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        found = made["near"].to_pylist() if "near" in made.column_names else sorted(tuple(sorted(x)) for x in zip(made["a1"].to_pylist(), made["b1"].to_pylist(), strict=True))
+        assert found == rows
+        print(round(most), "MB")
+        assert most < 100
+
+
+def test_parts_of_a_group_link_what_the_whole_does(monkeypatch):
+    """A group that is cut into parts by its characters, of one block and of two, keeps its components."""
+    rng = random.Random(36)
+    base = ["".join(rng.choices("abcdef", k=60)) for _ in range(3)]
+    lines = list({"".join(rng.choice("xyz") if rng.random() < 0.03 else c for c in rng.choice(base)) + "!" * k for k in range(60)})
+    for n_blocks in (1, 2):
+        far, block = [rng.random() < 0.5 for _ in lines], [rng.randrange(n_blocks) for _ in lines]
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if (far[i] or far[j]) and (n_blocks == 1 or block[i] != block[j]) and alike(lines[i], lines[j])]
+        n = len(lines)
+        columns = {"bucket": [5] * n, "low": [0] * n, "high": [n_blocks - 1] * n, "block": block, "far": far, "id1": range(n), "id2": range(n), "line": lines}
+        for most in (1, 500, 1 << 19):
+            monkeypatch.setattr(line_dedup, "GROUP_CHARS", most)
+            found = [(r["a1"], r["b1"]) for x in line_dedup._link_groups(iter([pa.RecordBatch.from_pydict(columns)])) for r in x.to_pylist()]
+            assert {tuple(sorted(p)) for p in found} <= set(pairs)
+            assert roots(range(n), found) == roots(range(n), pairs)
+
+
 def test_bitmap(spark):
     """A key that is there always passes; keys that share its bit do too, others don't."""
     keys = spark.createDataFrame([(x,) for x in (0, 7, 8, 32_767, 32_768, -1, (1 << 27) + 5)], "k long")
