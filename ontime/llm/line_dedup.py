@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontime.llm import line_shingles as shingling
@@ -40,6 +40,7 @@ CHARS = 1 << 18  #: characters of lines whose shingles a task holds at once, or
 GROUP_CHARS = 1 << 19  #: the same of each side of a large group
 SEEN = 500_000  #: lines that a task remembers, so that it signs repeated ones once
 PAGES, PAGE = 4096, 32_768  #: pages of a bitmap, and bits of a page (fixed by Spark)
+PIECE = 2048  #: bits of a piece of a page; Spark copies a whole one to look at a bit
 
 _ID = ["id1", "id2"]
 
@@ -51,23 +52,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     return worded.withColumns({"id1": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    """Page and bit of a key."""
-    slot = F.pmod(key, F.lit(PAGES * PAGE))
-    return F.shiftright(slot, 15).cast("int"), slot.bitwiseAND(PAGE - 1)
-
-
 def _marked(table: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows whose ``key`` may be among ``keys`` (one long column), or with "left_anti" surely isn't.
 
-    The broadcast bitmap has 16 MB at most.
+    The broadcast bitmap has 16 MB at most, in 65,536 pieces.
     """
-    page, bit = _slot(F.col(keys.columns[0]))
-    pages = keys.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    page, bit = _slot(table[key])
-    byte = F.conv(F.hex(F.substring(pages["bits"], F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1
-    return table.join(F.broadcast(pages), (page == pages["page"]) & is_set, how)
+    slot, parts = F.pmod(F.col(keys.columns[0]), F.lit(PAGES * PAGE)), PAGE // PIECE
+    pages = keys.groupBy(F.shiftright(slot, PAGE.bit_length() - 1).alias("page")).agg(F.bitmap_construct_agg(slot.bitwiseAND(PAGE - 1)).alias("bits"))
+    pieces = pages.select("page", "bits", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    bits = F.substring("bits", F.col("part") * (PIECE // 8) + 1, F.lit(PIECE // 8)).alias("bits")
+    pieces = pieces.select((F.col("page") * parts + F.col("part")).alias("piece"), bits)
+    slot = F.pmod(table[key], F.lit(PAGES * PAGE))
+    bit = slot.bitwiseAND(PIECE - 1).cast("int")
+    byte = F.substring(pieces["bits"], F.shiftright(bit, 3) + 1, F.lit(1))
+    number = F.conv(F.hex(byte), 16, 10).cast("int")  # slow, so only of bytes that aren't empty
+    is_set = (F.bitmap_count(byte) > 0) & (F.getbit(number, bit.bitwiseAND(7)) == 1)
+    at = F.shiftright(slot, PIECE.bit_length() - 1)
+    return table.join(F.broadcast(pieces), (at == pieces["piece"]) & is_set, how)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
