@@ -42,7 +42,7 @@ def test_no_flight_meets_weather(con, table, rows):
     assert found >= rows if rows else found == 0
 
 
-@pytest.mark.parametrize("name", ["hourly_table_from_files"])
+@pytest.mark.parametrize("name", ["hourly_table_from_files", "daily_table_from_files"])
 def test_files_without_matches_are_counted(spark, con, folder, name):
     assert difference(spark, con, folder, name) is None
 
