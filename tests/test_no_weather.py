@@ -47,6 +47,22 @@ def test_files_without_matches_are_counted(spark, con, folder, name):
     assert difference(spark, con, folder, name) is None
 
 
+@pytest.mark.parametrize("name", ["delay_by_year_daily", "delay_totals", "coverage_year", "hazard_box_stats", "request_rejects", "label_index"])
+def test_saved_tables_without_rows_are_read(spark, con, folder, name):
+    assert difference(spark, con, folder, name) is None
+
+
+def test_enriched_tables_read_as_they_were(spark, tmp_path):
+    table = spark.range(4).select(
+        F.lit(2006).alias("Year"), F.when(F.col("id") > 0, F.col("id")).cast("int").alias("Month"), F.lit("09").alias("Origin"), F.lit(1.5).alias("x")
+    )
+    for name, rows in (("some", table), ("none", table.where("Month > 12"))):
+        path = str(tmp_path / name)
+        back = catalog.read_enriched(spark, path, catalog.write_enriched(rows, path))
+        assert back.dtypes == [("Origin", "string"), ("x", "double"), ("Year", "int"), ("Month", "int")]
+        assert sorted(back.collect(), key=str) == sorted(rows.select(*back.columns).collect(), key=str)
+
+
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 @pytest.mark.parametrize("station, country", [("700009", "US"), ("700001", "CA")])
 @pytest.mark.parametrize("kind", ["hourly", "daily"])
