@@ -2,10 +2,11 @@
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontime.functions.columns import log10_minutes, minutes_from_log10
+from ontime.operators.models import is_trained
 from ontime.sources.shared import materialize
 
 
@@ -63,8 +64,10 @@ def minutes_errors(
     )
 
 
-def training_fit(model: PipelineModel) -> dict[str, float]:
-    """Error and r2 of a linear regression on its training examples."""
+def training_fit(model: PipelineModel) -> dict[str, float | None]:
+    """Error and r2 of a linear regression on its training examples, if there were any."""
+    if not is_trained(model):
+        return {"training_rmse": None, "training_r2": None}
     summary = model.stages[-1].summary
     return {"training_rmse": summary.rootMeanSquaredError, "training_r2": summary.r2}
 
@@ -77,8 +80,10 @@ def training_auroc(model: PipelineModel) -> float:
 def roc_curve(model: PipelineModel) -> DataFrame:
     """Training ROC curve of a logistic regression: columns FPR and TPR.
 
-    Spark thins this curve to about a thousand points; :func:`roc_points` is exact.
+    Spark thins this curve to about a thousand points; :func:`roc_points` is exact. Without examples, there are none.
     """
+    if not is_trained(model):
+        return SparkSession.active().createDataFrame([], "FPR double, TPR double")
     return model.stages[-1].summary.roc
 
 

@@ -1,11 +1,13 @@
 """Delay models: yes or no, bucket, minutes, clusters, and their tuning."""
 
+import warnings
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,28 @@ GRID_ELASTIC_NET = [0.0, 0.5, 1.0]
 CLUSTER_SEED = 1
 
 
+def untrained(**outputs: str) -> PipelineModel:
+    """The model of no examples: it predicts NULL, in columns given with their types."""
+    unknown = ", ".join(f"cast(null as {kind}) as {name}" for name, kind in outputs.items())
+    return PipelineModel(stages=[SQLTransformer(statement=f"select *, {unknown} from __THIS__")])
+
+
+def is_trained(model: PipelineModel) -> bool:
+    """Whether a fitted model has seen examples: it then has feature stages."""
+    return len(model.stages) > 1
+
+
+def _without(examples: DataFrame, after=()) -> PipelineModel | None:
+    """The model that is left if there are no examples."""
+    if not examples.isEmpty():
+        return None
+    warnings.warn("no examples to fit a model on: it predicts NULL")
+    return untrained(prediction="double", **{stage.getOutputCol(): "string" for stage in after})
+
+
 def _fit(estimator, examples: DataFrame, with_weather: bool, domain, before=(), after=()):
+    if nothing := _without(examples, after):
+        return nothing
     domain = domain or fit_domain_index(examples, categories(with_weather))
     return delay_pipeline(estimator, domain, with_weather, before, after).fit(examples)
 
@@ -112,8 +135,10 @@ def _log_delay_weights(flights: DataFrame) -> DataFrame:
 
 def fit_delay_clusters(
     flights: DataFrame, k: int, seed: int = CLUSTER_SEED
-) -> KMeansModel:
-    """k-means on log10 of the delay."""
+) -> KMeansModel | None:
+    """k-means on log10 of the delay; without flights, there is no model."""
+    if flights.isEmpty():
+        return None
     return _fit_clusters(_log_delay_weights(flights), k, seed)
 
 
@@ -122,7 +147,9 @@ def _fit_clusters(points: DataFrame, k: int, seed: int) -> KMeansModel:
 
 
 def elbow(flights: DataFrame, ks=range(2, 10), seed: int = CLUSTER_SEED) -> DataFrame:
-    """Sum of squared distances to the centres for each number of clusters."""
+    """Sum of squared distances to the centres for each number of clusters, if there are flights."""
+    if flights.isEmpty():
+        ks = ()
     points = _log_delay_weights(flights).persist()
     try:
         costs = [(k, float(_fit_clusters(points, k, seed).summary.trainingCost)) for k in ks]
@@ -183,9 +210,9 @@ def interval_clusters(values: np.ndarray, weights: np.ndarray, most: int) -> lis
     return found
 
 
-def cluster_minutes(model: KMeansModel, spark) -> DataFrame:
-    """Cluster centres back in minutes, smallest first."""
-    centres = [(float(centre[0]),) for centre in model.clusterCenters()]
+def cluster_minutes(model: KMeansModel | None, spark) -> DataFrame:
+    """Cluster centres back in minutes, smallest first; none without a model."""
+    centres = [(float(centre[0]),) for centre in model.clusterCenters()] if model else []
     return (
         spark.createDataFrame(centres, "log10_value double")
         .withColumn("minutes", minutes_from_log10(F.col("log10_value")))
@@ -195,7 +222,7 @@ def cluster_minutes(model: KMeansModel, spark) -> DataFrame:
 
 def centre_cost(flights: DataFrame, centres: list[float]) -> DataFrame:
     """One row: sum of squared distances of log10 of the delays to the nearest of the centres."""
-    squares = F.transform(F.array(*map(F.lit, centres)), lambda centre: F.pow(F.col("log") - centre, F.lit(2.0)))
+    squares = F.transform(F.array(*map(F.lit, centres)).cast("array<double>"), lambda centre: F.pow(F.col("log") - centre, F.lit(2.0)))
     return _minute_counts(flights).agg(F.sum(F.col("flights") * F.array_min(squares)).alias("cost"))
 
 
@@ -222,13 +249,15 @@ def cross_validate(
     grid: list | None = None,
     folds: int = 3,
     parallelism: int = 3,
-) -> tuple[PipelineModel, CrossValidatorModel]:
+) -> tuple[PipelineModel, CrossValidatorModel | None]:
     """Best logistic regression of a grid by area under ROC.
 
     Feature stages learn nothing from a fold, so they run once: vectors are written with their fold, and every
     fit and evaluation reads those. Gives the whole pipeline with the best model, and
-    the validation itself with its metrics.
+    the validation itself with its metrics; there is none without examples.
     """
+    if nothing := _without(examples):
+        return nothing, None
     domain = domain or fit_domain_index(examples, categories(with_weather))
     estimator = estimator or LogisticRegression(maxIter=LOGISTIC_ITERATIONS)
     features = Pipeline(stages=feature_stages(domain, with_weather)).fit(examples)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ontime import schemas
 from ontime.functions.columns import minutes_from_log10, strip, to_double
+from ontime.operators.models import is_trained, untrained
 from ontime.operators.rejects import Counted, watched
 
 REQUEST = "request"
@@ -84,7 +85,9 @@ def _settings(stage) -> dict:
 
 
 def same_features(one: PipelineModel, other: PipelineModel) -> bool:
-    """Whether two models see a request as the same vector."""
+    """Whether two models see a request as the same vector; a model of no examples looks at none."""
+    if not (is_trained(one) and is_trained(other)):
+        return True
     first, second = _feature_pass(one), _feature_pass(other)
     return [type(x) for x in first] == [type(x) for x in second] and all(
         _settings(x) == _settings(y) for x, y in zip(first, second)
@@ -103,14 +106,20 @@ def two_stage(classifier: PipelineModel, regressor: PipelineModel) -> PipelineMo
     """Both models as one, which indexes, encodes and assembles a request once.
 
     It adds ``predicted_delay`` and ``result`` and is saved and loaded like any model. The two must see a request as
-    the same vector: fit them on parts of one table, with the category index of that table.
+    the same vector: fit them on parts of one table, with the category index of that table. What a model of no examples
+    would have to tell is NULL.
     """
     if not same_features(classifier, regressor):
         raise ValueError("the models were fitted on different features")
+    if not is_trained(classifier):
+        return untrained(predicted_delay="double", **{RESULT: "double"})
     classes = _predictor(
         classifier, predictionCol="predicted_delay", rawPredictionCol="delay_scores", probabilityCol="delay_chances"
     )
-    minutes = _predictor(regressor, predictionCol="log_minutes")
+    if is_trained(regressor):
+        minutes = _predictor(regressor, predictionCol="log_minutes")
+    else:
+        minutes = untrained(log_minutes="double").stages[0]
     result = f"case when predicted_delay = 1 then pow(10.0D, log_minutes) else 0.0D end as {RESULT}"
     combined = SQLTransformer(statement=f"select *, {result} from __THIS__")
     return PipelineModel(stages=[*_feature_pass(classifier), classes, minutes, combined])

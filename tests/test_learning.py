@@ -344,3 +344,44 @@ def test_figures_are_measured_when_asked_for(flights, monkeypatch):
     trained = training.train_delay(training.delay_parts(flights, on_time_share=1.0))
     assert not seen
     assert trained.metrics["auroc"] > 0.5 and trained.metrics is trained.metrics and len(seen) == 2
+
+
+@pytest.mark.filterwarnings("ignore:no examples")
+def test_models_of_no_examples_predict_null(spark, tmp_path, flights, domain, parts):
+    none = flights.where("Month > 12")
+    fits = [
+        (lambda t: models.fit_delay_forest(t, True, domain), parts[0]), (lambda t: models.fit_delay_logistic(t, True), parts[0]),
+        (lambda t: models.fit_bucket_forest(t, True), features.bucket_examples(flights)), (lambda t: models.fit_minutes_linear(t), features.minutes_examples(flights)),
+        (lambda t: models.fit_minutes_forest(t), features.minutes_examples(flights)), (lambda t: models.cross_validate(t, True)[0], parts[0]),
+    ]
+    for fit, examples in fits:
+        model = fit(examples.where("Month > 12"))
+        assert not models.is_trained(model)
+        catalog.save_model(model, str(tmp_path / "m"))
+        made = catalog.load_model(str(tmp_path / "m")).transform(examples)
+        assert made.count() == examples.count() > made.where("prediction is not null").count() == 0
+    assert models.is_trained(models.fit_delay_logistic(parts[0], True, domain))
+    assert evaluate.roc_curve(model).count() == 0 and set(evaluate.training_fit(model).values()) == {None}
+    assert "predictedLabel" in fits[2][0](features.bucket_examples(none)).transform(features.bucket_examples(none)).columns
+    assert set(training.train_minutes(training.minutes_parts(none)).metrics.values()) == {None}
+    with pytest.warns(UserWarning, match="no examples"):
+        assert set(training.train_buckets(training.bucket_parts(none)).metrics.values()) == {None}
+
+
+@pytest.mark.filterwarnings("ignore:no examples")
+def test_two_stages_without_examples(spark, flights, domain, parts):
+    classifier, regressor = models.fit_delay_logistic(parts[0], True, domain), models.fit_minutes_linear(features.minutes_examples(flights), domain)
+    no_classes = models.fit_delay_logistic(parts[0].where("Month > 12"), True, domain)
+    no_minutes = models.fit_minutes_linear(features.minutes_examples(flights.where("Month > 12")), domain)
+    lines = ["9,1,6,6,AA,A1,B1,95,1000,500,10000,2,RA", "9,1,6,6,AA,A1,B1,1,1000,500,10000,2,0"]
+    requests = score.fill_missing_weather(score.parse_requests(catalog.request_frame(spark, lines)))
+    for made in (no_classes, regressor), (no_classes, no_minutes):
+        assert [(r.predicted_delay, r.result) for r in score.score(requests, *made).collect()] == [(None, None)] * 2
+    assert [(r.predicted_delay, r.result) for r in score.score(requests, classifier, no_minutes).collect()] == [(1.0, None), (0.0, 0.0)]
+
+
+def test_no_flights_have_no_clusters(spark):
+    none = spark.createDataFrame([], "WeatherDelay int")
+    assert models.fit_delay_clusters(none, 4) is None
+    assert models.elbow(none).count() == models.cluster_minutes(None, spark).count() == 0
+    assert models.centre_cost(none, []).first().cost is None

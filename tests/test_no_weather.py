@@ -52,6 +52,18 @@ def test_saved_tables_without_rows_are_read(spark, con, folder, name):
     assert difference(spark, con, folder, name) is None
 
 
+_LEARNED = [
+    "bucket_predictions", "bucket_forest_accuracy", "bucket_experiment_log", "delay_predictions",
+    "minutes_linear_fit", "minutes_forest_fit", "minutes_predictions", "two_stage_scores", "delay_elbow", "delay_cluster_minutes",
+]
+
+
+@pytest.mark.filterwarnings("ignore:no examples")
+@pytest.mark.parametrize("name", _LEARNED)
+def test_models_of_no_flights(spark, con, folder, name):
+    assert difference(spark, con, folder, name) is None
+
+
 def test_enriched_tables_read_as_they_were(spark, tmp_path):
     table = spark.range(4).select(
         F.lit(2006).alias("Year"), F.when(F.col("id") > 0, F.col("id")).cast("int").alias("Month"), F.lit("09").alias("Origin"), F.lit(1.5).alias("x")
