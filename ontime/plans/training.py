@@ -29,10 +29,10 @@ class Trained:
     """A fitted pipeline and its figures, which are measured when they are first asked for."""
 
     model: PipelineModel
-    measure: Callable[[], dict[str, float]]
+    measure: Callable[[], dict[str, float | None]]
 
     @cached_property
-    def metrics(self) -> dict[str, float]:
+    def metrics(self) -> dict[str, float | None]:
         return self.measure()
 
 
@@ -82,7 +82,7 @@ def bucket_parts(flights: DataFrame, buckets=None, seed: int = 1) -> Parts:
 
 
 def train_delay(parts: Parts, kind: str = "logistic", with_weather: bool = True) -> Trained:
-    """Delay yes or no by "forest", "logistic" or a "grid" of the latter."""
+    """Delay yes or no by "forest", "logistic" or a "grid" of the latter; without examples, there are no figures."""
     index = parts.index(with_weather)
     if kind == "forest":
         model = models.fit_delay_forest(parts.training, with_weather, index)
@@ -94,6 +94,8 @@ def train_delay(parts: Parts, kind: str = "logistic", with_weather: bool = True)
         raise ValueError(f"kind must be 'forest', 'logistic' or 'grid', not {kind!r}")
 
     def measure() -> dict[str, float]:
+        if not models.is_trained(model):
+            return {}
         made = model.transform(parts.test)
         metrics = {
             "auroc": evaluate.auroc(made),

@@ -363,6 +363,7 @@ def test_models_of_no_examples_predict_null(spark, tmp_path, flights, domain, pa
     assert models.is_trained(models.fit_delay_logistic(parts[0], True, domain))
     assert evaluate.roc_curve(model).count() == 0 and set(evaluate.training_fit(model).values()) == {None}
     assert "predictedLabel" in fits[2][0](features.bucket_examples(none)).transform(features.bucket_examples(none)).columns
+    assert training.train_delay(training.delay_parts(none), "grid").metrics == {}
     assert set(training.train_minutes(training.minutes_parts(none)).metrics.values()) == {None}
     with pytest.warns(UserWarning, match="no examples"):
         assert set(training.train_buckets(training.bucket_parts(none)).metrics.values()) == {None}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import difference, duck
 from checks.oracle import with_blocks
+from checks.queries import QUERIES
 from ontime import schemas
 from ontime.operators import rejects, weather
 from ontime.plans import pipelines
@@ -53,7 +54,7 @@ def test_saved_tables_without_rows_are_read(spark, con, folder, name):
 
 
 _LEARNED = [
-    "bucket_predictions", "bucket_forest_accuracy", "bucket_experiment_log", "delay_predictions",
+    "bucket_predictions", "bucket_forest_accuracy", "bucket_experiment_log", "delay_predictions", "logistic_roc_curve", "logistic_grid_search",
     "minutes_linear_fit", "minutes_forest_fit", "minutes_predictions", "two_stage_scores", "delay_elbow", "delay_cluster_minutes",
 ]
 
@@ -64,6 +65,13 @@ def test_models_of_no_flights(spark, con, folder, name):
     assert difference(spark, con, folder, name) is None
 
 
+@pytest.mark.filterwarnings("ignore:no examples")
+@pytest.mark.parametrize("name", ["delay_logistic_auc", "delay_forest_auc"])
+def test_no_flights_give_no_figures(spark, folder, name):
+    """The SQL states a constant for the lead, whatever the tables hold; nothing is ahead of anything here."""
+    assert [tuple(r) for r in QUERIES[name](spark, folder).collect()] == [("with weather", "ahead of flight only", None)]
+
+
 def test_enriched_tables_read_as_they_were(spark, tmp_path):
     table = spark.range(4).select(
         F.lit(2006).alias("Year"), F.when(F.col("id") > 0, F.col("id")).cast("int").alias("Month"), F.lit("09").alias("Origin"), F.lit(1.5).alias("x")
